@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, main_text, token_counts, token_store
+from . import byte_bpe, decontaminate, language_id, main_text, order_minhash, sentence_spans, token_counts, token_store, url_rules
 from .common import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, to).drop("tokens")
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_table(spark, sf_dir, "documents"))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), "n_removed")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -40,5 +56,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_store, op9_main_text, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_token_store,
+        op4_url_rules,
+        op6_order_minhash,
+        op7_sentence_spans,
+        op8_decontaminate,
+        op9_main_text,
+        op10_byte_bpe,
+    )
+}
+ORACLES: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
