@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, main_text, order_minhash, sentence_spans, token_counts, token_store, url_rules
+from . import byte_bpe, decontaminate, language_id, main_text, order_minhash, projection_forest, sentence_spans, token_counts, token_store, url_rules
 from .common import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.links(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op2_token_counts,
         op3_token_store,
         op4_url_rules,
+        op5_projection_forest,
         op6_order_minhash,
         op7_sentence_spans,
         op8_decontaminate,
