@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -99,14 +100,22 @@ class Segment:
         return out
 
 
-_SPACES, _STOP = re.compile("[ \n]+"), re.compile(r"(?<=[^\W_])([.,])(?=\s)")
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
+#: Words that are encoded as one text.
+TOGETHER = 400
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is one run of letters, before and after lower-casing."""
+    return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word) and word.lower().isalpha())
 
 
 class WordEncoder:
-    """A tokenizer that drops white space, applied to the distinct words of texts.
+    """A tokenizer that drops white space and marks word ends, applied to the distinct words of texts.
 
     Ids don't depend on what stands beyond white space, nor does a letter's side of a full stop or comma that white space
-    follows; so a text is cut there, each piece encoded once, and its ids joined as bytes.
+    follows; so a text is cut there, each piece encoded once, and its ids joined as bytes. Plain words are encoded many at a
+    time: the token that ends a word carries the vocabulary's suffix, which tells them apart again.
     """
 
     def __init__(self, path: str, most: int = MEMORY_WORDS):
@@ -114,16 +123,37 @@ class WordEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        plain = [w for w in words if _plain(w)] if self.ends.any() else []
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(group):
+                rest += group
+                continue
+            raw, stops = ids.tobytes(), (4 * at).tolist()
+            out.update(zip(group, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        rest += [w for w in words if w not in out] if len(out) + len(rest) < len(words) else []
+        rest = [*dict.fromkeys(rest)]
+        out.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian u32."""
-        cut = [_SPACES.split(_STOP.sub(r" \1", t)) for t in texts]
-        new = [*set().union(*cut).difference(self.known)]
-        fresh = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(self.known) < self.most:
-            self.known.update(fresh)
-            return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        cut = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
+        fresh = self._fresh([*set().union(*cut).difference(known)])
+        if len(known) < self.most:
+            known.update(fresh)
+            return [b"".join(map(known.__getitem__, words)) for words in cut]
         return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
 
 
