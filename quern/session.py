@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cpus: int | str = "*", app: str = "quern", shuffle_partitions: int = 8) -> SparkSession:
@@ -22,3 +23,11 @@ def get_spark(cpus: int | str = "*", app: str = "quern", shuffle_partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir, which cuts its lineage and outlives executors; a temporary folder only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    return df.checkpoint()
