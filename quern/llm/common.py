@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: letters and digits of ASCII, and anything beyond ASCII; A-Z count as a-z.
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# A word is a run of letters and digits of ASCII and of anything beyond ASCII; A-Z count as a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -21,10 +21,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def rows_of(parts: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[list[dict]]:
+    """Rows of Arrow batches as Python objects, a few at a time: a batch of long texts is never unpacked whole."""
+    for part in parts:
+        for lo in range(0, part.num_rows, n):
+            yield part.slice(lo, n).to_pylist()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the next text; emptied when it has grown too large."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -91,7 +98,7 @@ def same_row(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def batches(texts: Iterator[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
+def batches(texts: Iterator[str | None], chars: int = 500_000) -> Iterator[list[str]]:
     """Lists of texts of so many characters in all, or one longer text; null becomes empty."""
     out, n = [], 0
     for t in texts:

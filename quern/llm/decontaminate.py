@@ -10,21 +10,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, store
+from .common import store
 
 #: Words of a window; rarest terms whose lists are intersected.
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What separates words: all of ASCII but letters and digits.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _cut(text: Column) -> Column:
+    """A text cut at what separates words, which is much cheaper than looking for the words; there may be an empty one at either end."""
+    return F.split(text, _BETWEEN, -1)
+
+
+def _whole(cut: Column) -> Column:
+    """A cut text without the empty words at its ends."""
+    lead = F.when(cut[0] == "", 1).otherwise(0)
+    return F.slice(cut, lead + 1, word_count(cut))
+
+
+def word_count(cut: Column) -> Column:
+    return F.size(cut) - F.when(cut[0] == "", 1).otherwise(0) - F.when((F.size(cut) > 1) & (F.element_at(cut, -1) == ""), 1).otherwise(0)
+
+
 def words(text: Column) -> Column:
     """array<string>: the words of a text, A-Z lower-cased; empty for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD_PATTERN), F.lit(0))
+    return _whole(_cut(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)))
 
 
 def coarse_words(text: Column) -> Column:
     """As words, but lower-cased throughout: as many, and equal wherever words are; cheaper over whole corpora."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
+    return _whole(_cut(F.lower(F.coalesce(text, F.lit("")))))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -33,8 +52,9 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     terms comes from a stored table, so Spark knows its size: below its limit it is broadcast, beyond it the lists are
     joined by term, where the skew join splits frequent ones.
     """
-    each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(coarse_words(F.col("text"))).alias("pos", "term"))
-    return each.join(terms, "term")
+    cut = docs.select("doc_id", F.xxhash64("text").alias("row"), _cut(F.lower("text")).alias("cut"))
+    each = cut.select("doc_id", "row", F.when(F.col("cut")[0] == "", 1).otherwise(0).alias("lead"), F.posexplode("cut").alias("pos", "term"))
+    return each.join(terms, "term").select("term", "doc_id", "row", (F.col("pos") - F.col("lead")).alias("pos"))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -115,7 +135,8 @@ def report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("bigint").alias("n_hit"),
         F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias("items"),
     )
-    own = docs.select("doc_id", F.xxhash64("text").alias("row"), F.size(coarse_words(F.col("text"))).cast("bigint").alias("n_words"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("row"), _cut(F.coalesce("text", F.lit(""))).alias("cut"))
+    own = own.select("doc_id", "row", word_count(F.col("cut")).cast("bigint").alias("n_words"))
     out = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(items_of).cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
