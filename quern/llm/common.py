@@ -82,6 +82,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+#: Rows of a batch that goes to Python: whole texts, which may be long, so many fewer than Spark's 10 000.
+BATCH_ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself; from now on its session sends at most BATCH_ROWS rows to Python at once (fewer, if it was set to fewer)."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

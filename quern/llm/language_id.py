@@ -13,12 +13,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, free_name
+from .common import batches, free_name, small_batches
 
 # Languages by family (ISO 639-1 codes).
 FAMILIES = {
@@ -39,7 +40,7 @@ FAMILIES = {
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 
 #: Hashed features, and labelled documents of each side of one machine at most (the bound of the training sample).
-FEATURES, PER_SIDE = 1 << 15, 300
+FEATURES, PER_SIDE = 1 << 14, 200
 
 
 def family_of(lang: str) -> str:
@@ -85,7 +86,8 @@ def features(texts: list[str]) -> np.ndarray:
     for i in range(len(texts)):
         part = grams[:, at[i] : at[i + 1] - 1]
         out[i] = np.bincount(part.ravel(), minlength=FEATURES) / max(1, part.size)
-    return out * _SCALE
+    out *= _SCALE
+    return out
 
 
 _SCALE = np.float32(16)
@@ -95,7 +97,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 25, seed
     """Weights (the last is the bias) of a linear support vector machine with squared hinge loss, by dual coordinate descent."""
     rng = np.random.default_rng(seed)
     w, alpha = np.zeros(x.shape[1] + 1, np.float64), np.zeros(len(x))
-    size = (x * x).sum(1) + 1 + 0.5 / c
+    size = np.einsum("ij,ij->i", x, x) + 1 + 0.5 / c
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             g = y[i] * (x[i] @ w[:-1] + w[-1]) - 1 + alpha[i] * 0.5 / c
@@ -199,11 +201,12 @@ def predict(model: LanguageModel, text: Column | str) -> Column:
     """struct(lang_pred string, score double) of a text column; null counts as empty, so und."""
     shared = SparkContext._active_spark_context.broadcast(model)  # machines of at most FEATURES weights each
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out = [x for some in batches(part) for x in shared.value.predict(some)]
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            texts = (t.as_py() for t in part)  # one at a time: a batch is never unpacked whole
+            out = [x for some in batches(texts) for x in shared.value.predict(some)]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], ["lang_pred", "score"])
 
     return of(text)
 
@@ -220,7 +223,7 @@ def identify(docs: DataFrame) -> DataFrame:
     none. Columns other than doc_id, text and lang have no influence.
     """
     model = train(docs.where(F.col("doc_id").isNotNull() & ~is_held_out()))
-    out = docs.select("doc_id", is_held_out().alias("held_out"), predict(model, F.col("text")).alias("p"))
+    out = small_batches(docs).select("doc_id", is_held_out().alias("held_out"), predict(model, F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
@@ -228,4 +231,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told (not und), with their own columns."""
     model = train(docs.where(F.col("doc_id").isNotNull() & ~is_held_out()))
     name = free_name(docs, "p")
-    return docs.withColumn(name, predict(model, F.col("text"))).where(F.col(f"{name}.lang_pred") != "und").select(*[docs[c] for c in docs.columns])
+    return small_batches(docs).withColumn(name, predict(model, F.col("text"))).where(F.col(f"{name}.lang_pred") != "und").select(*[docs[c] for c in docs.columns])

@@ -19,6 +19,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled pages that the weights are learnt from, at most.
 TRAINING_PAGES = 1000
 # Tags of HTML by their part in a page.
@@ -174,5 +176,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Null or empty html, or a page without content, gives an empty text; repeated rows give repeated results; an empty table
     gives none; other columns are left out.
     """
-    out = pages.select("page_id", "url", main_text(F.col("html"), learn(pages)).alias("text"))
+    out = small_batches(pages).select("page_id", "url", main_text(F.col("html"), learn(pages)).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -14,17 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, free_name, mix, run_hashes, same_row, store, words_of
+from .common import WordHashes, connected_components, mix, rows_of, run_hashes, small_batches, store, words_of
 
 K, SIMILARITY = 5, 0.8
 #: Sketches of each document and shingles of each: a pair at 0.8 shares none of them with a chance below 1 in 20 000.
 SKETCHES, TAKEN = 14, 3
-#: Documents of one side of a block in which a bucket's members are compared.
-BLOCK = 256
+#: Documents of one side of a block in which a bucket's members are compared, about, and bytes of their word hashes.
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -47,8 +48,8 @@ def sketches(labels: np.ndarray) -> np.ndarray:
     if not len(labels):
         return np.zeros(0, np.uint64)
     best_h = best_at = None
-    for lo in range(0, len(labels), 100_000):
-        part = labels[lo : lo + 100_000]
+    for lo in range(0, len(labels), 30_000):
+        part = labels[lo : lo + 30_000]
         h = mix(part[None, :] ^ _SEEDS[:, None])
         at = np.broadcast_to(np.arange(lo, lo + len(part)), h.shape)
         if best_h is not None:
@@ -110,25 +111,24 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 _PRINTS = "doc_id bigint, content binary, sketches array<bigint>, words binary"
+_PRINT = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("sketches", pa.list_(pa.int64())), ("words", pa.binary())])
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row doc_id, content (a 128-bit hash of its words; null without words), sketches and words (32-bit hashes)."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for pdf in parts:
-            for lo in range(0, len(pdf), 1000):
-                part, rows = pdf.iloc[lo : lo + 1000], []
-                for text in part["text"]:
-                    words = words_of(text)
-                    h = known.of(words).astype("<u4")
-                    rows.append((xxhash.xxh3_128_digest(b" ".join(words)) if words else None, sketches(labelled(h)).view(np.int64), h.tobytes()))
-                out = pd.DataFrame(rows, columns=["content", "sketches", "words"])
-                out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-                yield out
+        for rows in rows_of(parts):
+            out = []
+            for r in rows:
+                words = words_of(r["text"])
+                h = known.of(words).astype("<u4")
+                out.append({"doc_id": r["doc_id"], "content": xxhash.xxh3_128_digest(b" ".join(words)) if words else None, "sketches": sketches(labelled(h)).view(np.int64), "words": h.tobytes()})
+            yield pa.RecordBatch.from_pylist(out, _PRINT)
 
-    return docs.select("doc_id", "text").mapInPandas(of, _PRINTS)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(of, _PRINTS)
 
 
 def _labels(words: bytes) -> np.ndarray:
@@ -138,12 +138,11 @@ def _labels(words: bytes) -> np.ndarray:
 def _verify(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, words_a, words_b) those that are similar."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            ok = [similar(_labels(x), _labels(y)) for x, y in zip(pdf["words_a"], pdf["words_b"], strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(parts):
+            yield pa.RecordBatch.from_pylist([{"a": r["a"], "b": r["b"]} for r in rows if similar(_labels(r["words_a"]), _labels(r["words_b"]))], _LINK)
 
-    return pairs.mapInPandas(of, "a binary, b binary")
+    return pairs.mapInArrow(of, "a binary, b binary")
 
 
 def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,9 +195,9 @@ def links(prints: DataFrame) -> DataFrame:
     """
     some = prints.where("content is not null")
     # Copies of one text are one member from the first step on.
-    each = some.groupBy("content").agg(F.min_by("sketches", "doc_id").alias("s"), F.count("*").alias("n")).select("content", F.posexplode("s").alias("i", "h"))
-    members = store(each.select(F.xxhash64("i", "h").alias("bucket"), "content"), "members")
-    buckets = members.groupBy("bucket").agg(F.min("content").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    each = some.groupBy("content").agg(F.min_by("sketches", "doc_id").alias("s"), F.max(F.octet_length("words")).alias("bytes")).select("content", "bytes", F.posexplode("s").alias("i", "h"))
+    members = store(each.select(F.xxhash64("i", "h").alias("bucket"), "content", "bytes"), "members")
+    buckets = members.groupBy("bucket").agg(F.min("content").alias("pivot"), F.count("*").alias("n"), F.sum("bytes").alias("total")).where("n > 1")
     buckets = store(buckets, "buckets")
     pairs = members.join(buckets, "bucket").where("content <> pivot").select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
     pairs = store(pairs, "pairs")
@@ -209,10 +208,11 @@ def links(prints: DataFrame) -> DataFrame:
     first = store(_verify(with_b.join(texts.select(F.col("content").alias("a"), F.col("words").alias("words_a")), "a")), "links")
     comp = store(connected_components(first), "components")
     now = members.join(buckets, "bucket").join(comp.withColumnRenamed("node", "content"), "content", "left")
-    now = now.select("bucket", "content", "n", F.coalesce("component", "content").alias("component"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
+    now = now.select("bucket", "content", parts.alias("parts"), F.coalesce("component", "content").alias("component"))
     now = store(now, "members")
     mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    now = now.join(store(mixed, "mixed"), "bucket", "left_semi").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    now = now.join(store(mixed, "mixed"), "bucket", "left_semi")
     own = F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")
     now = now.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)

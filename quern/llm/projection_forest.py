@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, store
+from .common import connected_components, small_batches, store
 
 COSINE = 0.98
 #: Trees; levels at most; members of a leaf that are few enough to compare; members of one side of a block.
@@ -55,7 +55,7 @@ def members(vectors: DataFrame) -> DataFrame:
             out.insert(0, "vec_id", pdf["vec_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
-    return vectors.select("vec_id", "label", "embedding").mapInPandas(of, _MEMBERS)
+    return small_batches(vectors).select("vec_id", "label", "embedding").mapInPandas(of, _MEMBERS)
 
 
 def leaves(own: DataFrame, leaf: int = LEAF) -> DataFrame:

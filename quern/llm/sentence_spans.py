@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_name, mix, store, words_of
+from .common import WordHashes, free_name, mix, rows_of, small_batches, store, words_of
 
 #: Sentences of a span; words of such a span at least; words of a span of fewer sentences at least.
 SENTENCES, LEAST_WORDS, LONG_WORDS = 3, 16, 40
@@ -66,18 +67,19 @@ _SPANS = "doc_id bigint, row bigint, first int, n int, hash bigint"
 def all_spans(docs: DataFrame) -> DataFrame:
     """Spans of every row; row is a hash of its text, which tells rows of one doc_id apart."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for pdf in parts:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                got = [spans(t, known) for t in part["text"]]
-                size = [len(x) for x in got]
-                flat = np.array([y for x in got for y in x], dtype=object).reshape(-1, 3)
-                doc = part["doc_id"].astype("Int64")
-                yield pd.DataFrame({"doc_id": doc.repeat(size).array, "row": part["row"].to_numpy().repeat(size), "first": flat[:, 0].astype(np.int32), "n": flat[:, 1].astype(np.int32), "hash": flat[:, 2].astype(np.uint64).view(np.int64)})
+        for rows in rows_of(parts):
+            docs_of, rows_of_, flat = [], [], []
+            for r in rows:
+                got = spans(r["text"], known)
+                docs_of += [r["doc_id"]] * len(got)
+                rows_of_ += [r["row"]] * len(got)
+                flat += got
+            first, n, h = zip(*flat, strict=True) if flat else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(rows_of_, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64), pa.int64())], ["doc_id", "row", "first", "n", "hash"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(of, _SPANS)
+    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _SPANS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -116,9 +118,9 @@ def remove_repeats(docs: DataFrame, count: str | None = None) -> DataFrame:
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([_without(t, {int(x) for x in g}) for t, g in zip(text, gone, strict=True)], dtype=object)
+        return pd.Series([None if g is None else _without(t or "", {int(x) for x in g}) for t, g in zip(text, gone, strict=True)], dtype=object)
 
-    new = F.when(hits[cut].isNull(), keyed["text"]).otherwise(rest(F.coalesce(keyed["text"], F.lit("")), F.coalesce(hits[cut], F.array().cast("array<int>"))))
+    new = F.when(hits[cut].isNull(), keyed["text"]).otherwise(rest(F.when(hits[cut].isNotNull(), keyed["text"]), hits[cut]))  # other texts aren't sent to Python
     removed = F.coalesce(F.size(hits[cut]), F.lit(0))
     out = both.select(*[new.alias(c) if c == "text" else keyed[c] for c in docs.columns], *([removed.alias(count)] if count else []))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, small_batches
 from .token_store import pieces
 
 MARK = "▁"
@@ -95,4 +95,4 @@ def token_count(text: Column | str, model: str, most: int = MEMORY_WORDS) -> Col
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and n_tokens of every whole text; null or blank: 0. Repeated rows give repeated results, an empty table none; other columns are left out."""
-    return docs.select("doc_id", token_count(F.col("text"), model).alias("n_tokens"))
+    return small_batches(docs).select("doc_id", token_count(F.col("text"), model).alias("n_tokens"))
