@@ -29,7 +29,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(_table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
-    return token_store.read_tokens(spark, to).drop("tokens")
+    return token_store.read_tokens(spark, to, tokens=False)
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

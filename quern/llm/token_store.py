@@ -20,17 +20,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import rows_of, small_batches, store
+
 BLOCK = 512
 END_ID = 1
 #: Ids of a segment, after which it ends with the document; documents longer than this are a segment of their own.
 SEGMENT_IDS = 1 << 20
-#: Distinct words whose ids a worker remembers.
-MEMORY_WORDS = 600_000
+#: Distinct words whose ids a worker remembers, and the blocks of texts that must have had a word before it is remembered.
+MEMORY_WORDS, TIMES = 300_000, 1
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -100,7 +102,9 @@ class Segment:
         return out
 
 
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
+#: Punctuation between a Latin letter or digit, which no normalisation takes apart, and white space. Not the apostrophe, which
+#: may join what follows a word, nor signs that special tokens are written with.
+_STOP = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:;=?@\[-^`{}~]+)(?=\s)")
 #: Words that are encoded as one text.
 TOGETHER = 400
 
@@ -110,10 +114,27 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word) and word.lower().isalpha())
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Known(dict):
+    """Ids of remembered words; those of the block at hand stand beside them."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 class WordEncoder:
     """A tokenizer that drops white space and marks word ends, applied to the distinct words of texts.
 
-    Ids don't depend on what stands beyond white space, nor does a letter's side of a full stop or comma that white space
+    Ids don't depend on what stands beyond white space, nor beyond the border of a letter and punctuation that white space
     follows; so a text is cut there, each piece encoded once, and its ids joined as bytes. Plain words are encoded many at a
     time: the token that ends a word carries the vocabulary's suffix, which tells them apart again.
     """
@@ -122,7 +143,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known({"": b""})
+        self.met = bytearray(1 << 22)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -148,13 +170,29 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian u32."""
-        cut = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
-        known = self.known
+        cut = [self._cut(t) for t in texts]
+        known, met = self.known, self.met
         fresh = self._fresh([*set().union(*cut).difference(known)])
+        known.fresh = fresh
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
         if len(known) < self.most:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, words)) for words in cut]
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
+            for w, ids in fresh.items():
+                at = hash(w) & 0x3FFFFF
+                if met[at] == TIMES:
+                    known[w] = ids
+                else:
+                    met[at] += 1
+        return out
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Pieces between white space; the four separators that only Python takes for white space stay in their pieces."""
+        if text.isascii() or _is_latin1(text):  # here the tokenizer's lower case is Python's: fewer words differ
+            text = text.lower()
+        text = _STOP.sub(r" \1", text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return text.replace("\n", " ").split(" ")
+        return text.split()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -178,6 +216,8 @@ def pieces(text: str, chars: int = 1_000_000) -> Iterator[str]:
 
 
 SEGMENTS = "part int, seg int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+_SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
+_DOCUMENT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("tokens", pa.binary())])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> None:
@@ -188,40 +228,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     range; extra columns are left out.
     """
 
-    def encode(parts_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seg, own, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         doc_ids, lengths, ids, n = [], [], [], 0
 
-        def cut() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seg": [seg], "doc_ids": [list(doc_ids)], "lengths": [list(lengths)], "payload": [pack(np.frombuffer(b"".join(ids), "<u4"))]})
-
-        for pdf in parts_in:
-            keys, texts = pdf["doc_id"].astype("Int64"), pdf["text"]
-            for lo in range(0, len(pdf), 256):
-                some = [t or "" for t in texts.iloc[lo : lo + 256]]
-                short = [t for t in some if len(t) <= 1_000_000]
-                done = iter(own.encode(short))
-                for k, t in zip(keys.iloc[lo : lo + 256], some, strict=True):
-                    got = next(done) if len(t) <= 1_000_000 else b"".join(x for p in pieces(t) for x in own.encode([p]))
-                    doc_ids.append(None if pd.isna(k) else int(k))
-                    lengths.append(len(got) // 4 + 1)
-                    ids += [got, end]
-                    n += lengths[-1]
-                    if n >= SEGMENT_IDS:
-                        yield cut()
-                        seg, n = seg + 1, 0
-                        doc_ids, lengths, ids = [], [], []
+        def cut() -> pa.RecordBatch:
+            packed = pack(np.frombuffer(b"".join(ids), "<u4"))
+            return pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "doc_ids": doc_ids, "lengths": lengths, "payload": packed}], _SEGMENT)
+
+        for rows in rows_of(parts_in):
+            texts = [r["text"] or "" for r in rows]
+            done = iter(own.encode([t for t in texts if len(t) <= 1_000_000]))
+            for r, t in zip(rows, texts, strict=True):
+                got = next(done) if len(t) <= 1_000_000 else b"".join(x for p in pieces(t) for x in own.encode([p]))
+                doc_ids.append(r["doc_id"])
+                lengths.append(len(got) // 4 + 1)
+                ids += [got, end]
+                n += lengths[-1]
+                if n >= SEGMENT_IDS:
+                    yield cut()
+                    seg, n = seg + 1, 0
+                    doc_ids, lengths, ids = [], [], []
         if doc_ids:
             yield cut()
 
     tie = F.xxhash64("text").alias("tie")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text", tie).repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
-    rows.select("doc_id", "text").mapInPandas(encode, SEGMENTS).write.parquet(path)
+    rows = small_batches(docs).select("doc_id", "text", tie).repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    rows.select("doc_id", "text").mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and tokens (its ids as little-endian u32) from the files."""
+def read_tokens(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, tokens (its ids as little-endian u32) from the files."""
     seg = spark.read.schema(SEGMENTS).parquet(path)
     sizes = seg.select("part", "seg", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n"))
     # Two levels of running sums: within each part, and over the totals of the parts, of which there are as many as tasks wrote.
@@ -230,17 +268,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(parts, "part").select("part", "seg", (F.col("base") + F.col("own")).alias("first"))
-
-    def split(parts_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts_in:
-            for r in pdf.itertuples():
-                packed, at, rows = Segment(r.payload), 0, []
-                for k, n in zip(r.doc_ids, r.lengths, strict=True):
-                    ids = packed.slice(at, at + int(n)).astype("<u4").tobytes()
-                    rows.append((None if k is None or k != k else int(k), int(r.first) + at, int(n), zlib.crc32(ids), ids))
-                    at += int(n)
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "tokens"])
-                out["doc_id"] = pd.array([x[0] for x in rows], dtype="Int64")
-                yield out
-
-    return seg.join(starts, ["part", "seg"]).mapInPandas(split, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, tokens binary")
+    starts = store(starts, "starts")  # of known size: while small it is broadcast, and no payload is shuffled
+
+    def split(parts_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (r,) in rows_of(parts_in, 1):
+            packed, at, rows = Segment(r["payload"]), 0, []
+            ids = memoryview(packed.slice(0, len(packed)).astype("<u4").tobytes())
+            for k, n in zip(r["doc_ids"], r["lengths"], strict=True):
+                own = ids[4 * at : 4 * (at + n)]
+                rows.append({"doc_id": k, "start": r["first"] + at, "n_tokens": n, "ids_crc32": zlib.crc32(own)} | ({"tokens": own} if tokens else {}))
+                at += n
+            yield pa.RecordBatch.from_pylist(rows, _DOCUMENT if tokens else _DOCUMENT.remove(4))
+
+    return seg.join(starts, ["part", "seg"]).mapInArrow(split, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", tokens binary" if tokens else ""))

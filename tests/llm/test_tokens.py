@@ -93,3 +93,15 @@ def test_trie_counts_are_those_of_each_word_alone(spark):
     got = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(documents(spark, TEXTS), P.path("piece_bpe_32k.model")).collect()}
     assert got == {(k, sum(brute_count(unigram, w) for w in (t or "").split())) for k, t in TEXTS}
     assert token_counts.count_tokens(documents(spark, []), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_words_encode_as_whole_texts_at_random():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, own, rnd = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_store.WordEncoder(P.path("word_bpe_49k.json")), random.Random(1)
+    letters = "aAbZé́ßİΣक़09 .,!'$%&_<|>~^`\n\t\x1c\x85\xa0-–🙂ﬁ日 st"
+    for k in range(3000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) + rnd.choice(["", "<|endoftext|>", "<|startoftext|>.", " 's 're"]) + rnd.choice(letters)
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
