@@ -110,13 +110,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return start + banded(a[start:], b[start:], int(len(a) + len(b) - 2 * need) + 1) >= need
 
 
-_PRINTS = "doc_id bigint, content binary, sketches array<bigint>, words binary"
-_PRINT = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("sketches", pa.list_(pa.int64())), ("words", pa.binary())])
+_PRINTS = "doc_id bigint, row bigint, content binary, sketches array<bigint>, words binary"
+_PRINT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("content", pa.binary()), ("sketches", pa.list_(pa.int64())), ("words", pa.binary())])
 _LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """For each row doc_id, content (a 128-bit hash of its words; null without words), sketches and words (32-bit hashes)."""
+    """For each row doc_id, row (a hash of its text), content (a 128-bit hash of its words; null without words), sketches and words (32-bit hashes)."""
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -125,10 +125,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for r in rows:
                 words = words_of(r["text"])
                 h = known.of(words).astype("<u4")
-                out.append({"doc_id": r["doc_id"], "content": xxhash.xxh3_128_digest(b" ".join(words)) if words else None, "sketches": sketches(labelled(h)).view(np.int64), "words": h.tobytes()})
+                out.append({"doc_id": r["doc_id"], "row": r["row"], "content": xxhash.xxh3_128_digest(b" ".join(words)) if words else None, "sketches": sketches(labelled(h)).view(np.int64), "words": h.tobytes()})
             yield pa.RecordBatch.from_pylist(out, _PRINT)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(of, _PRINTS)
+    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _PRINTS)
 
 
 def _labels(words: bytes) -> np.ndarray:
@@ -228,6 +228,10 @@ def classes(docs: DataFrame) -> DataFrame:
     class of its text, null if no row of it has an id; it is kept then. A text of fewer than five words is one shingle.
     Repeated rows give repeated results; an empty table gives none; columns other than doc_id and text are left out.
     """
+    return _classes(docs).drop("row")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     prints = store(fingerprints(docs), "prints")
     found = connected_components(links(prints))
     contents = prints.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first"))
@@ -235,14 +239,13 @@ def classes(docs: DataFrame) -> DataFrame:
     named = store(named, "named")
     lowest = named.groupBy("component").agg(F.min("first").alias("class_id"))
     by_content = store(named.join(lowest, "component").select("content", "class_id"), "classes")
-    out = prints.select("doc_id", "content").join(by_content, "content", "left")
-    out = out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    out = prints.select("doc_id", "row", "content").join(by_content, "content", "left")
+    out = out.select("doc_id", "row", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", "row", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest doc_id, with its own columns; of repeated rows with that id and equal text, one."""
-    found = classes(docs)
-    gone = store(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = store(_classes(docs).where("not kept").select("doc_id", "row").distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left_anti")
     return left.dropDuplicates(["doc_id", "text"])

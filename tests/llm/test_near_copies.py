@@ -98,6 +98,8 @@ def test_copies_edge_cases(spark):
     assert O.classes(documents(spark, [])).count() == 0
     twice = documents(spark, [(1, a), (1, a), (2, a)])
     assert [r.doc_id for r in O.keep_first(twice).collect()] == [1]
+    other = documents(spark, [(1, a), (2, a), (2, long_text(50, "o"))])  # one id, two texts: only the copy goes
+    assert sorted((r.doc_id, len(r.text.split())) for r in O.keep_first(other).collect()) == [(1, 200), (2, 50)]
 
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, member string"
