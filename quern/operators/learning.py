@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import dot, euclid
+from quern.operators.ranking import against_all
 
 DIGITS = 9
 
@@ -29,11 +30,15 @@ def confidence(p: Column, h: Column) -> Column:
 def knn_vote(cached: DataFrame, queries: DataFrame, k: int = 5, least_confidence: float = 0.6, most_entropy: float = 0.65) -> DataFrame:
     """(query_id, label, entropy, confidence, abstain): the k nearest labelled of the max(3k, 20) nearest cached (id, embedding, label) vote, by 1 / (distance + 1e-5).
 
-    Queries are a bounded set and meet all rows; the limits are taken before the shuffle. A query without labelled neighbours has no row.
+    Queries meet all rows in blocks; the limits are taken before the shuffle. A query without labelled neighbours has no row.
     """
-    both = cached.crossJoin(F.broadcast(queries)).where("id <> query_id").select("query_id", "id", "label", euclid(F.col("embedding"), F.col("query")).alias("dist"))
     order = Window.partitionBy("query_id").orderBy(F.round("dist", DIGITS), "id")
-    near = both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(3 * k, 20))
+
+    def pick(both: DataFrame) -> DataFrame:
+        own = both.where("id <> query_id").select("query_id", "id", "label", euclid(F.col("embedding"), F.col("query")).alias("dist"))
+        return own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(3 * k, 20))
+
+    near = against_all(cached, queries, pick)
     near = near.where("label is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     w = near.groupBy("query_id", "label").agg(F.sum(1 / (F.col("dist") + 1e-5)).alias("w"))
     p = w.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("query_id")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,33 @@ def trigram_cosine(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_
     return top(scored, k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, positive: bool = True) -> DataFrame:
-    """Cosine of (id, embedding) with a bounded set of query vectors (query_id, query); scores of 0 or less are dropped if positive."""
-    both = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("embedding"), F.col("query")).alias("score"))
-    out = top(both, k)
+#: Queries that are sent to all rows at once.
+QUERY_BLOCK = 1024
+
+
+def against_all(rows: DataFrame, queries: DataFrame, pick: Callable[[DataFrame], DataFrame], on: list[str] | None = None) -> DataFrame:
+    """What pick makes of all rows beside each query of a stated set (query_id, ...), in blocks of queries of bounded size.
+
+    A block is broadcast, so rows never move, and pick's limit by query is taken before its shuffle.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        block = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        one = pick(rows.join(block, on) if on else rows.crossJoin(block))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, positive: bool = True, on: list[str] | None = None) -> DataFrame:
+    """The k of (id, embedding) of the largest cosine with each query (query_id, query); scores of 0 or less are dropped if positive. on: columns in which both agree, such as the space."""
+    out = against_all(vectors, queries, lambda both: top(both.select("query_id", "id", cosine(F.col("embedding"), F.col("query")).alias("score")), k), on)
     return out.where(F.round("score", DIGITS) > 0) if positive else out
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k vectors of the smallest Euclidean distance to each of a bounded set of query vectors."""
-    both = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", euclid(F.col("embedding"), F.col("query")).alias("score"))
-    return top(both, k, ascending=True)
+    """The k vectors of the smallest Euclidean distance to each query."""
+    return against_all(vectors, queries, lambda both: top(both.select("query_id", "id", euclid(F.col("embedding"), F.col("query")).alias("score")), k, ascending=True))
 
 
 def hashed_embedding(docs: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:

@@ -111,13 +111,13 @@ def grid_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "weather_spread",
-    f"""WITH {_BOXES}, p AS (SELECT id, min_lon AS lon, min_lat AS lat FROM bx WHERE min_lon IS NOT NULL), s AS (SELECT s_suppkey AS station, CAST(s_suppkey * 13 % 120 - 60 AS DOUBLE) AS sx, CAST(s_suppkey * 29 % 80 - 40 AS DOUBLE) AS sy, s_acctbal AS v FROM supplier WHERE s_suppkey < 50),
+    f"""WITH {_BOXES}, p AS (SELECT id, min_lon AS lon, min_lat AS lat FROM bx WHERE min_lon IS NOT NULL), s AS (SELECT n_nationkey AS station, CAST(n_nationkey * 13 % 120 - 60 AS DOUBLE) AS sx, CAST(n_nationkey * 29 % 80 - 40 AS DOUBLE) AS sy, n_nationkey * 1.5 AS v FROM nation),
     d AS (SELECT id, station, v, round(pow(sx - lon, 2) + pow(sy - lat, 2), 12) AS d FROM p, s), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, station) AS n FROM d)
     SELECT id, round(CASE WHEN min(d) = 0 THEN arg_min(v, n) ELSE sum(v / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12)) END, 5) AS temperature FROM r WHERE n <= 3 GROUP BY id""",
 )
 def weather_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    stations = table(spark, sf_dir, "supplier").where("s_suppkey < 50").select(k.alias("station"), (k * 13 % 120 - 60).cast("double").alias("lon"), (k * 29 % 80 - 40).cast("double").alias("lat"), F.col("s_acctbal").alias("temperature"))
+    k = F.col("n_nationkey")
+    stations = table(spark, sf_dir, "nation").select(k.alias("station"), (k * 13 % 120 - 60).cast("double").alias("lon"), (k * 29 % 80 - 40).cast("double").alias("lat"), (k * 1.5).alias("temperature"))
     px = boxes(spark, sf_dir).where("min_lon is not null").select("id", F.col("min_lon").alias("lon"), F.col("min_lat").alias("lat"))
     return grids.spread(px, stations, "temperature").select("id", F.round("temperature", 5).alias("temperature"))
 

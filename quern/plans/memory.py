@@ -86,7 +86,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 1500).alias("source_id"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("target_id"))
 
 
-_REL = "rel AS (SELECT o_orderkey AS id, o_custkey % 1500 AS source_id, (o_custkey * 7 + o_orderkey) % 1500 AS target_id FROM orders), bo AS (SELECT id, source_id AS near, target_id AS far FROM rel UNION ALL SELECT id, target_id, source_id FROM rel), st AS (SELECT c_custkey AS start FROM customer WHERE c_custkey < 10)"
+_REL = "rel AS (SELECT o_orderkey AS id, o_custkey % 1500 AS source_id, (o_custkey * 7 + o_orderkey) % 1500 AS target_id FROM orders), bo AS (SELECT id, source_id AS near, target_id AS far FROM rel UNION ALL SELECT id, target_id, source_id FROM rel), st AS (SELECT c_custkey AS start FROM customer WHERE c_custkey % 100 = 0)"
 
 
 @query(
@@ -96,20 +96,20 @@ _REL = "rel AS (SELECT o_orderkey AS id, o_custkey % 1500 AS source_id, (o_custk
     SELECT start, id AS relation_id, e.near AS near, e.far AS far, hop FROM a QUALIFY row_number() OVER (PARTITION BY start ORDER BY hop, id) <= 50""",
 )
 def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = table(spark, sf_dir, "customer").where("c_custkey < 10").select(F.col("c_custkey").alias("start"))
+    start = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("start"))
     return graph.traverse(relations(spark, sf_dir), start, depth=1)
 
 
 @query(
     "relation_expand",
-    f"""WITH {_REL}, en AS (SELECT c_custkey AS id, 'seg' || CAST(c_custkey AS VARCHAR) AS evidence_id FROM customer WHERE c_custkey < 1500), h AS (SELECT c_custkey % 3 AS query_id, 'seg' || CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey < 12),
+    f"""WITH {_REL}, en AS (SELECT c_custkey AS id, 'seg' || CAST(c_custkey AS VARCHAR) AS evidence_id FROM customer), h AS (SELECT c_custkey % 3 AS query_id, 'seg' || CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 100 = 0),
     o AS (SELECT query_id, en.id AS near FROM h JOIN en ON h.id = evidence_id), f AS (SELECT DISTINCT query_id, evidence_id AS segment_id FROM o JOIN bo USING (near) JOIN en ON en.id = far)
     SELECT query_id, segment_id FROM f WHERE (query_id, segment_id) NOT IN (SELECT (query_id, id) FROM h) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY segment_id) <= 50""",
 )
 def relation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("seg"), F.col("c_custkey").cast("string")).alias("evidence_id"))
-    hits = named.where("id < 12").select((F.col("id") % 3).alias("query_id"), F.col("evidence_id").alias("id"))
-    return graph.expand_hits(hits, named.where("id < 1500"), relations(spark, sf_dir))
+    hits = named.where("id % 100 = 0").select((F.col("id") % 3).alias("query_id"), F.col("evidence_id").alias("id"))
+    return graph.expand_hits(hits, named, relations(spark, sf_dir))
 
 
 @query("pending_anti", "SELECT doc_id AS id, CASE WHEN quality = 1 AND toxic = 0 THEN 'verified' WHEN quality = 1 THEN 'supported' ELSE 'rejected' END AS state FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -278,7 +278,7 @@ def association_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.blend(proba, scores, "user_id").select("user_id", "label", F.round("blended", 9).alias("blended"))
 
 
-_KNN = """e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, label FROM embeddings), qv AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < 20),
+_KNN = """e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, label FROM embeddings), qv AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 100 = 0),
     d AS (SELECT query_id, vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END AS label, list_distance(v, q) AS dist FROM e, qv WHERE vec_id <> query_id),
     c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) <= 20),
     k AS (SELECT * FROM c WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) <= 5),
@@ -290,7 +290,7 @@ _KNN = """e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, labe
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "embeddings")
     cached = t.select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("vec_id") % 3 != 0, F.col("label")).alias("label"))
-    asked = t.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = t.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     out = learning.knn_vote(cached, asked)
     return out.select("query_id", "label", F.round("entropy", 6).alias("entropy"), F.round("confidence", 6).alias("confidence"), "abstain")
 
