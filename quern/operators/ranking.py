@@ -23,13 +23,15 @@ def top(hits: DataFrame, k: int, query: str = "query_id", ascending: bool = Fals
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Okapi BM25 of every query (query_id, query) against docs (key, text), terms joined by OR.
 
-    Only query terms leave the scan; term counts are combined before the shuffle.
+    Only query terms leave the scan; term counts are combined before the shuffle. Arrays of terms are exploded outer, here
+    and below: else Spark puts a filter on their size under the explode, for which every text is cut again.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     own = docs.select(F.col(key).alias("id"), terms(F.col("text")).alias("t"))
     totals = own.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    found = own.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    spread = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row
+    found = own.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).join(asked.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # Always true, but of the same columns as the scores need: so both read one shuffle of term counts.
+    spread = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("len") > 0)).alias("df")).crossJoin(F.broadcast(totals))  # one row
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     spread = spread.select("term", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -39,7 +41,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> Da
 
 def trigram_cosine(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Cosine of trigram counts; the k best first, then those of score 0 dropped (a document without a common trigram is never better)."""
-    own = docs.select(F.col(key).alias("id"), F.explode(trigrams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
+    own = docs.select(F.col(key).alias("id"), F.explode_outer(trigrams(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g").agg(F.count("*").alias("tf"))
     size = own.groupBy("id").agg(F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double"))).alias("size"))
     asked = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("qf"))
     asked_size = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("qf") * F.col("qf")).cast("double"))).alias("q_size"))
@@ -79,7 +81,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def hashed_embedding(docs: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:
     """(key, embedding array<double>): counts of terms by the first four bytes of their MD5 (little-endian) modulo dim, scaled to length 1."""
-    own = docs.select(key, F.explode(terms(F.col("text"))).alias("t"))
+    own = docs.select(key, F.explode_outer(terms(F.col("text"))).alias("t")).where("t is not null")
     m = F.md5("t")
     swapped = F.concat(*[F.substring(m, i, 2) for i in (7, 5, 3, 1)])
     slot = F.pmod(F.conv(swapped, 16, 10).cast("bigint"), F.lit(dim)).cast("int")

@@ -38,7 +38,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
     first = ranking.bm25(docs, asked, 50).select("query_id", F.lit(0).alias("list_id"), "id", "rank", "score")
     want = asked.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    own = docs.select(F.col("doc_id").alias("id"), terms(F.col("text")).alias("t")).select("id", F.size("t").cast("double").alias("score"), F.explode(F.array_distinct("t")).alias("term"))
+    own = docs.select(F.col("doc_id").alias("id"), terms(F.col("text")).alias("t")).select("id", F.size("t").cast("double").alias("score"), F.explode_outer(F.array_distinct("t")).alias("term"))
     second = own.join(want, "term").select("query_id", "id", "score").distinct()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     second = second.withColumn("rank", F.row_number().over(order) - 1).where("rank < 50").select("query_id", F.lit(1).alias("list_id"), "id", "rank", "score")
@@ -85,7 +85,7 @@ def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokenize_3gram", "SELECT g, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(" + _GRAMS.format("text") + ") AS g FROM documents) GROUP BY g")
 def tokenize_3gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(trigrams(F.col("text"))).alias("g"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(trigrams(F.col("text"))).alias("g")).where("g is not null")
     # Counted within each document first: what is shuffled is a row for each trigram of a document.
     return own.groupBy("g", "doc_id").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
