@@ -32,7 +32,7 @@ END_ID = 1
 #: Ids of a segment, after which it ends with the document; documents longer than this are a segment of their own.
 SEGMENT_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers, and the blocks of texts that must have had a word before it is remembered.
-MEMORY_WORDS, TIMES = 300_000, 1
+MEMORY_WORDS, TIMES = 500_000, 1
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -123,12 +123,16 @@ def _is_latin1(text: str) -> bool:
 
 
 class _Known(dict):
-    """Ids of remembered words; those of the block at hand stand beside them."""
+    """Ids of remembered words. A word that isn't one gets a place of its own in fresh, to be filled in later."""
 
-    fresh: dict[str, bytes] = {}
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: dict[str, bytearray] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
+    def __missing__(self, word: str) -> bytearray:
+        if (place := self.fresh.get(word)) is None:
+            place = self.fresh[word] = bytearray()
+        return place
 
 
 class WordEncoder:
@@ -143,7 +147,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known = _Known({"": b""})
+        self.known = _Known()
         self.met = bytearray(1 << 22)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
@@ -170,16 +174,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian u32."""
-        cut = [self._cut(t) for t in texts]
         known, met = self.known, self.met
-        fresh = self._fresh([*set().union(*cut).difference(known)])
-        known.fresh = fresh
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        known.fresh = fresh = {}
+        parts = [[*map(known.__getitem__, self._cut(t))] for t in texts]
+        for w, ids in self._fresh([*fresh]).items():
+            fresh[w] += ids
+        out = [b"".join(p) for p in parts]
         if len(known) < self.most:
             for w, ids in fresh.items():
                 at = hash(w) & 0x3FFFFF
                 if met[at] == TIMES:
-                    known[w] = ids
+                    known[w] = bytes(ids)
                 else:
                     met[at] += 1
         return out
