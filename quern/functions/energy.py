@@ -141,3 +141,30 @@ def et_quality(etrf: Column, daily: Column) -> Column:
     excellent = etrf.between(0.8, 1.2) & daily.between(0.1, 10)
     good = etrf.between(0.6, 2.0) & daily.between(0.05, 12)
     return F.when(excellent, 4).when(good, 3).when(etrf.between(0.3, 1.4), 2).when((etrf >= 0) & (etrf < 0.3), 1).otherwise(0)
+
+
+def greenhouse(up_long: Column, e: Column) -> Column:
+    """What a black body of the surface's temperature would emit beyond it."""
+    return up_long / e - up_long
+
+
+def dt_linear(ts: Column, ta: Column, a: float, b: float) -> Column:
+    return a * (ts - ta) + b
+
+
+def dt_empirical(ts: Column, ta: Column, v: Column) -> Column:
+    """Temperature difference less 2 K at full NDVI."""
+    return ts - ta - 2.0 * v
+
+
+def stress_indicator(le: Column, available: Column, ts: Column) -> Column:
+    """Heat (from 290 K on, over 30 K) times what the evaporative fraction leaves of 1."""
+    safe = F.when(F.abs(available) < 10, F.signum(available) * 10).otherwise(available)
+    return clip((ts - 290.0) / 30.0, 0, 1) * (1 - clip(sdiv(le, safe), 0, 1))
+
+
+def anchor_confidence(valid: Column, shaped: Column, t_diff: Column, t_std: Column, relaxation: Column, candidates: Column) -> Column:
+    """0 to 1: 0.5, and 0.15 and 0.1 for passed checks; scaled by temperature difference (20 K) and spread (8 K), relaxation and candidates (50)."""
+    base = 0.5 + F.when(valid, 0.15).otherwise(0.0) + F.when(shaped, 0.10).otherwise(0.0)
+    part = lambda x, lo: F.least(F.lit(1.0), F.greatest(F.lit(lo), x))
+    return clip(base * part(t_diff / 20, 0.5) * part(t_std / 8, 0.5) * F.exp(-2 * relaxation) * (0.8 + 0.2 * part(candidates / 50, 0.7)), 0, 1)

@@ -46,7 +46,29 @@ def albedo(blue: Column, red: Column, nir: Column, swir1: Column, swir2: Column,
 
 
 def directional_albedo(a: Column, sun_elevation_deg: Column) -> Column:
-    return clip(a * (1 + 0.1 * (1 - F.sin(F.radians(sun_elevation_deg)))), 0, 1)
+    """Black-sky albedo at a sun elevation."""
+    return clip(a * (1 + 0.1 * (1 - F.greatest(F.sin(F.radians(sun_elevation_deg)), F.lit(0.1)))), 0, 0.5)
+
+
+def hemispherical_albedo(a: Column, mean_zenith: float = 0.5) -> Column:
+    """White-sky albedo at a mean sun zenith in radians."""
+    return clip(a * (1 + 0.05 * (1 - math.cos(mean_zenith))), 0, 0.5)
+
+
+def by_cover(cover: Column, table: dict[str, float]) -> Column:
+    """A table's value for a class of land cover; its default for others and null."""
+    return F.coalesce(F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), cover), F.lit(table["default"]))
+
+
+# Emissivities by land cover.
+EMISSIVITY = {"water": 0.985, "bare_soil": 0.960, "sand": 0.955, "grass": 0.970, "forest": 0.985, "urban": 0.920, "crops": 0.970, "snow": 0.990, "default": 0.960}
+# Roughness lengths in metres by land cover.
+ROUGHNESS = {"water": 0.001, "bare_soil": 0.01, "sand": 0.005, "grass": 0.03, "shrub": 0.1, "forest": 1.0, "urban": 0.5, "crops": 0.1, "snow": 0.001, "default": 0.01}
+
+
+def broadband_emissivity(thermal: Column, hottest: Column) -> Column:
+    """From a thermal band and its largest value in the scene."""
+    return clip(F.when(thermal > 0, 0.95 + 0.004 * (thermal / hottest)).otherwise(0.96), 0.9, 1)
 
 
 def emissivity(v: Column) -> Column:

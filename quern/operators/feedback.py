@@ -69,3 +69,12 @@ def export_rows(examples: DataFrame, task: str, payload: str = "payload") -> Dat
 def promote(events: DataFrame) -> DataFrame:
     """(target_id, events): the event ids behind each target, sorted."""
     return events.groupBy("target_id").agg(F.array_sort(F.collect_set("event_id")).alias("events"))
+
+
+def relation_of(text: Column) -> Column:
+    """struct(source, predicate, target) of a proposal written source -> predicate -> target, or source -> target; null for anything else."""
+    parts = F.transform(F.split(text, "->"), lambda p: F.trim(p))
+    n = F.size(parts)
+    three = F.struct(F.get(parts, F.lit(0)).alias("source"), F.get(parts, F.lit(1)).alias("predicate"), F.get(parts, F.lit(2)).alias("target"))
+    two = F.struct(F.get(parts, F.lit(0)).alias("source"), F.lit("related_to").alias("predicate"), F.get(parts, F.lit(1)).alias("target"))
+    return F.when(F.exists(parts, lambda p: p == ""), None).when(n == 3, three).when(n == 2, two)

@@ -217,3 +217,66 @@ def playbook_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"op": "count", "args": {"df": "{{steps.1.value}}", "skip": "{{params.skip}}"}},
     ]
     return Playbook("stress", steps, {"pixels": None, "band": "ndvi", "skip": "3"}).run(operators, pixels=pixels(spark, sf_dir))[-1]
+
+
+@query("soft_delete", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a mark of deletion."""
+    marked = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("deleted"))
+    return table(spark, sf_dir, "documents").join(marked, "doc_id", "left").where("deleted is null").select("doc_id", "source")
+
+
+@query("proposal_relations", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'C' || CAST(o_custkey AS VARCHAR) END AS source, CASE o_orderkey % 3 WHEN 0 THEN 'bought' WHEN 1 THEN 'related_to' END AS predicate, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'O' || CAST(o_orderkey AS VARCHAR) END AS target FROM orders")
+def proposal_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.operators.feedback import relation_of
+
+    a, b = F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(a, F.lit(" -> bought -> "), b)).when(F.col("o_orderkey") % 3 == 1, F.concat(a, F.lit("->"), b)).otherwise(a)
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), relation_of(text).alias("r"))
+    return t.select("id", "r.source", "r.predicate", "r.target")
+
+
+@query(
+    "validation_report",
+    f"""WITH {_BALANCE}, a AS (SELECT scene_id, (count(*) FILTER (WHERE ndvi BETWEEN -0.2 AND 1) / count(*)) >= 0.8 AS surface, (count(*) FILTER (WHERE rn BETWEEN -200 AND 1000) / count(*)) >= 0.9 AS radiation, count(*) FILTER (WHERE etrf < 0 OR etrf > 2) = 0 AS etrf, count(*) FILTER (WHERE le > rn - g + 1e-6 AND rn - g > 0) = 0 AS rules FROM bal GROUP BY scene_id),
+    l AS (UNPIVOT a ON surface, radiation, etrf, rules INTO NAME step VALUE ok) SELECT scene_id, step, ok FROM l""",
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each scene and step of validation."""
+    d = balance(pixels(spark, sf_dir))
+    share = lambda c, lo, hi: F.count_if(F.col(c).between(lo, hi)) / F.count("*")
+    free = F.col("rn") - F.col("g")
+    a = d.groupBy("scene_id").agg((share("ndvi", -0.2, 1.0) >= 0.8).alias("surface"), (share("rn", *validation.RN) >= 0.9).alias("radiation"), (F.count_if((F.col("etrf") < 0) | (F.col("etrf") > 2)) == 0).alias("etrf"), (F.count_if((F.col("le") > free + 1e-6) & (free > 0)) == 0).alias("rules"))
+    return a.unpivot("scene_id", ["surface", "radiation", "etrf", "rules"], "step", "ok")
+
+
+@query(
+    "anchor_physics",
+    f"""WITH {_BALANCE}, k AS (SELECT scene_id, CASE WHEN ndvi >= 0.7 THEN 'cold' ELSE 'hot' END AS kind, avg(le) AS le, avg(h) AS h, avg(rn - g) AS av FROM bal GROUP BY 1, 2)
+    SELECT scene_id, kind, round(le / nullif(av, 0), 5) AS le_share, round(h / nullif(av, 0), 5) AS h_share, coalesce(CASE WHEN kind = 'cold' THEN le / nullif(av, 0) BETWEEN 0.8 AND 1 AND h / nullif(av, 0) <= 0.2 ELSE le / nullif(av, 0) BETWEEN 0.05 AND 0.2 AND h / nullif(av, 0) BETWEEN 0.5 AND 0.8 END, false) AS ok FROM k""",
+)
+def anchor_physics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = balance(pixels(spark, sf_dir))
+    k = d.groupBy("scene_id", F.when(F.col("ndvi") >= 0.7, "cold").otherwise("hot").alias("kind")).agg(F.avg("le").alias("le"), F.avg("h").alias("h"), F.avg(F.col("rn") - F.col("g")).alias("available"))
+    out = validation.anchor_physics(k)
+    return out.select("scene_id", "kind", F.round("le_share", 5).alias("le_share"), F.round("h_share", 5).alias("h_share"), "ok")
+
+
+@query("anchor_confidence", "WITH e AS (SELECT user_id, avg(value) AS d, stddev_pop(value) AS s, count(*) AS n, user_id % 4 * 0.25 AS r FROM events GROUP BY user_id) SELECT user_id, round(least(1, greatest(0, (0.5 + CASE WHEN user_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN user_id % 3 = 0 THEN 0.1 ELSE 0 END) * least(1, greatest(0.5, d / 20)) * least(1, greatest(0.5, s / 8)) * exp(-2 * r) * (0.8 + 0.2 * least(1, greatest(0.7, n / 50))))), 6) AS confidence FROM e")
+def anchor_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.functions.energy import anchor_confidence as score
+
+    k = F.col("user_id")
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("d"), F.stddev_pop("value").alias("s"), F.count("*").alias("n"))
+    return e.select("user_id", F.round(score(k % 2 == 0, k % 3 == 0, F.col("d"), F.col("s"), k % 4 * 0.25, F.col("n")), 6).alias("confidence"))
+
+
+@query("embedding_clusters")
+def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of vectors by k-means, with their sizes and the labels in each."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    t = table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=10, seed=1, maxIter=10, predictionCol="cluster").fit(t)
+    return model.transform(t).groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))

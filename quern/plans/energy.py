@@ -147,7 +147,7 @@ def shadow_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.groupBy("scene_id").agg(F.count_if("dark").alias("dark"), F.count_if(F.col("dark") & G.is_clear(F.col("qa_pixel"))).alias("shadow"))
 
 
-@query("albedo", f"WITH {_SURFACE} SELECT scene_id, y, x, {_half_up('albedo', 8)} AS albedo, {_half_up(_c('albedo * (1 + 0.1 * (1 - sin(radians(50.0))))', 0, 1), 8)} AS directional FROM sf")
+@query("albedo", f"WITH {_SURFACE} SELECT scene_id, y, x, {_half_up('albedo', 8)} AS albedo, {_half_up(_c('albedo * (1 + 0.1 * (1 - sin(radians(50.0))))', 0, 0.5), 8)} AS directional FROM sf")
 def albedo(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = surface(pixels(spark, sf_dir))
     return d.select(*KEY, half_up(F.col("albedo"), 8).alias("albedo"), half_up(G.directional_albedo(F.col("albedo"), F.lit(50.0)), 8).alias("directional"))
@@ -347,3 +347,24 @@ def tvdi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tci_vci_vhi(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raster.condition_indices(surface(pixels(spark, sf_dir)).withColumn("site", F.col("y") % 50), "site")
     return out.select("y", "x", *[F.round(c, 6).alias(c) for c in ("tci", "vci", "vhi")])
+
+
+_MORE = ["white", "broadband", "greenhouse", "dt_lin", "dt_emp", "stress"]
+
+
+@query(
+    "surface_extras",
+    f"""WITH {_BALANCE}, m AS (SELECT scene_id, max(lwir11) AS top FROM bal GROUP BY scene_id), i AS (SELECT bal.*, {_c('albedo * (1 + 0.05 * (1 - cos(0.5)))', 0, 0.5)} AS white, {_c('CASE WHEN lwir11 > 0 THEN 0.95 + 0.004 * (lwir11 / top) ELSE 0.96 END', 0.9, 1)} AS broadband,
+    up / emissivity - up AS greenhouse, 0.4 * (lwir11 - ta) + 1.5 AS dt_lin, lwir11 - ta - 2.0 * ndvi AS dt_emp,
+    {_c('(lwir11 - 290.0) / 30.0', 0, 1)} * (1 - ({_c('le / nullif(CASE WHEN abs(rn - g) < 10 THEN sign(rn - g) * 10 ELSE rn - g END, 0)', 0, 1)})) AS stress FROM bal JOIN m USING (scene_id))
+    SELECT scene_id, y, x, {', '.join(f"floor({c} * 1e5 + 0.500001) / 1e5 AS {c}" for c in _MORE)}, CASE y % 5 WHEN 0 THEN 0.001 WHEN 1 THEN 1.0 WHEN 2 THEN 0.1 ELSE 0.01 END AS z0 FROM i""",
+)
+def surface_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = balance(pixels(spark, sf_dir))
+    d = d.join(d.groupBy("scene_id").agg(F.max("lwir11").alias("top")), "scene_id")
+    cover = F.element_at(F.array(*map(F.lit, ("water", "forest", "crops", "unknown", "bare_soil"))), (F.col("y") % 5 + 1).cast("int"))
+    d = d.withColumns({
+        "white": G.hemispherical_albedo(F.col("albedo")), "broadband": G.broadband_emissivity(F.col("lwir11"), F.col("top")), "greenhouse": E.greenhouse(F.col("up"), F.col("emissivity")),
+        "dt_lin": E.dt_linear(F.col("lwir11"), F.col("ta"), 0.4, 1.5), "dt_emp": E.dt_empirical(F.col("lwir11"), F.col("ta"), F.col("ndvi")), "stress": E.stress_indicator(F.col("le"), F.col("rn") - F.col("g"), F.col("lwir11")),
+    })
+    return d.select(*KEY, *[(F.floor(F.col(c) * 1e5 + 0.500001) / 1e5).alias(c) for c in _MORE], G.by_cover(cover, G.ROUGHNESS).alias("z0"))

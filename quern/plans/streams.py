@@ -45,3 +45,8 @@ def stream_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _last(jobs.drain(jobs.hourly(_events(spark, sf_dir)), "update"), ["start", "event_type"])
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query("stream_online_model")
+def stream_online_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last(jobs.drain(jobs.online_logistic(_events(spark, sf_dir)), "update"), ["user_id"])

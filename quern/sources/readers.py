@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,6 +66,27 @@ def python_units(rows: DataFrame) -> DataFrame:
     return rows.select("path", "text").mapInPandas(of, _UNITS)
 
 
+def without_comments(rows: DataFrame) -> DataFrame:
+    """rows (path, text) with the comments of Python texts blanked, strings and places kept; a text that can't be read so stays."""
+
+    def strip(text: str) -> str:
+        lines = text.splitlines(keepends=True)
+        try:
+            for t in tokenize.generate_tokens(io.StringIO(text).readline):
+                if t.type == tokenize.COMMENT:
+                    (row, a), (_, b) = t.start, t.end
+                    lines[row - 1] = lines[row - 1][:a] + " " * (b - a) + lines[row - 1][b:]
+        except (tokenize.TokenError, SyntaxError):
+            return text
+        return "".join(lines)
+
+    @F.pandas_udf("string")
+    def of(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: None if t is None else strip(t))
+
+    return rows.select("path", of("text").alias("text"))
+
+
 def js_units(rows: DataFrame) -> DataFrame:
     """(path, name, line) of declarations: lines that begin with function, var, const or let and hold an equals sign."""
     lines = rows.select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "line"))

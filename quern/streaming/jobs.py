@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -111,3 +112,20 @@ def decayed(stream: DataFrame, now: str, half_life_days: float = 90.0) -> DataFr
 def hourly(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total): counts and sums by hour, with a watermark for late events. Spark's own addition: the other jobs have batch twins."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def online_logistic(stream: DataFrame, rate: float = 0.05, classes_at: float = 50.0) -> DataFrame:
+    """(user_id, n, error_rate, w, b): a logistic model for each user, learnt event by event: each value (scaled) is judged before it is learnt from. Label: whether the event's id is even; a stand-in for feedback."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, wrong, w, b = state.get if state.exists else (0, 0, 0.0, 0.0)
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        for i, v in zip(rows["event_id"], rows["value"], strict=True):
+            x, y = v / classes_at - 1, float(i % 2 == 0)
+            p = 1 / (1 + math.exp(-(w * x + b)))
+            wrong += int((p > 0.5) != (y > 0.5))
+            n, w, b = n + 1, w + rate * (y - p) * x, b + rate * (y - p)
+        state.update((n, wrong, w, b))
+        yield pd.DataFrame([(key[0], n, wrong / n, w, b)], columns=["user_id", "n", "error_rate", "w", "b"])
+
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, error_rate double, w double, b double", "n bigint, wrong bigint, w double, b double", "update", GroupStateTimeout.NoTimeout)

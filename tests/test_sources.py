@@ -20,6 +20,8 @@ def test_files_notebooks_and_units(spark, tmp_path):
     nb = readers.notebooks(f.where("path like '%.ipynb'")).first()
     assert nb.text == "<!-- cell 0 [markdown] -->\n# T\nx\n\n<!-- cell 1 [code] -->\n1+1" and (nb.cell_count, nb.language) == (2, "python")
     assert [(r.name, r.line) for r in readers.js_units(f.where("path like '%.js'")).orderBy("line").collect()] == [("a", 1), ("g", 3)]
+    odd = spark.createDataFrame([("a", 'x = "#no"  # yes\n# all\ny = 1\n'), ("b", "def ("), ("c", None)], "path string, text string")
+    assert [r.text for r in readers.without_comments(odd).orderBy("path").collect()] == ['x = "#no"       \n     \ny = 1\n', "def (", None]
     assert readers.indentation(f.where("path like '%a.py'")).first().width == 4
 
 
