@@ -77,9 +77,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: what follows neither repeats the work nor loses it with an executor."""
-    to = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    to = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(to)
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+_STORED: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has stored, once their results are written; how many there were."""
+    done = _STORED.pop(spark.sparkContext.applicationId, [])
+    for to in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(done)
 
 
 #: Rows of a batch that goes to Python: whole texts, which may be long, so many fewer than Spark's 10 000.

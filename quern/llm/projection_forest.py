@@ -166,3 +166,15 @@ def links(vectors: DataFrame, leaf: int = LEAF) -> DataFrame:
     out = rows.select("vec_id", "label", "dim", "member").join(named, ["label", "dim", "member"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("member").isNull(), F.col("vec_id")).otherwise(F.col("lowest")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([1 FOR x IN embedding IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.n, l.b FROM r JOIN l ON r.c = l.a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.c AS component_id, vec_id = c.c AS kept
+FROM embeddings LEFT JOIN k ON k.a = vec_id JOIN c ON c.n = vec_id
+"""

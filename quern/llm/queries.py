@@ -75,4 +75,4 @@ QUERIES: dict[str, Query] = {
         op10_byte_bpe,
     )
 }
-ORACLES: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op5_projection_forest": projection_forest.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from quern.llm import order_minhash as O
 from quern.llm import projection_forest as R
-from quern.llm.common import WordHashes, connected_components, words_of
+from quern.llm.common import WordHashes, connected_components, release, store, words_of
 
 from ..compare import DATA
 from .helpers import documents, long_text
@@ -34,6 +34,11 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_stored_tables_can_be_released(spark):
+    table = store(spark.range(5).toDF("n"), "some")
+    assert table.count() == 5 and release(spark) >= 1 and release(spark) == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_alignment(a, b):
