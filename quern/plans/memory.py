@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.expr import terms
 from quern.operators import corpus, evaluation, feedback, graph, learning, ranking, series, spatial
 from quern.registry import query
 
