@@ -53,7 +53,8 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     joined by term, where the skew join splits frequent ones.
     """
     cut = docs.select("doc_id", F.xxhash64("text").alias("row"), _cut(F.lower("text")).alias("cut"))
-    each = cut.select("doc_id", "row", F.when(F.col("cut")[0] == "", 1).otherwise(0).alias("lead"), F.posexplode("cut").alias("pos", "term"))
+    # outer: else Spark puts a filter on the array's size below, for which it cuts every text again
+    each = cut.select("doc_id", "row", F.when(F.col("cut")[0] == "", 1).otherwise(0).alias("lead"), F.posexplode_outer("cut").alias("pos", "term"))
     return each.join(terms, "term").select("term", "doc_id", "row", (F.col("pos") - F.col("lead")).alias("pos"))
 
 
