@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -147,7 +147,7 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 of every whole text beside the columns named in keep: here doc_id.
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
     A null text is empty: no ids, and the digests of nothing. Repeated rows give repeated results, an empty table none.
     Texts of at most a chunk are one piece and never leave their task; longer ones are cut, stitched, encoded in pieces on
