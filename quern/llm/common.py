@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of letters and digits of ASCII and of anything beyond ASCII; A-Z count as a-z.
@@ -116,14 +116,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def same_row(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of key columns in which nulls are equal."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def batches(texts: Iterator[str | None], chars: int = 500_000) -> Iterator[list[str]]:
     """Lists of texts of so many characters in all, or one longer text; null becomes empty."""
     out, n = [], 0
@@ -149,12 +141,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = pairs.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
     while state["n"]:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Minima are stored before they are joined: a small table is broadcast then, and beside a large one a hot node's edges
+        # come straight from a shuffle, which the skew join can split.
+        low = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
         # large star: every neighbour v > u of u goes to u's smallest neighbour
         large = pairs.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = store(large.where("u <> v").distinct(), "large")
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         pairs = store(small.where("u <> v").distinct(), "edges")
         now = pairs.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
