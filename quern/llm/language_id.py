@@ -41,6 +41,7 @@ _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.
 
 #: Hashed features, and labelled documents of each side of one machine at most (the bound of the training sample).
 FEATURES, PER_SIDE = 1 << 14, 200
+_SALTS = 8
 
 
 def family_of(lang: str) -> str:
@@ -180,8 +181,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_side:
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")  # the limit is applied before the shuffle too
-    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_side)
+    # In two steps, of which the first deals each language out; what is left for the second is bounded.
+    deal, first = Window.partitionBy("lang", F.pmod("h", F.lit(_SALTS))).orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(deal)).where(F.col("k") <= per_side)
+    chosen = chosen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_side)
     langs = [r[0] for r in chosen.select("lang").distinct().collect()]
     pairs = LanguageModel.pairs(langs)
     if not pairs:
