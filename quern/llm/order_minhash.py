@@ -247,5 +247,6 @@ def _classes(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest doc_id, with its own columns; of repeated rows with that id and equal text, one."""
     gone = store(_classes(docs).where("not kept").select("doc_id", "row").distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left_anti")
+    # Merged at every size: a broadcast while it is small would give way to a shuffle of the texts later on.
+    left = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left_anti")
     return left.dropDuplicates(["doc_id", "text"])
