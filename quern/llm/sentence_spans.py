@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: they end after . ! or ? before white space, or at a line's end. Every run of three
-consecutive sentences of enough words is hashed, and every shorter run that is long by itself. Runs are joined globally by
-hash; all sentences covered by an occurrence of a repeated run, other than its first by doc_id and place, are removed.
+consecutive sentences, or fewer, is hashed if it has enough words: where a passage is glued to unfinished sentences, only
+one or two of its own are whole. Runs are joined globally by hash; all sentences covered by an occurrence of a repeated run, other than its first by doc_id and place, are removed.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, free_name, mix, rows_of, small_batches, store, words_of
 
-#: Sentences of a span; words of such a span at least; words of a span of fewer sentences at least.
-SENTENCES, LEAST_WORDS, LONG_WORDS = 3, 16, 40
+#: Sentences of a span at most; words of a span at least.
+SENTENCES, LEAST_WORDS = 3, 16
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
@@ -56,7 +56,7 @@ def spans(text: str | None, known: WordHashes) -> list[tuple[int, int, int]]:
             break
         acc = mix((acc[:m] if k > 1 else np.full(m, 7, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :])
         total = (total[:m] if k > 1 else 0) + n[k - 1 :]
-        for i in np.flatnonzero(total >= (LEAST_WORDS if k == SENTENCES else LONG_WORDS)):
+        for i in np.flatnonzero(total >= LEAST_WORDS):
             out.append((real[i], real[i + k - 1] - real[i] + 1, int(acc[i])))
     return out
 

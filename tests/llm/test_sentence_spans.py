@@ -39,6 +39,22 @@ def test_passages_go_and_the_rest_stays(spark):
     assert S.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_passages_glued_to_unfinished_sentences_go(spark):
+    def passage(seed, *sizes):
+        return " ".join(sentences(1, f"{seed}{i}", n) for i, n in enumerate(sizes))
+
+    two, one = passage("two", 8, 17, 18, 8), passage("one", 10, 31, 10)  # 51 words each
+    texts = [(1, f"some words {two} And on."), (2, f"other text and {two.removesuffix('.')} more of it."), (3, f"a start {one} End."), (4, f"another start {one.removesuffix('.')} goes on.")]
+    got = {r.doc_id: r.text for r in S.remove_repeats(documents(spark, texts)).collect()}
+    assert got[1] == texts[0][1] and got[3] == texts[2][1]
+    a, b = (t.split(". ") for t in (texts[1][1], texts[3][1]))
+    assert got[2] == f"{a[0]}. {a[3]}" and got[4] == f"{b[0]}. {b[2]}"
+    # A short line alone, such as one of a licence, is no span.
+    line = sentences(1, "licence", 12)
+    lines = [(5, f"{sentences(2, 'a')} {line}"), (6, f"{sentences(2, 'b')} {line}")]
+    assert {r.doc_id: r.text for r in S.remove_repeats(documents(spark, lines)).collect()} == dict(lines)
+
+
 def test_sentences_cover_the_text():
     t = "  One. Two!  Three?\n\nfour\n five. "
     assert [t[a:b] for a, b in S.sentences(t)] == ["  One.", "Two!", "Three?", "four", "five."]
