@@ -1,7 +1,7 @@
 """URL filters: a list of rules by host and path, and association rules mined from labelled URLs, in DataFrame functions only.
 
-Each URL is a set of terms (parts of its host, words of its path, keys of its query). Spark's FP-growth mines the sets of terms that go
-with a bad label; rules of enough support and confidence are kept. A URL is matched through an inverted index from terms to
+Each URL is a set of terms (parts of its host, words of its path, keys of its query and words of their values). Spark's FP-growth mines
+the sets of terms that go with a bad label; rules of enough support and confidence are kept, of however many terms. A URL is matched through an inverted index from terms to
 rules: a rule fires where all of its terms are met.
 """
 
@@ -17,8 +17,8 @@ from .common import store
 
 # The list of rules (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Mined rules: share of labelled URLs that bear one out, URLs behind it at least, share of those it meets that are bad, and terms at most.
-SUPPORT, LEAST_URLS, CONFIDENCE, TERMS = 0.005, 5, 0.8, 3
+#: Mined rules: share of labelled URLs that bear one out, URLs behind it at least, share of those it meets that are bad.
+SUPPORT, LEAST_URLS, CONFIDENCE = 0.005, 5, 0.8
 BAD = "label=bad"
 
 
@@ -35,21 +35,34 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
+def query_of(url: Column) -> Column:
+    """What follows the first ? after the host up to # or the end; empty without ://."""
+    at = F.instr(F.coalesce(url, F.lit("")), "://")
+    return F.when(at > 0, F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"^[^?#]*\?([^#]*)", 1)).otherwise("")
+
+
 def listed(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
     """struct(n, rule, verdict) of the longest rule whose host is the URL's or a parent of it, and whose path begins the URL's; else null."""
     fits = [F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in rules]
     return F.greatest(*fits, F.lit(None)) if len(fits) > 1 else fits[0] if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
-def terms_of(host: Column, path: Column) -> Column:
-    """array<string>: the labels of the host, the words of the path; a number counts as one word, n."""
+def _words(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, r"[^0-9A-Za-z]+"), lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), "n").otherwise(x))
+
+
+def terms_of(host: Column, path: Column, query: Column) -> Column:
+    """array<string>: the labels of the host, the words of the path, each key of the query alone and with each word of its value; a number counts as one word, n."""
     labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("h="), x))
-    words = F.transform(F.filter(F.split(path, r"[^0-9A-Za-z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("p="), F.when(x.rlike("^[0-9]+$"), "n").otherwise(x)))
-    return F.array_distinct(F.concat(labels, words))
+    words = F.transform(_words(path), lambda x: F.concat(F.lit("p="), x))
+    key = lambda x: F.concat(F.lit("q="), F.array_join(_words(F.regexp_extract(x, "^[^=]*", 0)), "_"))
+    parts = F.transform(F.filter(F.split(query, "[&;]"), lambda x: x != ""), lambda x: F.struct(key(x).alias("key"), _words(F.regexp_extract(x, "(?s)^[^=]*=(.*)", 1)).alias("value")))
+    asked = F.flatten(F.transform(parts, lambda x: F.concat(F.array(x["key"]), F.transform(x["value"], lambda w: F.concat(x["key"], F.lit("="), w)))))
+    return F.array_distinct(F.concat(labels, words, asked))
 
 
-def mine(urls: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE, most: int = TERMS) -> DataFrame:
-    """(rule, terms): sets of at most so many terms that go with bad ones among urls (terms array<string>, bad boolean).
+def mine(urls: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE, most: int | None = None) -> DataFrame:
+    """(rule, terms): all sets of terms, or those of at most so many, that go with bad ones among urls (terms array<string>, bad boolean).
 
     Terms of fewer URLs than the support asks for are left out before mining.
     """
@@ -67,7 +80,8 @@ def mine(urls: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, con
     items = F.array_intersect("terms", F.array(*map(F.lit, often)))
     baskets = rows.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= most)).select(F.array_sort("antecedent").alias("terms"))
+    found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("terms"))
+    found = found if most is None else found.where(F.size("terms") <= most)
     return found.select(F.xxhash64("terms").alias("rule"), "terms")
 
 
@@ -78,14 +92,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str]
     whose id has a label: bad means quality 0 (the least of several). A null URL, or one without ://, has an empty host and
     path and no terms. Repeated rows get repeated results; an empty table gives none; extra columns are left out.
     """
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), query_of(F.col("url")).alias("query"))
+    terms = terms_of(F.col("host"), F.col("path"), F.col("query"))
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    learnt = mine(own.join(marks, "page_id").select(terms_of(F.col("host"), F.col("path")).alias("terms"), "bad"))
+    learnt = mine(own.join(marks, "page_id").select(terms.alias("terms"), "bad"))
     learnt = store(learnt, "mined")
     index = learnt.select("rule", F.size("terms").alias("size"), F.array_join("terms", "+").alias("mined"), F.explode("terms").alias("term"))
     known = F.array(*[F.lit(r[0]) for r in index.select("term").distinct().collect()]).cast("array<string>")  # bounded as in mine()
     # URLs fall into few sets of known terms; each set is matched once.
-    own = own.withColumn("set", F.array_join(F.array_sort(F.array_intersect(terms_of(F.col("host"), F.col("path")), known)), "+"))
+    own = own.withColumn("set", F.array_join(F.array_sort(F.array_intersect(terms, known)), "+"))
     sets = own.where("set <> ''").select("set").distinct().select("set", F.explode(F.split("set", r"\+")).alias("term"))
     fired = sets.join(index, "term").groupBy("set", "mined", "size").agg(F.count("*").alias("met")).where("met = size").groupBy("set").agg(F.min("mined").alias("mined"))
     out = own.join(store(fired, "fired"), "set", "left").withColumn("r", listed(F.col("host"), F.col("path"), rules))

@@ -60,6 +60,33 @@ def test_a_mined_rule_blocks(spark):
     assert got[59] == ("block", "h=com+h=pills") and got[58] == ("allow", None)
 
 
+def test_terms_of_the_query(spark):
+    urls = ["http://a.b/x?page=2&ref=x+y&&flag&a[1]=Z#q=1", "http://a.b/x#?no=1", None]
+    u = spark.createDataFrame([(x,) for x in urls], "url string")
+    got = [r[0] for r in u.select(U.terms_of(U.host_of(u.url), U.path_of(u.url), U.query_of(u.url))).collect()]
+    assert got == [["h=a", "h=b", "p=x", "q=page", "q=page=n", "q=ref", "q=ref=x", "q=ref=y", "q=flag", "q=a_n", "q=a_n=Z"], ["h=a", "h=b", "p=x"], []]
+
+
+def judged(spark, urls):
+    """urls: (url, bad), every one labelled; (verdict, mined) of each."""
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(not bad), 0) for i, (_, bad) in enumerate(urls)], "doc_id bigint, quality int, toxic int")
+    return [(r.verdict, r.mined) for r in U.judge(pages, labels).orderBy("page_id").collect()]
+
+
+def test_a_rule_of_path_and_query(spark):
+    urls = [("http://a.com/win?ref=bonus", True), ("http://a.com/win?ref=mail", False), ("http://a.com/news?ref=bonus", False), ("http://a.com/news", False)] * 10
+    got = judged(spark, urls)
+    assert got[0] == ("block", "h=a+h=com+p=win+q=ref+q=ref=bonus") and {v for v, _ in got[1:4]} == {"allow"}
+
+
+def test_a_rule_of_four_terms(spark):
+    four = ["p1", "p2", "p3", "p4"]
+    urls = [("http://a.com/" + "/".join(four), True)] * 10 + [("http://a.com/" + "/".join(x for x in four if x != y), False) for y in four for _ in range(10)]
+    got = judged(spark, urls)
+    assert got[0] == ("block", "h=a+h=com+p=p1+p=p2+p=p3+p=p4") and {v for v, _ in got[10:]} == {"allow"}
+
+
 @pytest.mark.parametrize("name", ["url_rules", "decontaminate"])
 def test_no_python_on_the_main_path(name):
     import importlib
