@@ -2,7 +2,7 @@
 
 A page becomes a sequence of words (+1 each) and tags (each costs what labelled pages teach); one linear scan finds the
 contiguous run of the largest sum. Words inside menus, headers, footers, sidebars, notices, adverts, forms and comments
-score nothing and are left out of the text. Labelled pages are those that mark their content themselves, by one <article>
+score nothing and are left out of the text; where such an element lies within an <article> or <main>, its tags cost nothing. Labelled pages are those that mark their content themselves, by one <article>
 or <main>: a tag costs the more, the more often it stands outside that element.
 """
 
@@ -28,6 +28,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style title textarea noscript template iframe object svg math canvas audio video noframes xmp select option datalist".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu fieldset label input search".split())
 SECTION = frozenset("article main body html head nav header footer aside form".split())
+CONTENT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KNOWN = INLINE | RAW | ASIDE | SECTION | VOID | frozenset("address section blockquote caption center colgroup dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
 # Words in class, id or role that mark what isn't content.
@@ -117,12 +118,44 @@ def costs(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out | {t: BORDER for t in SECTION}
 
 
+def within(items: list[tuple[str, str, bool]]) -> set[int]:
+    """Places of the tokens of noise elements that open and close inside an open article or main: these don't end the content."""
+    out, depth, at, name, inner, whole = set(), 0, -1, "", 0, False
+    for i, (kind, value, noise) in enumerate(items):
+        if noise:
+            if at < 0:
+                at, name, inner, whole = i, value, 0, depth > 0
+            elif kind == "tag" and name in ("p", "li", "a") and value not in INLINE and value not in RAW:
+                name = value  # such an element ends where another begins
+            if kind != "text" and value in CONTENT and i > at:
+                inner += 1 if kind == "tag" else -1
+                whole = whole and inner >= 0
+            continue
+        if at >= 0:
+            if whole:
+                out.update(range(at, i + 1 if kind == "end" and value == name else i))
+            elif inner < 0:
+                depth = max(0, depth + inner)
+            # The end of a noise article is not that of the article around it.
+            own, at = kind == "end" and value == name, -1
+            if own:
+                continue
+        if kind != "text" and value in CONTENT:
+            depth = depth + 1 if kind == "tag" else max(0, depth - 1)
+        elif kind == "end" and value in ("body", "html"):
+            depth = 0
+    return out
+
+
 def extract(page: str | None, cost: dict[str, float]) -> str:
     """Blocks of the best region, one a line; white space within a block is one space."""
     if not page:
         return ""
     items, total, low, low_at, best, span = list(tokens(page)), 0.0, 0.0, 0, 0.0, (0, 0)
+    free = within(items)
     for i, (kind, value, noise) in enumerate(items):
+        if i in free:
+            continue
         if kind != "text":
             total -= cost.get(value, MOST)
         elif not noise:

@@ -14,6 +14,19 @@ def test_what_is_left_out(frame):
     assert M.extract(page, M.costs({})) == WANT
 
 
+@pytest.mark.parametrize("noise", ["<aside><p>an <b>advert</b> here</p></aside>", "<form><div><input><button>Go</button></div></form>", "<nav><ul><li>a</li></ul></nav><p class='ad'>buy<aside>more</aside>", "<div class='comments'><article>well said</article></div>", "<article class='related'>other news</article>"])
+@pytest.mark.parametrize("frame", ["article", "main"])
+def test_noise_inside_an_article_does_not_cut_it(noise, frame):
+    long = " ".join(f"w{i}" for i in range(300))
+    page = f"<body>{JUNK}<{frame}><p>A short lead.</p>{noise}<p>{long}</p>{noise}{noise}<p>Last words.</p></{frame}>{FOOT}<p>Not of it.</p></body>"
+    assert M.extract(page, M.costs({})) == f"A short lead.\n{long}\nLast words."
+
+
+def test_noise_that_crosses_the_articles_end_ends_it():
+    long = " ".join(f"w{i}" for i in range(300))
+    assert M.extract(f"<article><p>{long}</p><aside>side</article></aside><p>Not of it.</p>", M.costs({})) == long
+
+
 def test_truncated_and_broken_pages():
     cost = M.costs({})
     assert M.extract("<p>Some words here &am", cost) == "Some words here &am"
