@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.expr import dot, euclid
 from quern.operators.ranking import against_all
+from quern.session import checkpoint
 
 DIGITS = 9
 
@@ -81,18 +80,34 @@ def isotonic(training: DataFrame, score: str, label: str, rows: DataFrame) -> Da
     return model.transform(features.transform(rows)).drop("_f")
 
 
+#: Weights of all keys that are sent to every executor, at most; sums of a key are spread over so many parts.
+SENT_WEIGHTS, PARTS = 1_000_000, 32
+
+
 def train_per_key(rows: DataFrame, key: str, row: str, features: str, label: str, epochs: int = 20, rate: float = 0.5) -> DataFrame:
-    """(key, n, accuracy, weights): one logistic model for each key by batch gradient descent, on the rows of that key; a key's rows come together, so keys must be bounded."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row)
-        x, y = np.stack(pdf[features].to_numpy()).astype(float), pdf[label].to_numpy(float)
-        x = np.c_[x, np.ones(len(x))]
-        w = np.zeros(x.shape[1])
-        for _ in range(epochs):
-            w += rate * x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(x)
-        hit = float((((x @ w) > 0) == (y > 0.5)).mean())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(x)], "accuracy": [round(hit, 6)], "weights": [w.round(9).tolist()]})
-
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, row, features, label).groupBy(key).applyInPandas(fit, f"{key} {kind}, n bigint, accuracy double, weights array<double>")
+    """(key, n, accuracy, weights): one logistic model for each key by batch gradient descent; the last weight is the bias.
+
+    An epoch joins the weights to all rows and sums the gradients by key and part, then by key: rows of a key never come
+    together. Features are arrays of one length without nulls.
+    """
+    x = F.concat(F.transform(features, lambda v: v.cast("double")), F.array(F.lit(1.0)))
+    own = rows.select(F.col(key).alias("key"), F.pmod(F.xxhash64(row), F.lit(PARTS)).alias("part"), x.alias("x"), F.col(label).cast("double").alias("y"))
+    sizes = checkpoint(own.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")))
+    keys, d = sizes.agg(F.count("*"), F.coalesce(F.max("d"), F.lit(1))).first()
+
+    def beside(weights: DataFrame) -> DataFrame:
+        w = weights.select(F.col("key").alias("_k"), "w")
+        both = own.join(F.broadcast(w) if keys * d <= SENT_WEIGHTS else w, F.col("key").eqNullSafe(F.col("_k")))
+        return both.select("key", "part", "x", "y", dot(F.col("x"), F.col("w")).alias("z"))
+
+    weights = sizes.select("key", "n", F.array_repeat(F.lit(0.0), d).alias("w"))
+    for _ in range(epochs):
+        off = F.col("y") - 1 / (1 + F.exp(-F.col("z")))
+        each = beside(weights).withColumn("off", off).select("key", "part", F.posexplode_outer(F.transform("x", lambda v: v * F.col("off"))).alias("i", "g"))
+        sums = each.groupBy("key", "part", "i").agg(F.sum("g").alias("g")).groupBy("key", "i").agg(F.sum("g").alias("g"))
+        sums = sums.groupBy(F.col("key").alias("_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda r: r["g"]).alias("g"))
+        step = weights.join(sums, F.col("key").eqNullSafe(F.col("_k")))
+        weights = checkpoint(step.select("key", "n", F.zip_with("w", "g", lambda w, g: w + rate * g / F.col("n")).alias("w")))
+    hits = beside(weights).groupBy("key", "part").agg(F.count_if((F.col("z") > 0) == (F.col("y") > 0.5)).alias("hits")).groupBy(F.col("key").alias("_k")).agg(F.sum("hits").alias("hits"))
+    out = weights.join(hits, F.col("key").eqNullSafe(F.col("_k")))
+    return out.select(F.col("key").alias(key), "n", F.round(F.col("hits") / F.col("n"), 6).alias("accuracy"), F.transform("w", lambda w: F.round(w, 9)).alias("weights"))

@@ -196,3 +196,32 @@ def test_isotonic_is_monotone(spark):
     t = spark.createDataFrame([(i, i / 20, float(i % 3 == 0 or i > 12)) for i in range(20)], "i int, score double, label double")
     got = [r.calibrated for r in learning.isotonic(t, "score", "label", t).orderBy("score").collect()]
     assert got == sorted(got)
+
+
+def test_train_per_key_is_gradient_descent_without_python(spark):
+    import inspect
+    import random
+
+    import numpy as np
+
+    from quern.operators import learning
+
+    rnd = random.Random(5)
+    rows = [(k, i, [rnd.gauss(0, 1) for _ in range(3)]) for i, k in enumerate([1] * 70 + [2] * 30 + [None] * 9)]
+    rows = [(k, i, x, int(x[0] + 0.3 * x[1] > 0.2)) for k, i, x in rows]
+    for most in (learning.SENT_WEIGHTS, 0):  # weights sent to all, and joined
+        before, learning.SENT_WEIGHTS = learning.SENT_WEIGHTS, most
+        try:
+            t = spark.createDataFrame(rows, "k bigint, id bigint, v array<float>, y bigint")
+            got = {r.k: r for r in learning.train_per_key(t, "k", "id", "v", "y", epochs=4).collect()}
+        finally:
+            learning.SENT_WEIGHTS = before
+        assert set(got) == {1, 2, None}
+        for k, r in got.items():
+            x = np.c_[np.array([v for g, _, v, _ in rows if g == k], np.float32).astype(float), np.ones(r.n)]
+            y, w = np.array([b for g, _, _, b in rows if g == k], float), np.zeros(4)
+            for _ in range(4):
+                w += 0.5 * x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(x)
+            assert np.allclose(r.weights, w, atol=1e-8) and abs(r.accuracy - ((x @ w > 0) == (y > 0.5)).mean()) < 1e-6
+    assert "applyInPandas" not in inspect.getsource(learning)
+    assert learning.train_per_key(t.limit(0), "k", "id", "v", "y", epochs=1).count() == 0
