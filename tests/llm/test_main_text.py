@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from quern.llm import main_text as M
@@ -6,42 +9,88 @@ ARTICLE = "<h1>Title &amp; more</h1><p>First paragraph with <b>bold</b> words an
 WANT = "Title & more\nFirst paragraph with bold words and a link in it.\nSecond one, unclosed.\nitem one of some\nitem two of some"
 JUNK = '<nav><ul><li><a href="/x">Home page</a></li></ul></nav><div class="ad">Buy this thing now please do</div><aside>Other words on the side</aside>'
 FOOT = '<div id="comments"><p>First! What a fine article this is indeed</p></div><footer>&copy; someone and others too</footer><form><p>Enter your mail here</p></form><div class="cookie-notice">We use cookies for many things</div>'
+PLAIN = M.weights({})
+
 
+def words(n, seed="w"):
+    return " ".join(f"{seed}{i}" for i in range(n))
 
-@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='post'>{}</div>"])
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='post'>{}</div>", "<form><article>{}</article></form>", "<div class='no-sidebar'>{}</div>"])
 def test_what_is_left_out(frame):
     page = f"<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style><script>var a = '</p>' < 3;</script></head><body><header>Site name</header>{JUNK}<!-- note -->{frame.format(ARTICLE)}{FOOT}</body></html>"
-    assert M.extract(page, M.costs({})) == WANT
+    assert M.extract(page, PLAIN) == WANT
 
 
-@pytest.mark.parametrize("noise", ["<aside><p>an <b>advert</b> here</p></aside>", "<form><div><input><button>Go</button></div></form>", "<nav><ul><li>a</li></ul></nav><p class='ad'>buy<aside>more</aside>", "<div class='comments'><article>well said</article></div>", "<article class='related'>other news</article>"])
-@pytest.mark.parametrize("frame", ["article", "main"])
+@pytest.mark.parametrize("noise", ["<aside><p>an <b>advert</b> here</p></aside>", "<form><div><input><button>Go</button></div></form>", "<nav><ul><li>a</li></ul></nav><p class='ad'>buy<aside>more</aside>", "<div class='comments'><article>well said</article></div>", "<article class='related'>other news</article>", f"<aside>{'<a href=x>link</a>' * 60}</aside>", "<div class='header'>Part</div>"])
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
 def test_noise_inside_an_article_does_not_cut_it(noise, frame):
-    long = " ".join(f"w{i}" for i in range(300))
-    page = f"<body>{JUNK}<{frame}><p>A short lead.</p>{noise}<p>{long}</p>{noise}{noise}<p>Last words.</p></{frame}>{FOOT}<p>Not of it.</p></body>"
-    assert M.extract(page, M.costs({})) == f"A short lead.\n{long}\nLast words."
+    long = words(300)
+    page = f"<body>{JUNK}<{frame}><p>A short lead.</p>{noise}<p>{long}</p>{noise}{noise}<p>Last words.</p></{frame}>{FOOT}</body>"
+    assert M.extract(page, PLAIN) == f"A short lead.\n{long}\nLast words."
+
+
+def test_tables_and_short_blocks_of_an_article_stay():
+    rows = "".join(f"<tr><td>k{i}</td><td>{i}</td></tr>" for i in range(40))
+    for frame in ("article", "div"):
+        page = f"<body>{JUNK}<{frame}><p>{words(20)}</p><table>{rows}</table><p>{words(15, 'x')}</p></{frame}>{FOOT}</body>"
+        assert M.extract(page, PLAIN).split("\n") == [words(20), *[x for i in range(40) for x in (f"k{i}", str(i))], words(15, "x")]
+
+
+def test_marked_content_is_taken_before_a_longer_teaser():
+    assert M.extract(f"<body><div>{words(50)}</div><article><p>{words(8, 'x')}</p></article><div>{words(90)}</div></body>", PLAIN) == words(8, "x")
+    # Several articles mark nothing: the best one is taken, and not the short ones beside it.
+    assert M.extract(f"<main><article>{words(20, 'a')}</article><article><p>{words(90)}</p></article><article>{words(20, 'b')}</article></main>", PLAIN) == words(90)
 
 
 def test_noise_that_crosses_the_articles_end_ends_it():
-    long = " ".join(f"w{i}" for i in range(300))
-    assert M.extract(f"<article><p>{long}</p><aside>side</article></aside><p>Not of it.</p>", M.costs({})) == long
+    long = words(300)
+    assert M.extract(f"<article><p>{long}</p><aside>side</article></aside><p>Not of it.</p>", PLAIN) == long
 
 
 def test_truncated_and_broken_pages():
-    cost = M.costs({})
-    assert M.extract("<p>Some words here &am", cost) == "Some words here &am"
-    assert M.extract("<p>Some words here &ampx <b", cost) == "Some words here &x"
-    assert M.extract("<p>a <nav>never closed words words", cost) == "never closed words words"  # a menu is costlier to cross than one word gains
-    assert M.extract("plain text only", cost) == "plain text only"
-    assert M.extract("<script>only('code')", cost) == ""
-    assert M.extract("a < b and c > d", cost) == "a < b and c > d"
-
-
-def test_learned_costs_follow_the_labels():
-    pages = [f"<body><div><span>x</span></div><article><p>{'w ' * 9}</p><p>more</p></article></body>"] * 5
-    total = sum((M.label(p) for p in pages), M.Counter())
-    c = M.costs(dict(total))
-    assert c["div"] > c["p"] == M.LEAST and c["article"] == M.BORDER
+    assert M.extract("<p>Some words here &am", PLAIN) == "Some words here &am"
+    assert M.extract("<p>Some words here &ampx <b", PLAIN) == "Some words here &x"
+    assert M.extract("<p>a <nav>never closed words words", PLAIN) == "never closed words words"  # a menu is costlier to cross than one word gains
+    assert M.extract("plain text only", PLAIN) == "plain text only"
+    assert M.extract("<script>only('code')", PLAIN) == ""
+    assert M.extract("a < b and c > d", PLAIN) == "a < b and c > d"
+    assert M.extract("<p class=it's>one two</p><p title='it>s'>three <script>x</script>four</p>", PLAIN) == "one two\nthree four"
+    assert M.extract(f"<p>{'İ' * 30}<SCRIPT>code</Script>words after it</p>", PLAIN) == "İ" * 30 + "words after it"
+
+
+@pytest.mark.parametrize("part", ["<div class=ad>x", "<b>", "<i><p>x", "<span class=ad>", "<script>", "<a title='", '<a x="y> ', "</div>", "<table><tr><td>", "<!--", "<article>w", "<li>"])
+def test_time_grows_with_the_page(part):
+    page = part * (4_000_000 // len(part))
+    start = time.process_time()
+    M.extract(page, PLAIN)
+    assert time.process_time() - start < 60
+
+
+def test_region_against_all_runs():
+    rng = random.Random(1)
+    for _ in range(300):
+        score = [rng.choice([-4.0, -1.0, -0.5, 0.0, 1.0, 2.0, 5.0]) for _ in range(rng.randrange(0, 30))]
+        best, span = 0.0, (0, 0)
+        for j in range(len(score)):
+            for i in range(j, -1, -1):
+                if sum(score[i : j + 1]) > best:
+                    best, span = sum(score[i : j + 1]), (i, j + 1)
+        lo, hi = M.best_region(score)
+        assert sum(score[lo:hi]) == best and hi == span[1]
+
+
+def test_learned_weights_follow_the_labels():
+    pages = [f"<body class='wide'><div class='wide'><div class='blurb'><span>x</span></div><div><br></div><div class='say'><article><p class='say'>{'w ' * 9}</p><p>more</p></article></div></div></body>"] * 25
+    tags, names = M.Counter(), M.Counter()
+    for p in pages:
+        a, b = M.label(p)
+        tags, names = tags + a, names + b
+    own = M.weights(dict(tags), dict(names))
+    assert own.cost["div"] > own.cost["p"] == M.LEAST and own.cost["article"] == M.BORDER
+    assert own.noise - M.NOISE == {"blurb"}
+    page = f"<div><div class='blurb'>{words(5)}</div><p>{words(30, 'x')}</p></div>"
+    assert M.extract(page, own) == words(30, "x") and words(5) in M.extract(page, PLAIN)
 
 
 def test_table(spark):
