@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -165,7 +165,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     n = F.coalesce(F.length("text"), F.lit(0))
-    docs = small_batches(docs)
     short = docs.where(n <= chunk).select("doc_id", whole("text").alias("r")).select("doc_id", "r.*")
     # Equal texts of one doc_id share the work; copies counts their rows.
     long = docs.where(n > chunk).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))

@@ -68,20 +68,27 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The shared folder for intermediate tables, spark.checkpoint.dir; where that is unset, a temporary folder if all executors are on this machine, else an error."""
     if not (to := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         to = getattr(spark, "_quern_scratch", None) or tempfile.mkdtemp(prefix="quern-")
         spark._quern_scratch = to
     return to.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back: what follows neither repeats the work nor loses it with an executor."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
     to = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STORED.setdefault(spark.sparkContext.applicationId, []).append(to)
+    return to
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: what follows neither repeats the work nor loses it with an executor."""
+    to = scratch(df.sparkSession, name)
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
 _STORED: dict[str, list[str]] = {}
@@ -100,12 +107,14 @@ def release(spark: SparkSession) -> int:
 BATCH_ROWS = 256
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df itself; from now on its session sends at most BATCH_ROWS rows to Python at once (fewer, if it was set to fewer)."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends at most BATCH_ROWS rows to Python at once (fewer, if it was set to fewer).
+
+    The operators leave their caller's session as it is; whoever applies them to tables of long texts calls this first.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def free_name(df: DataFrame, name: str) -> str:

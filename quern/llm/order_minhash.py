@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, mix, rows_of, run_hashes, small_batches, store, words_of
+from .common import WordHashes, connected_components, mix, rows_of, run_hashes, store, words_of
 
 K, SIMILARITY = 5, 0.8
 #: Sketches of each document and shingles of each: a pair at 0.8 shares none of them with a chance below 1 in 20 000.
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out.append({"doc_id": r["doc_id"], "row": r["row"], "content": xxhash.xxh3_128_digest(b" ".join(words)) if words else None, "sketches": sketches(labelled(h)).view(np.int64), "words": h.tobytes()})
             yield pa.RecordBatch.from_pylist(out, _PRINT)
 
-    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _PRINTS)
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _PRINTS)
 
 
 def _labels(words: bytes) -> np.ndarray:

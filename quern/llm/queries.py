@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, decontaminate, language_id, main_text, order_minhash, projection_forest, sentence_spans, token_counts, token_store, url_rules
-from .common import scratch_dir
+from .common import scratch, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in a session that is set up for long texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,7 +28,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    to = scratch(spark, "tokens")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), to, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read_tokens(spark, to, tokens=False)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_name, mix, rows_of, small_batches, store, words_of
+from .common import WordHashes, free_name, mix, rows_of, store, words_of
 
 #: Sentences of a span at most; words of a span at least.
 SENTENCES, LEAST_WORDS = 3, 16
@@ -79,7 +79,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
             first, n, h = zip(*flat, strict=True) if flat else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(rows_of_, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64), pa.int64())], ["doc_id", "row", "first", "n", "hash"])
 
-    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _SPANS)
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _SPANS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, small_batches, store
+from .common import rows_of, store
 
 BLOCK = 512
 END_ID = 1
@@ -259,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     tie = F.xxhash64("text").alias("tie")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = small_batches(docs).select("doc_id", "text", tie).repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    rows = docs.select("doc_id", "text", tie).repartitionByRange(parts, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
     rows.select("doc_id", "text").mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
