@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: they end after . ! or ? before white space, or at a line's end. Every run of three
-consecutive sentences, or fewer, is hashed if it has enough words: where a passage is glued to unfinished sentences, only
-one or two of its own are whole. Runs are joined globally by hash; all sentences covered by an occurrence of a repeated run, other than its first by doc_id and place, are removed.
+A text is cut into sentences: they end after . ! or ? before white space, or at a line's end. From every sentence a run of
+consecutive sentences goes on until it has enough words, and another goes back from it; both are hashed. These short runs
+stand for all longer ones: sentences of a repeated passage of enough words, of whatever number and length, are each in a
+repeated run. Runs are joined globally by hash; all sentences covered by an occurrence of a repeated run, other than its
+first by doc_id and place, are removed.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, free_name, mix, rows_of, store, words_of
 
-#: Sentences of a span at most; words of a span at least.
-SENTENCES, LEAST_WORDS = 3, 16
+#: Words of a span at least, so that a line of a licence or a greeting isn't one.
+LEAST_WORDS = 20
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
@@ -38,30 +40,33 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str | None, known: WordHashes) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, 64-bit hash) of every span; words decide, not case or punctuation."""
-    cut = sentences(text)
-    hashes, sizes = [], []
-    for a, b in cut:
+def spans(text: str | None, known: WordHashes, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(first sentence, sentences, 128-bit hash) of every span; words decide, not case or punctuation."""
+    sizes, hashes = [], []
+    for a, b in sentences(text):
         w = words_of(text[a:b])
         sizes.append(len(w))
-        hashes.append(xxhash.xxh3_64_intdigest(known.of(w).tobytes()) if len(w) > 1 else known[w[0]] if w else 0)
+        hashes.append(known.of(w))
     # Sentences without words neither count nor break a run.
-    real = [i for i, n in enumerate(sizes) if n]
-    h, n = np.array([hashes[i] for i in real], np.uint64), np.array([sizes[i] for i in real], np.int64)
-    out, acc, total = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for k in range(1, SENTENCES + 1):
-        m = len(real) - k + 1
-        if m <= 0:
-            break
-        acc = mix((acc[:m] if k > 1 else np.full(m, 7, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :])
-        total = (total[:m] if k > 1 else 0) + n[k - 1 :]
-        for i in np.flatnonzero(total >= LEAST_WORDS):
-            out.append((real[i], real[i + k - 1] - real[i] + 1, int(acc[i])))
-    return out
-
-
-_SPANS = "doc_id bigint, row bigint, first int, n int, hash bigint"
+    real = np.flatnonzero(np.array(sizes, np.int64) > 0)
+    # Words of the real sentences before each one, and the words' hashes, each sentence's last one marked as such.
+    ends = np.r_[0, np.cumsum(np.array(sizes, np.int64)[real])] if len(real) else np.zeros(1, np.int64)
+    if ends[-1] < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    flat = np.concatenate([hashes[i] for i in real])
+    flat[ends[1:] - 1] = mix(flat[ends[1:] - 1] + np.uint64(1))
+    raw = memoryview(flat.tobytes())
+    # On to the first end, and back to the last begin, that leaves enough words between them.
+    on = np.searchsorted(ends, ends[:-1] + least)
+    forth = np.flatnonzero(on < len(ends))
+    back = np.searchsorted(ends, ends[1:] - least, "right") - 1
+    to = np.flatnonzero(back >= 0)
+    runs = np.unique(np.r_[np.c_[forth, on[forth]], np.c_[back[to], to + 1]], axis=0)
+    digest = [xxhash.xxh3_128_digest(raw[8 * ends[i] : 8 * ends[j]]) for i, j in runs]
+    return real[runs[:, 0]], real[runs[:, 1] - 1] - real[runs[:, 0]] + 1, digest
+
+
+_SPANS = "doc_id bigint, row bigint, first int, n int, hash binary"
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -70,14 +75,16 @@ def all_spans(docs: DataFrame) -> DataFrame:
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for rows in rows_of(parts):
-            docs_of, rows_of_, flat = [], [], []
+            docs_of, rows_of_, first, n, digest = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for r in rows:
-                got = spans(r["text"], known)
-                docs_of += [r["doc_id"]] * len(got)
-                rows_of_ += [r["row"]] * len(got)
-                flat += got
-            first, n, h = zip(*flat, strict=True) if flat else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(rows_of_, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64), pa.int64())], ["doc_id", "row", "first", "n", "hash"])
+                a, k, h = spans(r["text"], known)
+                docs_of += [r["doc_id"]] * len(h)
+                rows_of_ += [r["row"]] * len(h)
+                first.append(a)
+                n.append(k)
+                digest += h
+            columns = [pa.array(docs_of, pa.int64()), pa.array(rows_of_, pa.int64()), pa.array(np.concatenate(first).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "first", "n", "hash"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _SPANS)
 

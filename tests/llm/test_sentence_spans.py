@@ -1,19 +1,38 @@
+import re
+
 from quern.llm import sentence_spans as S
-from quern.llm.common import WordHashes
 
 from ..compare import DATA
 from .helpers import documents, sentences
 
 
-def brute(texts):
-    """(doc_id, text) of distinct rows to their new text: occurrences in order of doc_id, then of the text's hash, then of place."""
-    seen, out, known = {}, {}, WordHashes()
+def plain_sentences(text):
+    """(begin, end) of each sentence, character by character."""
+    out, begin = [], 0
+    for i, c in enumerate(text):
+        after = text[begin:i]
+        if c == "\n" or c.isspace() and after and text[i - 1] in ".!?":
+            out.append((begin, i))
+            begin = i + 1
+        elif c.isspace() and not after.strip() and out:
+            begin = i + 1
+    return [(a, a + len(text[a:b].rstrip() if text[b : b + 1] == "\n" else text[a:b])) for a, b in [*out, (begin, len(text))]]
+
+
+def brute(texts, least=S.LEAST_WORDS):
+    """(doc_id, text) of distinct rows to their new text, by the words of every run of sentences with enough words, however long."""
+    seen, out = {}, {}
     for k, t in texts:
-        cut = set()
-        for first, n, h in S.spans(t, known):
-            if seen.setdefault(h, (k, t, first)) != (k, t, first):
-                cut |= set(range(first, first + n))
-        out[k, t] = S._without(t, cut) if cut else t
+        cut, bounds = set(), plain_sentences(t or "")
+        own = [(i, w) for i, (a, b) in enumerate(bounds) if (w := tuple(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t[a:b]))))]
+        for x in range(len(own)):
+            n = 0
+            for y in range(x, min(len(own), x + 40)):
+                n += len(own[y][1])
+                if n >= least and seen.setdefault(tuple(w for _, w in own[x : y + 1]), (k, t, x)) != (k, t, x):
+                    cut |= set(range(own[x][0], own[y][0] + 1))
+        kept = [t[: bounds[0][0]]] + [t[a : bounds[i + 1][0] if i + 1 < len(bounds) else len(t)] for i, (a, b) in enumerate(bounds) if i not in cut] if cut else [t]
+        out[k, t] = "".join(kept) if t else t
     return out
 
 
@@ -25,9 +44,10 @@ def test_against_brute_force(spark):
 
 
 def test_passages_go_and_the_rest_stays(spark):
-    passage, own = sentences(4, "p", 15), [sentences(5, f"own{i}") for i in range(4)]
+    passage, own = sentences(4, "p", 15), [sentences(5, f"own{i}") for i in range(5)]
+    talk = sentences(30, "talk", 4)  # 120 words
     long = " ".join(f"w{i}" for i in range(45)) + "."
-    texts = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]}\n{passage.upper()}\n{own[3]}"), (3, None), (4, ""), (5, "Hi. Ho. Hu."), (6, "Hi. Ho. Hu."), (7, f"{long} {sentences(3, 'z')}"), (8, f"{sentences(3, 'y')} {long}"), (1, f"{own[0]} {passage} {own[1]}"), (9, passage), (10, f"{passage} {passage}")]
+    texts = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]}\n{passage.upper()}\n{own[3]}"), (3, None), (4, ""), (5, "Hi. Ho. Hu."), (6, "Hi. Ho. Hu."), (11, f"{talk} And so."), (12, f"{own[4]} {talk}"), (7, f"{long} {sentences(3, 'z')}"), (8, f"{sentences(3, 'y')} {long}"), (1, f"{own[0]} {passage} {own[1]}"), (9, passage), (10, f"{passage} {passage}")]
     docs = documents(spark, texts)
     got = S.remove_repeats(docs, "removed")
     by = {r.doc_id: r for r in got.collect()}
@@ -35,6 +55,7 @@ def test_passages_go_and_the_rest_stays(spark):
     assert by[1].text == texts[0][1] and by[1].removed == 0
     assert by[2].text == f"{own[2]}\n{own[3]}" and by[2].removed == 4 and by[2].n_chars == len(by[2].text)
     assert by[3].text is None and by[4].text == "" and by[6].text == "Hi. Ho. Hu."
+    assert by[11].text == f"{talk} And so." and by[12].text == own[4] + " " and by[12].removed == 30
     assert by[8].text == sentences(3, "y") + " " and by[9].text == "" and by[10].text == ""
     assert S.remove_repeats(documents(spark, [])).count() == 0
 
