@@ -3,6 +3,12 @@
 Each tree splits the vectors of one label again and again: by their projection on a random direction, at a place where few
 vectors lie; those near the border go to both sides (spill). Leaves are compared exactly, by cosine in double precision;
 pairs found in any tree are united, and each counts once. Equal vectors are one member with a multiplicity.
+
+The splits of a node are found on a bounded sample of its members, by hash, several levels at once; then all of its members
+are sent down in one pass. Leaves that are still large are split in the next round: each round divides a node by up to
+SAMPLE / LEAST_SAMPLE, so there are as many rounds as that number fits into the logarithm of the largest label (one up to
+some 50 000 vectors, two up to 6 million, three up to 800 million). A leaf that no direction can split, since most of
+its members lie near every border, is compared whole, in blocks: its members are near copies of each other.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,74 +25,171 @@ from pyspark.sql import functions as F
 from .common import connected_components, store
 
 COSINE = 0.98
-#: Trees; levels at most; members of a leaf that are few enough to compare; members of one side of a block.
-TREES, LEVELS, LEAF, BLOCK = 3, 24, 1000, 1000
-#: A split that would send more than this share of its members to both sides isn't made.
-MOST_SPILLED = 0.4
-_RANKS = 15
-
+#: Trees; members of a leaf that are few enough to compare; members of one side of a block.
+TREES, LEAF, BLOCK = 4, 400, 1000
+#: Members of a node that its splits are found on, about; of those a node that is split further must have so many.
+SAMPLE, LEAST_SAMPLE = 4096, 32
+#: A border's spill to either side, in units of the largest distance of a link over the root of the dimension. Where two such
+#: vectors are parted by one split in about 1 of 80 cases, 4 trees of 10 splits lose about 1 pair of 5000.
+SPILL = 0.5
+#: A split that would send more than this share of its members to both sides isn't made; directions that are tried.
+MOST_SPILLED, TRIES = 0.3, 4
 
-def directions(dim: int, trees: int = TREES, levels: int = LEVELS, seed: int = 7) -> np.ndarray:
-    """Unit vectors, one for each level of each tree."""
-    d = np.random.default_rng([seed, dim]).standard_normal((trees * levels, dim))
-    return d / np.linalg.norm(d, axis=1, keepdims=True)
+_MEMBERS = "vec_id bigint, label int, dim int, member binary, raw binary"
+_MEMBER = pa.schema([("vec_id", pa.int64()), ("label", pa.int32()), ("dim", pa.int32()), ("member", pa.binary()), ("raw", pa.binary())])
 
 
-_MEMBERS = "vec_id bigint, label int, dim int, member binary, projections array<float>, raw binary"
+def unit(raws: pd.Series | list[bytes]) -> np.ndarray:
+    """Rows of length 1 of vectors of one dimension, as doubles."""
+    x = np.stack([np.frombuffer(r[1:], "<f4" if r[:1] == b"f" else "<f8") for r in raws]).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def members(vectors: DataFrame) -> DataFrame:
-    """One row for each vector: member (a hash of its values; null if it can link with nothing), its projections and its values as doubles."""
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for label, e in zip(pdf["label"], pdf["embedding"], strict=True):
-                x = np.array([np.nan if v is None else v for v in e], np.float64) if e is not None else np.zeros(0)
-                size = float(np.linalg.norm(x / np.abs(x).max())) if len(x) and np.isfinite(x).all() and x.any() else 0.0
-                if pd.isna(label) or not size:
-                    rows.append((0, None, None, None))
-                    continue
-                x = x / np.abs(x).max()
-                x /= np.linalg.norm(x)
-                raw = x.tobytes()
-                rows.append((len(x), xxhash.xxh3_128_digest(raw), directions(len(x)) @ x, raw))
-            out = pd.DataFrame(rows, columns=["dim", "member", "projections", "raw"])
-            out.insert(0, "label", pdf["label"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            out.insert(0, "vec_id", pdf["vec_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
-
-    return vectors.select("vec_id", "label", "embedding").mapInPandas(of, _MEMBERS)
+    """One row for each vector: member (a hash of its label and values; null if it can link with nothing) and raw (a letter for their type, and the values)."""
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kind, dtype = (b"f", "<f4") if single else (b"d", "<f8")
+
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, labels, e = (part.column(i) for i in range(3))
+            values = e.values.to_numpy(zero_copy_only=False).astype(dtype)  # null becomes nan
+            ends, has = e.offsets.to_numpy(), e.is_valid().to_numpy(zero_copy_only=False) & labels.is_valid().to_numpy(zero_copy_only=False)
+            dims, member, raw = [], [], []
+            for i, label in enumerate(labels.to_pylist()):
+                x = values[ends[i] : ends[i + 1]]
+                if has[i] and len(x) and np.isfinite(x).all() and x.any():
+                    r = kind + x.tobytes()
+                    dims.append(len(x))
+                    member.append(xxhash.xxh3_128_digest(b"%d:%s" % (label, r)))
+                    raw.append(r)
+                else:
+                    dims.append(0)
+                    member.append(None)
+                    raw.append(None)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int32()), pa.array(dims, pa.int32()), pa.array(member, pa.binary()), pa.array(raw, pa.binary())], schema=_MEMBER)
+
+    return vectors.select("vec_id", "label", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding")).mapInArrow(of, _MEMBERS)
+
+
+def direction(seed: int, dim: int) -> np.ndarray:
+    d = np.random.default_rng([seed & 0xFFFFFFFF, seed >> 32 & 0xFFFFFFFF, dim]).standard_normal(dim)
+    return d / np.linalg.norm(d)
+
+
+def child(node: int, side: int) -> int:
+    return xxhash.xxh3_64_intdigest(node.to_bytes(8, "little") + bytes([side]))
+
+
+def spill(dim: int) -> float:
+    return SPILL * float(np.sqrt((2 - 2 * COSINE) / dim))
+
+
+def border(p: np.ndarray, delta: float) -> tuple[float, int]:
+    """(share of projections within delta of the border, border) of the best place among the middle ranks."""
+    p = np.sort(p)
+    at = p[np.unique(np.linspace(len(p) // 4, len(p) - 1 - len(p) // 4, 33).astype(int))]
+    spilled = np.searchsorted(p, at + delta, "right") - np.searchsorted(p, at - delta)
+    best = np.lexsort((np.abs(np.arange(len(at)) - len(at) // 2), spilled))[0]
+    return spilled[best] / len(p), float(at[best])
+
+
+def grow(x: np.ndarray, node: int, n: int, leaf: int) -> dict[int, tuple[int, float]]:
+    """Splits of a tree below a node of n members, of which x is a sample: node to (seed of its direction, border); stuck ones to (0, nan)."""
+    splits, todo, delta = {}, [(node, np.arange(len(x)))], spill(x.shape[1])
+    while todo:
+        here, idx = todo.pop()
+        if len(idx) * n <= leaf * len(x) or len(idx) < min(LEAST_SAMPLE, leaf + 1):
+            continue
+        tries = [child(here, 2 + t) for t in range(TRIES)]
+        found = []
+        for seed in tries:
+            found.append((*border(x[idx] @ direction(seed, x.shape[1]), delta), seed))
+            if found[-1][0] <= MOST_SPILLED / 2:
+                break
+        share, at, seed = min(found)
+        if share > MOST_SPILLED:
+            splits[here] = (0, float("nan"))
+            continue
+        splits[here] = (seed, at)
+        p = x[idx] @ direction(seed, x.shape[1])
+        todo += [(child(here, 0), idx[p < at + delta]), (child(here, 1), idx[p >= at - delta])]
+    return splits
+
+
+def descend(x: np.ndarray, node: int, splits: dict[int, tuple[int, float]]) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(leaf, rows of x in it, whether it is stuck) below a node."""
+    todo, delta = [(node, np.arange(len(x)))], spill(x.shape[1])
+    while todo:
+        here, idx = todo.pop()
+        if not len(idx):
+            continue
+        seed, at = splits.get(here, (0, 0.0))
+        if not seed:
+            yield here, idx, here in splits
+            continue
+        p = x[idx] @ direction(seed, x.shape[1])
+        todo += [(child(here, 0), idx[p < at + delta]), (child(here, 1), idx[p >= at - delta])]
+
+
+_TREE = "node bigint, nodes array<bigint>, seeds array<bigint>, borders array<double>"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def leaves(own: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """(member, leaf) of every tree, from members (member, label, dim, projections); a member is in one leaf of each tree or more."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = own.select("member", "label", "dim", "projections", trees)
-    rows = rows.select("member", F.expr(f"slice(projections, tree * {LEVELS} + 1, {LEVELS})").alias("p"), F.xxhash64("tree", "label", "dim").alias("node"), (0.2 / F.sqrt("dim")).alias("delta"))
-    rows, done = store(rows, "nodes"), []
-    ranks = ", ".join(f"{i / (_RANKS + 1)}" for i in range(1, _RANKS + 1))
-    for level in range(LEVELS):
-        rows = rows.withColumn("x", F.col("p")[level].cast("double"))
-        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("delta").alias("d"), F.expr(f"percentile_approx(x, array({ranks}), 1000)").alias("q"))
-        # Among the middle ranks the border with the fewest ranks within the spill, then the most central one.
-        best = f"array_min(transform(sequence({_RANKS // 4}, {_RANKS - 1 - _RANKS // 4}), i -> struct(size(filter(q, v -> abs(v - q[i]) <= d)) AS spilled, abs(i - {_RANKS // 2}) AS off, q[i] AS at)))"
-        stats = stats.select("node", "n", F.expr(best).alias("b"))
-        split = (F.col("n") > leaf) & (F.col("b.spilled") <= MOST_SPILLED * _RANKS)
-        stats = store(stats.select("node", F.when(split, F.col("b.at")).alias("at")), "splits")  # one row a node
-        more = not stats.where("at is not null").isEmpty()
-        joined = rows.join(stats, "node")
-        done.append(joined.where("at is null").select("member", F.col("node").alias("leaf")))
-        if not more:
-            break
-        sides = F.array_compact(F.array(F.when(F.col("x") < F.col("at") + F.col("delta"), F.xxhash64("node", F.lit(0))), F.when(F.col("x") >= F.col("at") - F.col("delta"), F.xxhash64("node", F.lit(1)))))
-        rows = store(joined.where("at is not null").select("member", "p", F.explode(sides).alias("node"), "delta"), "nodes")
-    else:
-        done.append(rows.select("member", F.col("node").alias("leaf")))
-    out = done[0]
-    for more_rows in done[1:]:
-        out = out.unionByName(more_rows)
-    return store(out, "leaves")
+    """(member, leaf) of every tree, from members (member, label, dim, raw); a member is in one leaf of each tree or more."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("member")
+        node, n = int(pdf["node"].iloc[0]), int(pdf["n"].iloc[0])
+        splits = grow(unit(pdf["raw"]), node & (1 << 64) - 1, n, leaf) or {node & (1 << 64) - 1: (0, float("nan"))}
+        return pd.DataFrame({"node": [node], "nodes": [[*map(_signed, splits)]], "seeds": [[_signed(s) for s, _ in splits.values()]], "borders": [[b for _, b in splits.values()]]})
+
+    def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, dict[int, tuple[int, float]]] = {}
+        for part in parts:
+            pdf = part.select(["member", "raw", "node"]).to_pandas()
+            out: list[tuple[np.ndarray, int, bool]] = []
+            for node, rows in pdf.groupby("node").indices.items():
+                if node not in known:
+                    known.clear() if len(known) > 64 else None
+                    t = part.slice(int(rows[0]), 1).to_pylist()[0]
+                    mask = (1 << 64) - 1
+                    known[node] = {k & mask: (s & mask, b) for k, s, b in zip(t["nodes"], t["seeds"], t["borders"], strict=True)}
+                for place, idx, stuck in descend(unit(pdf["raw"].iloc[rows]), int(node) & (1 << 64) - 1, known[node]):
+                    out.append((rows[idx], _signed(place), stuck))
+            names = pdf["member"].to_numpy()
+            flat = np.concatenate([r for r, _, _ in out]) if out else np.zeros(0, int)
+            size = [len(r) for r, _, _ in out]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[flat], pa.binary()), pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), size)), pa.array(np.repeat(np.array([s for _, _, s in out], bool), size))], ["member", "leaf", "stuck"]
+            )
+
+    # All trees begin with the whole of a label and a dimension; a node's number is a hash of the way to it.
+    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, "label", "dim"))).alias("node")
+    start = own.select("member", "label", "dim").groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", "n", trees)
+    sizes = store(start, "nodes")
+    rows = own.join(sizes.select("label", "dim", "node"), ["label", "dim"]).select("member", "raw", "node")
+    done = rows.join(sizes.where(F.col("n") <= leaf).select("node"), "node", "left_semi").select("member", F.col("node").alias("leaf"))
+    sizes = sizes.where(F.col("n") > leaf).select("node", "n")
+    out = [done]
+    while not sizes.isEmpty():
+        big = rows.join(sizes, "node")
+        # By hash, so a node's sample is the same in every run; about SAMPLE members whatever the size of the node.
+        some = big.where(F.pmod(F.xxhash64("member", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(float(SAMPLE << 30)))
+        fitted = store(some.groupBy("node").applyInPandas(lambda pdf: fit(pdf), _TREE), "trees")
+        placed = store(rows.join(fitted, "node").select("member", "raw", "node", "nodes", "seeds", "borders").mapInArrow(route, "member binary, leaf bigint, stuck boolean"), "placed")
+        sizes = store(placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("stuck").alias("stuck")).where(~F.col("stuck") & (F.col("n") > 2 * leaf)).select(F.col("leaf").alias("node"), "n"), "nodes")
+        out.append(placed.join(sizes.select(F.col("node").alias("leaf")), "leaf", "left_anti").select("member", "leaf"))
+        rows = placed.join(sizes.select(F.col("node").alias("leaf")), "leaf", "left_semi").select("member", F.col("leaf").alias("node")).join(own.select("member", "raw"), "member").select("member", "raw", "node")
+    held = out[0]
+    for more in out[1:]:
+        held = held.unionByName(more)
+    return store(held, "leaves")
 
 
 def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +198,7 @@ def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     A pair counts here only if no leaf with a smaller number holds both.
     """
     pdf = pdf.sort_values("member").reset_index(drop=True)
-    x = np.stack([np.frombuffer(r, np.float64) for r in pdf["raw"]])
+    x = unit(pdf["raw"])
     side, copies, here = pdf["side"].to_numpy(), pdf["copies"].to_numpy(np.int64), int(pdf["leaf"].iloc[0])
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
     linked = x[left] @ x[right].T >= COSINE
@@ -145,27 +249,28 @@ def links(vectors: DataFrame, leaf: int = LEAF) -> DataFrame:
     other; an empty table gives none; extra columns are left out.
     """
     rows = store(members(vectors), "vectors")
-    distinct = rows.where("member is not null").groupBy("label", "dim", "member").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("projections").alias("projections"), F.first("raw").alias("raw"))
-    distinct = store(distinct.withColumn("group", F.sha1(F.concat(F.col("member"), F.encode(F.col("label").cast("string"), "utf-8")))), "distinct")
-    held = leaves(distinct.select(F.col("group").alias("member"), "label", "dim", "projections"), leaf)
+    distinct = rows.where("member is not null").groupBy("member").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
+    distinct = store(distinct, "distinct")
+    held = leaves(distinct, leaf)
     size = held.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     size = store(size, "sizes")
     others = held.groupBy("member").agg(F.collect_set("leaf").alias("others"))  # leaves of one member
     placed = held.join(size, "leaf").withColumn("own", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     placed = placed.select("leaf", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "member")
-    carried = distinct.select(F.col("group").alias("member"), "copies", "raw").join(others, "member")
-    found = placed.join(store(carried, "carried"), "member").groupBy("leaf", "lo", "hi").applyInPandas(lambda pdf: block_links(pdf), "a string, b string, n bigint")
+    carried = store(distinct.select("member", "copies", "raw").join(others, "member"), "carried")
+    found = placed.join(carried, "member").groupBy("leaf", "lo", "hi").applyInPandas(lambda pdf: block_links(pdf), "a binary, b binary, n bigint")
     found = store(found, "found")
     n = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("b is not null").select("a", "b"))
-    named = distinct.select("group", "label", "dim", "member", "copies", "first").join(n, F.col("group") == F.col("a"), "left").join(comp, F.col("group") == F.col("node"), "left")
-    named = store(named.select("label", "dim", "member", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "group").alias("component")), "named")
+    named = distinct.select("member", "copies", "first").join(n, F.col("member") == F.col("a"), "left").join(comp, F.col("member") == F.col("node"), "left")
+    named = store(named.select("member", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "member").alias("component")), "named")
     low = named.groupBy("component").agg(F.min("first").alias("lowest"))
-    named = store(named.join(low, "component").select("label", "dim", "member", "n_links", "lowest"), "named")
-    out = rows.select("vec_id", "label", "dim", "member").join(named, ["label", "dim", "member"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("member").isNull(), F.col("vec_id")).otherwise(F.col("lowest")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    named = store(named.join(low, "component").select("member", "n_links", "lowest"), "named")
+    # Rows that link with nothing stay out of the join: they have one key, null.
+    out = rows.where("member is not null").select("vec_id", "member").join(named, "member").select("vec_id", "n_links", F.col("lowest").alias("component_id"))
+    out = out.unionByName(rows.where("member is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 ORACLE = """

@@ -9,7 +9,7 @@ from quern.llm import order_minhash as O
 from quern.llm import projection_forest as R
 from quern.llm.common import WordHashes, connected_components, release, store, words_of
 
-from ..compare import DATA
+from ..compare import DATA, same
 from .helpers import documents, long_text
 
 
@@ -143,14 +143,38 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, leaf):
     assert R.links(table.limit(0)).count() == 0
 
 
-def test_recall(spark):
-    rng = np.random.default_rng(9)
-    e = rng.standard_normal((1500, 64))
-    e[1::3] = e[0::3] + rng.standard_normal((500, 64)) * 0.17
+@pytest.mark.parametrize(("dim", "n", "leaf"), [(8, 3000, 100), (64, 6000, R.LEAF), (384, 3000, 100)])
+def test_recall(spark, monkeypatch, dim, n, leaf):
+    """Pairs just above the least cosine, the hardest ones, in random directions and in clusters."""
+    monkeypatch.setattr(R, "SAMPLE", 1000)
+    rng = np.random.default_rng(dim)
+    e = rng.standard_normal((n, dim)) + rng.standard_normal((20, dim))[rng.integers(0, 20, n)]
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    off = rng.standard_normal((n // 3, dim))
+    e[1::3] = e[0::3] + 0.19 * off / np.linalg.norm(off, axis=1, keepdims=True)
     e = e.astype("f4")
     unit = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
     s = unit @ unit.T >= 0.98
     np.fill_diagonal(s, False)
     table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(e)], "vec_id bigint, embedding array<float>, label int")
-    found = sum(r.n_links for r in R.links(table, 100).collect())
-    assert s.sum() > 100 and 0.9 * s.sum() <= found <= s.sum()
+    found = sum(r.n_links for r in R.links(table, leaf).collect())
+    assert s.sum() > 100 and 0.95 * s.sum() <= found <= s.sum()
+
+
+def test_small_leaves_give_the_rows_of_sql(spark):
+    same(spark, lambda spark, data: R.links(spark.read.parquet(f"{data}/embeddings.parquet"), 12), R.ORACLE)
+
+
+def test_a_cloud_that_cannot_be_split_is_compared_whole(spark):
+    rng = np.random.default_rng(3)
+    e = (rng.standard_normal(32) + rng.standard_normal((300, 32)) * 0.02).astype("f4")
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(e)], "vec_id bigint, embedding array<float>, label int")
+    assert {(r.n_links, r.component_id) for r in R.links(table, 20).collect()} == {(299, 0)}
+
+
+def test_doubles_and_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    e = rng.standard_normal((40, 5000))
+    e[1::2] = e[0::2] * 3 + rng.standard_normal((20, 5000)) * 0.1
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(e)], "vec_id bigint, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in R.links(table, 10).collect()} == {i: (1, i - i % 2) for i in range(40)}
