@@ -13,6 +13,7 @@ its members lie near every border, is compared whole, in blocks: its members are
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, store
+from .common import connected_components, rows_of, store
 
 COSINE = 0.98
 #: Trees; members of a leaf that are few enough to compare; members of one side of a block.
@@ -95,79 +96,117 @@ def border(p: np.ndarray, delta: float) -> tuple[float, int]:
     return spilled[best] / len(p), float(at[best])
 
 
-def grow(x: np.ndarray, node: int, n: int, leaf: int) -> dict[int, tuple[int, float]]:
-    """Splits of a tree below a node of n members, of which x is a sample: node to (seed of its direction, border); stuck ones to (0, nan)."""
-    splits, todo, delta = {}, [(node, np.arange(len(x)))], spill(x.shape[1])
+_SPLIT = struct.Struct("<Bd")
+_LEAF, _STUCK = 255, 254
+
+
+def grow(x: np.ndarray, node: int, n: int, leaf: int) -> bytes:
+    """A tree below a node of n members, of which x is a sample: in depth-first order the number of a direction and a border for each split, and ends."""
+    out, todo, delta = [], [(node, np.arange(len(x)))], spill(x.shape[1])
     while todo:
         here, idx = todo.pop()
         if len(idx) * n <= leaf * len(x) or len(idx) < min(LEAST_SAMPLE, leaf + 1):
+            out.append(bytes([_LEAF]))
             continue
-        tries = [child(here, 2 + t) for t in range(TRIES)]
         found = []
-        for seed in tries:
-            found.append((*border(x[idx] @ direction(seed, x.shape[1]), delta), seed))
+        for t in range(TRIES):
+            found.append((*border(x[idx] @ direction(child(here, 2 + t), x.shape[1]), delta), t))
             if found[-1][0] <= MOST_SPILLED / 2:
                 break
-        share, at, seed = min(found)
+        share, at, t = min(found)
         if share > MOST_SPILLED:
-            splits[here] = (0, float("nan"))
-            continue
-        splits[here] = (seed, at)
-        p = x[idx] @ direction(seed, x.shape[1])
-        todo += [(child(here, 0), idx[p < at + delta]), (child(here, 1), idx[p >= at - delta])]
-    return splits
-
-
-def descend(x: np.ndarray, node: int, splits: dict[int, tuple[int, float]]) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(leaf, rows of x in it, whether it is stuck) below a node."""
-    todo, delta = [(node, np.arange(len(x)))], spill(x.shape[1])
-    while todo:
-        here, idx = todo.pop()
-        if not len(idx):
+            out.append(bytes([_STUCK]))
             continue
-        seed, at = splits.get(here, (0, 0.0))
-        if not seed:
-            yield here, idx, here in splits
-            continue
-        p = x[idx] @ direction(seed, x.shape[1])
-        todo += [(child(here, 0), idx[p < at + delta]), (child(here, 1), idx[p >= at - delta])]
-
-
-_TREE = "node bigint, nodes array<bigint>, seeds array<bigint>, borders array<double>"
+        out.append(_SPLIT.pack(t, at))
+        p = x[idx] @ direction(child(here, 2 + t), x.shape[1])
+        todo += [(child(here, 1), idx[p >= at - delta]), (child(here, 0), idx[p < at + delta])]
+    return b"".join(out)
+
+
+class Tree:
+    """A tree made by grow(), with its directions."""
+
+    def __init__(self, node: int, packed: bytes, dim: int):
+        self.delta, self.nodes, places, at = spill(dim), [], [node], 0
+        borders, ways = [], []
+        while places:
+            here = places.pop()
+            if packed[at] >= _STUCK:
+                self.nodes.append((here, packed[at] == _STUCK, -1))
+                at += 1
+                continue
+            t, border_at = _SPLIT.unpack_from(packed, at)
+            at += _SPLIT.size
+            self.nodes.append((here, False, len(borders)))
+            borders.append(border_at)
+            ways.append(direction(child(here, 2 + t), dim))
+            places += [child(here, 1), child(here, 0)]
+        self.borders, self.ways = borders, np.stack(ways) if ways else np.zeros((0, dim))
+
+    def leaves(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(leaf, rows of x in it, whether it is stuck)."""
+        p = x @ self.ways.T
+        held = [np.arange(len(x))]
+        for place, stuck, split in self.nodes:
+            idx = held.pop()
+            if split < 0:
+                if len(idx):
+                    yield place, idx, stuck
+                continue
+            q, at = p[idx, split], self.borders[split]
+            held += [idx[q >= at - self.delta], idx[q < at + self.delta]]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_PLACED = pa.schema([("member", pa.binary()), ("leaf", pa.int64()), ("stuck", pa.bool_())])
+#: Rows, bytes of vectors and of directions that a task holds at once, about.
+ROUTE_ROWS, ROUTE_BYTES = 8192, 1 << 25
+
+
+def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sends rows (member, raw, node, tree) down their trees."""
+    known: dict[int, Tree] = {}
+
+    def placed(rows: list[dict]) -> pa.RecordBatch:
+        by_node: dict[int, list[dict]] = {}
+        for r in rows:
+            by_node.setdefault(r["node"], []).append(r)
+        members, places, stuck_ones = [], [], []
+        for node, own in by_node.items():
+            x = unit([r["raw"] for r in own])
+            if node not in known:
+                if sum(t.ways.nbytes for t in known.values()) > ROUTE_BYTES:
+                    known.clear()
+                known[node] = Tree(node & (1 << 64) - 1, own[0]["tree"], x.shape[1])
+            for place, idx, stuck in known[node].leaves(x):
+                members += [own[i]["member"] for i in idx]
+                places += [_signed(place)] * len(idx)
+                stuck_ones += [stuck] * len(idx)
+        return pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(places, pa.int64()), pa.array(stuck_ones, pa.bool_())], schema=_PLACED)
+
+    rows, size = [], 0
+    for some in rows_of(parts):
+        rows += some
+        size += sum(len(r["raw"]) for r in some)
+        if len(rows) >= ROUTE_ROWS or size >= ROUTE_BYTES:
+            yield placed(rows)
+            rows, size = [], 0
+    if rows:
+        yield placed(rows)
+
+
 def leaves(own: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(member, leaf) of every tree, from members (member, label, dim, raw); a member is in one leaf of each tree or more."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("member")
         node, n = int(pdf["node"].iloc[0]), int(pdf["n"].iloc[0])
-        splits = grow(unit(pdf["raw"]), node & (1 << 64) - 1, n, leaf) or {node & (1 << 64) - 1: (0, float("nan"))}
-        return pd.DataFrame({"node": [node], "nodes": [[*map(_signed, splits)]], "seeds": [[_signed(s) for s, _ in splits.values()]], "borders": [[b for _, b in splits.values()]]})
-
-    def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, dict[int, tuple[int, float]]] = {}
-        for part in parts:
-            pdf = part.select(["member", "raw", "node"]).to_pandas()
-            out: list[tuple[np.ndarray, int, bool]] = []
-            for node, rows in pdf.groupby("node").indices.items():
-                if node not in known:
-                    known.clear() if len(known) > 64 else None
-                    t = part.slice(int(rows[0]), 1).to_pylist()[0]
-                    mask = (1 << 64) - 1
-                    known[node] = {k & mask: (s & mask, b) for k, s, b in zip(t["nodes"], t["seeds"], t["borders"], strict=True)}
-                for place, idx, stuck in descend(unit(pdf["raw"].iloc[rows]), int(node) & (1 << 64) - 1, known[node]):
-                    out.append((rows[idx], _signed(place), stuck))
-            names = pdf["member"].to_numpy()
-            flat = np.concatenate([r for r, _, _ in out]) if out else np.zeros(0, int)
-            size = [len(r) for r, _, _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[flat], pa.binary()), pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), size)), pa.array(np.repeat(np.array([s for _, _, s in out], bool), size))], ["member", "leaf", "stuck"]
-            )
+        tree = grow(unit(pdf["raw"]), node & (1 << 64) - 1, n, leaf)
+        # A node whose sample asks for no split ends here, as a stuck one does.
+        return pd.DataFrame({"node": [node], "tree": [tree if tree != bytes([_LEAF]) else bytes([_STUCK])]})
 
     # All trees begin with the whole of a label and a dimension; a node's number is a hash of the way to it.
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, "label", "dim"))).alias("node")
@@ -181,8 +220,8 @@ def leaves(own: DataFrame, leaf: int = LEAF) -> DataFrame:
         big = rows.join(sizes, "node")
         # By hash, so a node's sample is the same in every run; about SAMPLE members whatever the size of the node.
         some = big.where(F.pmod(F.xxhash64("member", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(float(SAMPLE << 30)))
-        fitted = store(some.groupBy("node").applyInPandas(lambda pdf: fit(pdf), _TREE), "trees")
-        placed = store(rows.join(fitted, "node").select("member", "raw", "node", "nodes", "seeds", "borders").mapInArrow(route, "member binary, leaf bigint, stuck boolean"), "placed")
+        fitted = store(some.groupBy("node").applyInPandas(lambda pdf: fit(pdf), "node bigint, tree binary"), "trees")
+        placed = store(rows.join(fitted, "node").select("member", "raw", "node", "tree").mapInArrow(route, "member binary, leaf bigint, stuck boolean"), "placed")
         sizes = store(placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("stuck").alias("stuck")).where(~F.col("stuck") & (F.col("n") > 2 * leaf)).select(F.col("leaf").alias("node"), "n"), "nodes")
         out.append(placed.join(sizes.select(F.col("node").alias("leaf")), "leaf", "left_anti").select("member", "leaf"))
         rows = placed.join(sizes.select(F.col("node").alias("leaf")), "leaf", "left_semi").select("member", F.col("leaf").alias("node")).join(own.select("member", "raw"), "member").select("member", "raw", "node")
