@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.energy import LATENT
 from quern.functions.expr import clip
+from quern.operators.quantiles import quantiles
+from quern.session import checkpoint
 
 #: Relaxation levels, in steps of a quarter; each moves a percentile by ten times its size.
 LEVELS = [i / 4 for i in range(13)]
 CLUSTER, ENOUGH = 20, 5
 
 
-def _ranks(start: int, sign: int) -> Column:
-    return F.array(*[F.lit((start + sign * 10 * level) / 100) for level in LEVELS])
+def _ranks(start: int, sign: int) -> list[float]:
+    return [(start + sign * 10 * level) / 100 for level in LEVELS]
 
 
 def anchors(px: DataFrame, cluster: int = CLUSTER) -> DataFrame:
     """(scene_id, level, kind, n, ts, ndvi, rn, g): the cold and the hot cluster of each scene, medians of their pixels.
 
-    Candidates are cut by percentiles of lst and ndvi (at level 0 of albedo and lai, too). All levels' percentiles are one
-    aggregation, all levels' counts another; the first level with enough of both kinds holds, else the last. A cluster is
-    the coldest or hottest so many candidates, as many of either kind.
+    Candidates are cut by percentiles of lst and ndvi (at level 0 of albedo and lai, too). All levels' percentiles are found
+    at once, all levels' counts are another aggregation; the first level with enough of both kinds holds, else the last. A
+    cluster is the coldest or hottest so many candidates, as many of either kind.
     """
-    px = px.where("lst is not null and ndvi is not null")
-    at = lambda *ranks: F.array(*map(F.lit, ranks))
-    cuts = px.groupBy("scene_id").agg(
-        F.percentile("lst", _ranks(15, 1)).alias("_tc"), F.percentile("lst", _ranks(90, -1)).alias("_th"), F.percentile("ndvi", _ranks(90, -1)).alias("_nc"), F.percentile("ndvi", _ranks(10, 1)).alias("_nh"),
-        F.percentile("albedo", at(0.3, 0.7)).alias("_a"), F.percentile("lai", at(0.8, 0.2)).alias("_l"),
-    )
+    px = checkpoint(px.where("lst is not null and ndvi is not null").select("scene_id", "y", "x", "lst", "ndvi", "albedo", "lai", "rn", "g"))
+    q = quantiles(px, ["scene_id"], {"lst": _ranks(15, 1) + _ranks(90, -1), "ndvi": _ranks(90, -1) + _ranks(10, 1), "albedo": [0.3, 0.7], "lai": [0.8, 0.2]})
+    n = len(LEVELS)
+    cuts = q.select("scene_id", F.slice("lst", 1, n).alias("_tc"), F.slice("lst", n + 1, n).alias("_th"), F.slice("ndvi", 1, n).alias("_nc"), F.slice("ndvi", n + 1, n).alias("_nh"), F.col("albedo").alias("_a"), F.col("lai").alias("_l"))
     r = lambda c: F.round(c, 6)  # noqa: E731  percentiles carry noise in their last digits
     d = px.join(cuts, "scene_id").withColumns({"_t": r("lst"), "_v": r("ndvi")})
     cold = [(F.col("_t") <= r(F.col("_tc")[i])) & (F.col("_v") >= r(F.col("_nc")[i])) for i in range(len(LEVELS))]
@@ -45,7 +45,8 @@ def anchors(px: DataFrame, cluster: int = CLUSTER) -> DataFrame:
     kinds = F.explode(F.array_compact(F.array(F.when(F.get(is_cold, F.col("level")), "cold"), F.when(F.get(is_hot, F.col("level")), "hot")))).alias("kind")
     d = d.select("scene_id", "level", "_k", "y", "x", "lst", "ndvi", "rn", "g", "_t", kinds)
     order = Window.partitionBy("scene_id", "kind").orderBy(F.when(F.col("kind") == "cold", F.col("_t")).otherwise(-F.col("_t")), "y", "x")
-    d = d.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.least(F.lit(cluster), "_k.c", "_k.h"))
+    # The constant bound cuts each task's rows before the shuffle.
+    d = d.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cluster).where(F.col("_r") <= F.least("_k.c", "_k.h"))
     half = F.lit(0.5)
     return d.groupBy("scene_id", "level", "kind").agg(F.count("*").alias("n"), *[F.percentile(c, half).alias(n) for c, n in (("lst", "ts"), ("ndvi", "ndvi"), ("rn", "rn"), ("g", "g"))])
 

@@ -13,14 +13,17 @@ def traverse(relations: DataFrame, start: DataFrame, depth: int = 1, most: int =
     """
     both = relations.select(F.col("id").alias("relation_id"), F.col("source_id").alias("near"), F.col("target_id").alias("far"))
     both = both.union(relations.select(F.col("id"), F.col("target_id"), F.col("source_id")))
-    frontier = start.select("start", F.col("start").alias("near"))
-    found = None
+    frontier, found = start.select("start", F.col("start").alias("near")), None
+    first = Window.partitionBy("start").orderBy("relation_id")
     for hop in range(min(depth, 3) + 1):
         step = frontier.join(both, "near").groupBy("start", "relation_id").agg(F.min(F.struct("near", "far")).alias("e")).select("start", "relation_id", "e.near", "e.far", F.lit(hop).alias("hop"))
         if found is not None:
             step = step.join(found.select("start", "relation_id"), ["start", "relation_id"], "left_anti")
+        # More than most of one hop can't be among the first; where so many are found, no hop beyond is, either.
+        step = step.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
         found = step if found is None else found.unionByName(step)
-        frontier = step.select("start", F.col("far").alias("near")).distinct()
+        full = found.groupBy("start").agg(F.count("*").alias("_k")).where(F.col("_k") >= most).select("start")
+        frontier = step.select("start", F.col("far").alias("near")).distinct().join(full, "start", "left_anti")
     order = Window.partitionBy("start").orderBy("hop", "relation_id")
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 

@@ -40,13 +40,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> Da
 
 
 def trigram_cosine(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """Cosine of trigram counts; the k best first, then those of score 0 dropped (a document without a common trigram is never better)."""
-    own = docs.select(F.col(key).alias("id"), F.explode_outer(trigrams(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g").agg(F.count("*").alias("tf"))
-    size = own.groupBy("id").agg(F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double"))).alias("size"))
+    """Cosine of trigram counts; the k best first, then those of score 0 dropped (a document without a common trigram is never better).
+
+    Texts are dealt out by id once, which moves far less than their trigrams would: counts, lengths and sums of a document
+    all stay in its task.
+    """
+    own = docs.select(F.col(key).alias("id"), "text").repartition("id").select("id", F.explode_outer(trigrams(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g").agg(F.count("*").alias("tf"))
+    own = own.withColumn("size", F.sum((F.col("tf") * F.col("tf")).cast("double")).over(Window.partitionBy("id")))
     asked = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("qf"))
     asked_size = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("qf") * F.col("qf")).cast("double"))).alias("q_size"))
-    scored = own.join(asked, "g").groupBy("query_id", "id").agg(F.sum((F.col("tf") * F.col("qf")).cast("double")).alias("dot"))
-    scored = scored.join(size, "id").join(asked_size, "query_id").select("query_id", "id", (F.col("dot") / (F.col("size") * F.col("q_size"))).alias("score"))
+    scored = own.join(asked, "g").groupBy("query_id", "id").agg(F.sum((F.col("tf") * F.col("qf")).cast("double")).alias("dot"), F.sqrt(F.first("size")).alias("size"))
+    scored = scored.join(asked_size, "query_id").select("query_id", "id", (F.col("dot") / (F.col("size") * F.col("q_size"))).alias("score"))
     return top(scored, k)
 
 

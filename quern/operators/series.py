@@ -62,17 +62,26 @@ def carry_forward(rows: DataFrame, key: str, order: list[str], value: str, valid
     return rows.withColumn("used", last).withColumn("source", source)
 
 
-def as_of_linear(points: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def as_of_linear(points: DataFrame, samples: DataFrame, key: str, time: str, value: str, block: str = "day") -> DataFrame:
     """points (key, time) with the value on the line between the samples before and after; at an end the nearest sample's.
 
-    Both tables are laid into one sequence and looked at by windows: one shuffle by key, no range join.
+    Both tables are laid into one sequence and looked at by windows: no range join. A window holds one block of time of a
+    key; what lies before and after a block comes from the blocks' own first and last samples, a row for each block.
     """
-    both = points.select(key, F.col(time).alias("t"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("asked")).unionByName(samples.select(key, F.col(time).alias("t"), F.col(value).cast("double").alias("v"), F.lit(0).alias("asked")))
+    no = F.lit(None).cast("double")
+    both = points.select(key, F.col(time).alias("t"), no.alias("v"), F.lit(1).alias("asked")).unionByName(samples.select(key, F.col(time).alias("t"), F.col(value).cast("double").alias("v"), F.lit(0).alias("asked")))
+    both = both.withColumn("block", F.date_trunc(block, "t"))
     known = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    order = Window.partitionBy(key).orderBy("t", "asked")
-    before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("b", before).withColumn("a", after).where("asked = 1")
+    edges = both.groupBy(key, "block").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
+    on, back = Window.partitionBy(key).orderBy("block"), Window.partitionBy(key).orderBy(F.desc("block"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(key, "block", F.last("hi", ignorenulls=True).over(earlier(on)).alias("prior"), F.last("lo", ignorenulls=True).over(earlier(back)).alias("next"))
+    # Running last values in both directions: a frame that ends with the block would be gone through again for each row.
+    own = Window.partitionBy(key, "block")
+    before = F.last(known, ignorenulls=True).over(own.orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(known, ignorenulls=True).over(own.orderBy(F.desc("t"), "asked").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("b", before).withColumn("a", after).where("asked = 1").join(edges, [key, "block"])
+    both = both.select(key, "t", F.coalesce("b", "prior").alias("b"), F.coalesce("a", "next").alias("a"))
     sec = lambda c: F.unix_micros(c.cast("timestamp")).cast("double")
     share = F.try_divide(sec(F.col("t")) - sec(F.col("b.t")), sec(F.col("a.t")) - sec(F.col("b.t")))
     line = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * F.coalesce(share, F.lit(0.0))

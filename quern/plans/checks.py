@@ -182,12 +182,12 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(hits.select("query_id", F.lit("citation").alias("kind"), (F.col("rank") + 1).alias("pos"), F.col("id").cast("string").alias("body")))
 
 
-@query("proposals", "SELECT doc_id AS id, CASE WHEN source = 'src1' THEN 'metadata_update' WHEN contains(lower(substr(text, 1, 100)), 'entity') THEN 'entity_create' ELSE 'graph_relation' END AS kind, split_part(substr(text, 1, 40), ' ', 1) AS subject FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0")
+@query("proposals", "SELECT doc_id AS id, CASE WHEN source = 'src1' THEN 'metadata_update' WHEN contains(lower(substr(text, 1, 100)), 'entity') THEN 'entity_create' ELSE 'graph_relation' END AS kind, split_part(text, ' ', 1) AS subject FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0")
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What verified memories propose: by kind of memory, by the word entity at their beginning, else a relation."""
     t = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id"), "doc_id")
     kind = F.when(F.col("source") == "src1", "metadata_update").when(F.lower(F.substring("text", 1, 100)).contains("entity"), "entity_create").otherwise("graph_relation")
-    return t.select(F.col("doc_id").alias("id"), kind.alias("kind"), F.split_part(F.substring("text", 1, 40), F.lit(" "), F.lit(1)).alias("subject"))
+    return t.select(F.col("doc_id").alias("id"), kind.alias("kind"), F.split_part("text", F.lit(" "), F.lit(1)).alias("subject"))
 
 
 @query("embedding_hash")

@@ -208,12 +208,12 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "context_format",
-    f"""WITH {QUESTIONS}, {_BM25}, h AS (SELECT query_id, rank, source, lang, substr(text, 1, 80) AS text FROM br JOIN documents ON doc_id = id WHERE rank < 3)
+    f"""WITH {QUESTIONS}, {_BM25}, h AS (SELECT query_id, rank, source, lang, text FROM br JOIN documents ON doc_id = id WHERE rank < 3)
     SELECT query_id, string_agg('[' || CAST(rank + 1 AS VARCHAR) || '] (source: source=' || source || ', lang=' || lang || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id""",
 )
 def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = ranking.bm25(docs, questions(spark, sf_dir), 3).join(docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("text")), "id")
+    hits = ranking.bm25(docs, questions(spark, sf_dir), 3).join(docs.select(F.col("doc_id").alias("id"), "source", "lang", "text"), "id")
     return ranking.context(hits, F.concat(F.lit("source="), F.col("source"), F.lit(", lang="), F.col("lang")))
 
 
@@ -270,12 +270,13 @@ def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "citation_map",
-    f"""WITH {QUESTIONS}, {_BM25}, s AS (SELECT query_id, id, rank + 1 AS key FROM br WHERE rank < 5), a AS (SELECT item_id AS query_id, 'see [1] and [' || CAST(item_id % 9 AS VARCHAR) || '], [2][2].' AS answer FROM benchmark),
+    f"""WITH {QUESTIONS}, {_BM25}, s AS (SELECT query_id, id, rank + 1 AS key FROM br WHERE rank < 5), a AS (SELECT query_id, 'see [1] and [' || CAST(query_id // 100 % 9 AS VARCHAR) || '], [2][2].' AS answer FROM q),
     k AS (SELECT DISTINCT query_id, CAST(unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) AS BIGINT) AS key FROM a) SELECT k.query_id, CAST(k.key AS INTEGER) AS key, s.id, s.id IS NOT NULL AS valid FROM k LEFT JOIN s ON s.query_id = k.query_id AND s.key = k.key""",
 )
 def citation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = ranking.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 5).select("query_id", "id", "rank")
-    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("see [1] and ["), (F.col("item_id") % 9).cast("string"), F.lit("], [2][2].")).alias("answer"))
+    asked = questions(spark, sf_dir)
+    sources = ranking.bm25(table(spark, sf_dir, "documents"), asked, 5).select("query_id", "id", "rank")
+    answers = asked.select("query_id", F.concat(F.lit("see [1] and ["), F.expr("query_id div 100 % 9").cast("string"), F.lit("], [2][2].")).alias("answer"))
     return corpus.citations(answers, sources)
 
 

@@ -10,9 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """(query_id, query): the first words of every benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", "\\s+"), 1, n), " ").alias("query"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the whole texts of documents whose id is divisible by 100, as queries against all documents."""
+    return table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUESTIONS = "q AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:10], ' ') AS query FROM benchmark)"
+QUESTIONS = "q AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0)"
 
 PIXELS = """px AS (
   SELECT l_orderkey AS y, l_linenumber AS x, CAST(max(l_orderkey % 4) AS VARCHAR) AS scene_id, 0.02 + max(l_tax) AS blue, 0.03 + max(l_tax) AS green,

@@ -26,8 +26,11 @@ def get_spark(cpus: int | str = "*", app: str = "quern", shuffle_partitions: int
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir, which cuts its lineage and outlives executors; a temporary folder only where none is set."""
+    """df written to the shared folder of spark.checkpoint.dir, which cuts its lineage and outlives executors; without one, to a temporary folder if all executors are on this machine, else an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not to and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()

@@ -22,8 +22,11 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; without one a temporary folder if all executors are on this machine, else an error."""
+    to = spark.conf.get("spark.checkpoint.dir", None)
+    if not to and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(to or tempfile.mkdtemp(prefix='quern-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
