@@ -31,19 +31,23 @@ def anchors(px: DataFrame, cluster: int = CLUSTER) -> DataFrame:
     n = len(LEVELS)
     cuts = q.select("scene_id", F.slice("lst", 1, n).alias("_tc"), F.slice("lst", n + 1, n).alias("_th"), F.slice("ndvi", 1, n).alias("_nc"), F.slice("ndvi", n + 1, n).alias("_nh"), F.col("albedo").alias("_a"), F.col("lai").alias("_l"))
     r = lambda c: F.round(c, 6)  # noqa: E731  percentiles carry noise in their last digits
+    cuts = cuts.select("scene_id", *[F.transform(c, r).alias(c) for c in cuts.columns[1:]])
+    # Bounds widen with the level, so a pixel is a candidate from some level on: the first at which both of its values pass.
     d = px.join(cuts, "scene_id").withColumns({"_t": r("lst"), "_v": r("ndvi")})
-    cold = [(F.col("_t") <= r(F.col("_tc")[i])) & (F.col("_v") >= r(F.col("_nc")[i])) for i in range(len(LEVELS))]
-    hot = [(F.col("_t") >= r(F.col("_th")[i])) & (F.col("_v") <= r(F.col("_nh")[i])) for i in range(len(LEVELS))]
-    cold[0] = cold[0] & (r("albedo") <= r(F.col("_a")[0])) & (r("lai") >= r(F.col("_l")[0]))
-    hot[0] = hot[0] & (r("albedo") >= r(F.col("_a")[1])) & (r("lai") <= r(F.col("_l")[1]))
-    counts = d.groupBy("scene_id").agg(F.array(*[F.struct(F.count_if(c).alias("c"), F.count_if(h).alias("h")) for c, h in zip(cold, hot, strict=True)]).alias("_n"))
+    fails = lambda bounds, bad: F.size(F.filter(bounds, bad))
+    cold = F.greatest(fails("_tc", lambda x: x < F.col("_t")), fails("_nc", lambda x: x > F.col("_v")))
+    hot = F.greatest(fails("_th", lambda x: x > F.col("_t")), fails("_nh", lambda x: x < F.col("_v")))
+    cold = F.when((cold == 0) & ~F.coalesce((r("albedo") <= F.col("_a")[0]) & (r("lai") >= F.col("_l")[0]), F.lit(False)), 1).otherwise(cold)
+    hot = F.when((hot == 0) & ~F.coalesce((r("albedo") >= F.col("_a")[1]) & (r("lai") <= F.col("_l")[1]), F.lit(False)), 1).otherwise(hot)
+    kinds = F.explode(F.array(F.struct(F.lit("cold").alias("kind"), cold.alias("from")), F.struct(F.lit("hot").alias("kind"), hot.alias("from")))).alias("k")
+    d = checkpoint(d.select("scene_id", "y", "x", "lst", "ndvi", "rn", "g", "_t", kinds).where(F.col("k.from") < len(LEVELS)).select("*", "k.kind", "k.from").drop("k"))
+    counts = d.groupBy("scene_id", "kind", "from").agg(F.count("*").alias("n")).groupBy("scene_id").agg(F.collect_list(F.struct("kind", "from", "n")).alias("f"))  # two rows a level
+    upto = lambda kind: F.transform(F.array(*map(F.lit, range(len(LEVELS)))), lambda i: F.aggregate(F.filter("f", lambda x: (x["kind"] == kind) & (x["from"] <= i)), F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))
+    counts = counts.select("scene_id", F.arrays_zip(upto("cold").alias("c"), upto("hot").alias("h")).alias("_n"))
     first = F.array_position(F.transform("_n", lambda x: (x["c"] >= ENOUGH) & (x["h"] >= ENOUGH)), True).cast("int")
     level = F.when(first > 0, first - 1).otherwise(len(LEVELS) - 1)
     counts = counts.select("scene_id", level.alias("level"), F.get("_n", level).alias("_k"))
-    d = d.join(counts, "scene_id")
-    is_cold, is_hot = F.array(*cold), F.array(*hot)
-    kinds = F.explode(F.array_compact(F.array(F.when(F.get(is_cold, F.col("level")), "cold"), F.when(F.get(is_hot, F.col("level")), "hot")))).alias("kind")
-    d = d.select("scene_id", "level", "_k", "y", "x", "lst", "ndvi", "rn", "g", "_t", kinds)
+    d = d.join(counts, "scene_id").where(F.col("from") <= F.col("level"))
     order = Window.partitionBy("scene_id", "kind").orderBy(F.when(F.col("kind") == "cold", F.col("_t")).otherwise(-F.col("_t")), "y", "x")
     # The constant bound cuts each task's rows before the shuffle.
     d = d.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cluster).where(F.col("_r") <= F.least("_k.c", "_k.h"))

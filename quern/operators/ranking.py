@@ -20,22 +20,35 @@ def top(hits: DataFrame, k: int, query: str = "query_id", ascending: bool = Fals
     return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+#: Rows of terms of queries up to which they are broadcast; more are merged.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(*tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A hint for joins with these tables, by their counted rows: Spark's guess from the size of files takes exploded texts for small."""
+    small = max(t.count() for t in tables) <= BROADCAST_ROWS
+    return F.broadcast if small else lambda t: t.hint("merge")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Okapi BM25 of every query (query_id, query) against docs (key, text), terms joined by OR.
 
-    Only query terms leave the scan; term counts are combined before the shuffle. Arrays of terms are exploded outer, here
-    and below: else Spark puts a filter on their size under the explode, for which every text is cut again.
+    Texts are dealt out by id and only query terms stay, so counts and sums of a document stay in its task. Arrays of terms
+    are exploded outer, here and below: else Spark puts a filter on their size under the explode, for which every text is cut
+    again.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    small = sized(asked)
     own = docs.select(F.col(key).alias("id"), terms(F.col("text")).alias("t"))
     totals = own.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    found = own.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).join(asked.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    found = own.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).join(small(asked.select("term").distinct()), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    found = found.repartition("id")
     # Always true, but of the same columns as the scores need: so both read one shuffle of term counts.
     spread = found.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("len") > 0)).alias("df")).crossJoin(F.broadcast(totals))  # one row
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     spread = spread.select("term", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(spread, "term").select("id", "term", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    scored = found.join(small(spread), "term").select("id", "term", part.alias("part")).join(small(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     return top(scored, k)
 
 
@@ -49,7 +62,7 @@ def trigram_cosine(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_
     own = own.withColumn("size", F.sum((F.col("tf") * F.col("tf")).cast("double")).over(Window.partitionBy("id")))
     asked = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("qf"))
     asked_size = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("qf") * F.col("qf")).cast("double"))).alias("q_size"))
-    scored = own.join(asked, "g").groupBy("query_id", "id").agg(F.sum((F.col("tf") * F.col("qf")).cast("double")).alias("dot"), F.sqrt(F.first("size")).alias("size"))
+    scored = own.join(sized(asked)(asked), "g").groupBy("query_id", "id").agg(F.sum((F.col("tf") * F.col("qf")).cast("double")).alias("dot"), F.sqrt(F.first("size")).alias("size"))
     scored = scored.join(asked_size, "query_id").select("query_id", "id", (F.col("dot") / (F.col("size") * F.col("q_size"))).alias("score"))
     return top(scored, k)
 
