@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import rows_of
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -90,6 +91,7 @@ def pieces(chunks: list[tuple[int, str]], own: list[list[int]], coder: Codec) ->
     return out
 
 
+_CHUNK = pa.schema([("row", pa.string()), ("at", pa.int32()), ("last", pa.bool_()), ("part", pa.string())])
 _RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -126,9 +128,15 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
 
     Chunks of one text are spread over all tasks for pre-tokenising; then one task stitches each text.
     """
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(chunk))
-    cut = docs.select("row", F.explode(starts).alias("at"), "text").select("row", "at", (n <= F.col("at") + chunk + overlap).alias("last"), F.expr(f"substring(text, at + 1, {chunk + overlap})").alias("part"))
+
+    def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (r,) in rows_of(parts, 1):
+            text = r["text"]
+            for lo in range(0, max(1, len(text)), 16 * chunk):  # a text goes on a few chunks at a time, each cut once
+                at = [*range(lo, min(max(1, len(text)), lo + 16 * chunk), chunk)]
+                yield pa.RecordBatch.from_pydict({"row": [r["row"]] * len(at), "at": at, "last": [x + chunk + overlap >= len(text) for x in at], "part": [text[x : x + chunk + overlap] for x in at]}, schema=_CHUNK)
+
+    cut = docs.select("row", "text").mapInArrow(chunks, "row string, at int, last boolean, part string")
 
     def bounds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)

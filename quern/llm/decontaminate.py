@@ -107,20 +107,22 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, terms: int = 3) -> DataFrame:
     """(doc_id, item_id): documents in which an item's rarest terms all stand within slop words of the rarest one.
 
-    Lists are met in pieces of slop positions, each with its two neighbours, so no pair of distant places is looked at.
+    Lists are met within a document, in pieces of slop positions, each with its two neighbours, so no pair of distant places
+    is looked at. Terms of equal rarity go by their text; a null text has no terms, neither has an item without words; null
+    ids match as null, repeated rows give one match, empty tables none.
     """
     own = items.select("item_id", F.array_distinct(coarse_words(F.col("text"))).alias("w")).distinct().withColumn("item", F.xxhash64("item_id", F.concat_ws(" ", "w")))
     places = store(own.select("item", "item_id", F.explode("w").alias("term")), "places")
     counts = store(postings(docs, places.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n")), "counts")
     ranked = places.join(counts, "term", "left").groupBy("item", "item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, terms).alias("r")).where("r[0].n > 0")
     ranked = store(ranked.select("item", "item_id", F.posexplode("r").alias("k", "t")).select("item", "item_id", "k", "t.term"), "ranked")
-    index = store(postings(docs, store(ranked.select("term").distinct(), "terms")), "postings")
+    index = store(postings(docs, store(ranked.select("term").distinct(), "terms")).distinct(), "postings")
     lists = index.join(ranked, "term").select("item", "item_id", "k", "doc_id", "row", "pos", F.expr(f"pos div {slop}").alias("cell"))
-    out = lists.where("k = 0")
-    sizes = ranked.groupBy("item").agg(F.max("k").alias("last"))
-    near = lists.where("k > 0").select("item", F.col("doc_id").alias("d"), F.col("row").alias("r"), "k", F.col("pos").alias("p"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    met = out.drop("k").join(near, ["item", "cell"], "left").where("k IS NULL OR (doc_id <=> d AND row = r AND abs(pos - p) <= " + str(slop) + ")")
-    met = met.groupBy("item", "item_id", "doc_id", "row", "pos").agg(F.size(F.collect_set("k")).alias("n")).join(sizes, "item").where("n >= last")
+    out = lists.where("k = 0").drop("k")
+    near = lists.where("k > 0").select(F.col("item").alias("i"), F.col("doc_id").alias("d"), F.col("row").alias("r"), "k", F.col("pos").alias("p"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("c"))
+    same = (F.col("item") == F.col("i")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("cell") == F.col("c"))
+    met = out.join(near, same & (F.abs(F.col("pos") - F.col("p")) <= slop), "left")
+    met = met.groupBy("item", "item_id", "doc_id", "row", "pos").agg(F.size(F.collect_set("k")).alias("n")).join(ranked.groupBy("item").agg(F.max("k").alias("last")), "item").where("n >= last")
     return met.select("doc_id", "item_id").distinct()
 
 

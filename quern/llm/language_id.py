@@ -152,24 +152,31 @@ class LanguageModel:
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score from 0 to 1) of each whole text; und and 0 for one without letters, or if no language is known."""
         grams, at, has = _grams(texts)
-        n, starts = len(texts), at[:-1]
-        counts = 2.0 * np.maximum(1, at[1:] - starts - 1)
-        margins = {}
-        for pair, w in self.machines.items():
-            each = w[grams[0]] + w[grams[1]]
-            each[at[1:] - 1] = 0
-            total = np.add.reduceat(each, starts, dtype=np.float64)
-            margins[pair] = total / counts * _SCALE + w[-1]
         names = sorted(self.families)
         if not names:
-            return [("und", 0.0)] * n
-        first, score = self._vote(names, "family:", margins, n)
-        inner = {f: self._vote(self.families[f], "", margins, n) for f in names}
-        out = []
-        for i in range(n):
-            f = names[first[i]]
-            k, p = inner[f][0][i], inner[f][1][i]
-            out.append((self.families[f][k], float(score[i] * p)) if has[i] else ("und", 0.0))
+            return [("und", 0.0)] * len(texts)
+        first, score = self._vote(names, "family:", self._margins(grams, at, [p for p in self.machines if p[0].startswith("family:")]), len(texts))
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        # Only now the machines within a family, and only for the texts that it has won.
+        for k, f in enumerate(names):
+            won = np.flatnonzero((first == k) & has)
+            if not len(won):
+                continue
+            own = np.concatenate([np.arange(at[i], at[i + 1]) for i in won])
+            ends = np.r_[0, np.cumsum(at[won + 1] - at[won])]
+            best, p = self._vote(self.families[f], "", self._margins(grams[:, own], ends, list(combinations(self.families[f], 2))), len(won))
+            for i, j, q in zip(won, best, p, strict=True):
+                out[i] = self.families[f][j], float(score[i] * q)
+        return out
+
+    def _margins(self, grams: np.ndarray, at: np.ndarray, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], np.ndarray]:
+        """For each machine the margin of each text, whose n-grams begin at at."""
+        counts, out = 2.0 * np.maximum(1, at[1:] - at[:-1] - 1), {}
+        for pair in pairs:
+            w = self.machines[pair]
+            each = w[grams[0]] + w[grams[1]]
+            each[at[1:] - 1] = 0
+            out[pair] = np.add.reduceat(each, at[:-1], dtype=np.float64) / counts * _SCALE + w[-1]
         return out
 
 

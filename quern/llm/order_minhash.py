@@ -239,8 +239,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     named = store(named, "named")
     lowest = named.groupBy("component").agg(F.min("first").alias("class_id"))
     by_content = store(named.join(lowest, "component").select("content", "class_id"), "classes")
-    out = prints.select("doc_id", "row", "content").join(by_content, "content", "left")
-    out = out.select("doc_id", "row", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    # Rows without words stay out of the join: they have one key, null.
+    out = prints.where("content is not null").select("doc_id", "row", "content").join(by_content, "content").select("doc_id", "row", "class_id")
+    out = out.unionByName(prints.where("content is null").select("doc_id", "row", F.col("doc_id").alias("class_id")))
     return out.select("doc_id", "row", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 

@@ -278,9 +278,8 @@ def read_tokens(spark: SparkSession, path: str, tokens: bool = True) -> DataFram
     def split(parts_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (r,) in rows_of(parts_in, 1):
             packed, at, rows = Segment(r["payload"]), 0, []
-            ids = memoryview(packed.slice(0, len(packed)).astype("<u4").tobytes())
             for k, n in zip(r["doc_ids"], r["lengths"], strict=True):
-                own = ids[4 * at : 4 * (at + n)]
+                own = packed.slice(at, at + n).astype("<u4").tobytes()
                 rows.append({"doc_id": k, "start": r["first"] + at, "n_tokens": n, "ids_crc32": zlib.crc32(own)} | ({"tokens": own} if tokens else {}))
                 at += n
             yield pa.RecordBatch.from_pylist(rows, _DOCUMENT if tokens else _DOCUMENT.remove(4))

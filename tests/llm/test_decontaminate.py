@@ -53,3 +53,12 @@ def test_proximity(spark):
     docs = [(1, "alpha x x beta x gamma"), (2, "gamma " + "x " * 50 + "beta alpha"), (3, "alpha beta"), (4, None), (5, "beta gamma alpha")]
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
     assert sorted(r.doc_id for r in D.proximity_matches(documents(spark, docs), items, slop=10).collect()) == [1, 5]
+
+
+def test_proximity_edge_cases(spark):
+    docs = [(None, "alpha beta"), (1, "alpha beta"), (1, "alpha beta"), (1, "alpha x x x beta"), (2, "alpha " + "x " * 3 + "beta"), (3, None), (4, ""), (5, "beta " * 30 + "alpha"), (6, "BETA, alpha!")]
+    items = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (2, None), (3, "..."), (None, "beta alpha"), (4, "alpha nowhere")], "item_id bigint, text string")
+    got = sorted((str(r.doc_id), str(r.item_id)) for r in D.proximity_matches(documents(spark, docs), items, slop=2).collect())
+    assert got == sorted((d, i) for d in ("None", "1", "5", "6") for i in ("1", "None"))
+    assert D.proximity_matches(documents(spark, []), items).count() == 0
+    assert D.proximity_matches(documents(spark, docs), items.limit(0)).count() == 0

@@ -56,3 +56,42 @@ def test_families_come_first():
     assert ("family:germanic", "family:romance") in L.LanguageModel.pairs(["en", "de", "fr"])
     assert ("de", "en") in L.LanguageModel.pairs(["en", "de", "fr"]) and ("en", "fr") not in L.LanguageModel.pairs(["en", "de", "fr"])
     assert L.family_of("xx") == "xx"
+
+
+def test_machines_are_at_the_least_of_their_cost():
+    """The gradient of |w|^2 / 2 + c sum max(0, 1 - y f)^2, a strictly convex function, vanishes at the fitted weights."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 5))
+    y = np.where(x @ [1.0, -2.0, 0.5, 0.0, 0.3] + rng.standard_normal(60) * 0.8 > 0.2, 1.0, -1.0)
+    w = L.fit_svm(x, y, c=2.0, epochs=3000)
+    one = np.c_[x, np.ones(60)]
+    slack = np.maximum(0, 1 - y * (one @ w))
+    assert np.abs(w - 2 * 2.0 * (slack * y) @ one).max() < 1e-6 and (slack > 0).any()
+
+
+def test_votes_are_those_of_every_machine_on_every_text():
+    rng = np.random.default_rng(6)
+    langs = ["en", "de", "nl", "fr", "es", "ru", "zz"]
+    model = L.LanguageModel(langs, {p: rng.standard_normal(L.FEATURES + 1).astype("f4") for p in L.LanguageModel.pairs(langs)})
+    texts = ["".join(map(chr, rng.integers(97, 123, rng.integers(1, 40)))) + " a b" for _ in range(50)] + ["", "12 3"]
+
+    def winner(names, prefix, f):
+        chance = {n: [] for n in names}
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                w = model.machines[prefix + a, prefix + b].astype(float)
+                p = 1 / (1 + np.exp(-2 * (f @ w[:-1] + w[-1])))
+                chance[a].append(p)
+                chance[b].append(1 - p)
+        rank = lambda n: 4 * sum(p >= 0.5 for p in chance[n]) + (np.mean(chance[n]) if chance[n] else 1)
+        best = max(names, key=rank)
+        return best, float(np.mean(chance[best])) if chance[best] else 1.0
+
+    for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        f = L.features([text])[0].astype(float)
+        family, p = winner(sorted(model.families), "family:", f)
+        own, q = winner(model.families[family], "", f)
+        assert lang == own and abs(score - p * q) < 1e-4

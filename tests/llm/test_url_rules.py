@@ -87,6 +87,25 @@ def test_a_rule_of_four_terms(spark):
     assert got[0] == ("block", "h=a+h=com+p=p1+p=p2+p=p3+p=p4") and {v for v, _ in got[10:]} == {"allow"}
 
 
+def test_planted_rules_against_sql(spark, tmp_path):
+    """Hosts and paths of bad pages, alone and together, in a table where many verdicts are mined ones; its URLs have three terms, as many as the SQL counts."""
+    import random
+
+    rnd, rows, marks = random.Random(11), [], []
+    for i in range(600):
+        host, path = rnd.choice(["pills", "shop", "news", "farm"]), rnd.choice(["win", "read", "list"])
+        bad = host == "pills" or (host == "shop" and path == "win") or rnd.random() < 0.05
+        rows.append((i, f"http://{host}/{path}/{i}"))
+        if i % 3:
+            marks.append((i, int(not bad), 0))
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda s, d: U.judge(s.read.parquet(f"{d}/pages.parquet"), s.read.parquet(f"{d}/labels.parquet"))
+    same(spark, run, U.ORACLE, str(tmp_path))
+    got = run(spark, str(tmp_path)).groupBy("mined").count().collect()
+    assert {r.mined for r in got} == {"h=pills", "h=shop+p=n+p=win", None} or sum(r["count"] for r in got if r.mined) > 150
+
+
 @pytest.mark.parametrize("name", ["url_rules", "decontaminate"])
 def test_no_python_on_the_main_path(name):
     import importlib
