@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import byte_bpe, decontaminate, language_id, order_minhash, sentence_spans
-from quern.llm.common import scratch_dir
+from quern.llm.common import scratch, small_batches
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +42,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written as Parquet and read again as the input of the next."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            to = f"{scratch_dir(spark)}/stage-{i}-{uuid.uuid4().hex}"
+            to = scratch(spark, f"stage-{i}")
             docs.write.parquet(to)
             docs = spark.read.schema(docs.schema).parquet(to)
     return docs
