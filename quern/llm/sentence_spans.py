@@ -66,11 +66,11 @@ def spans(text: str | None, known: WordHashes, least: int = LEAST_WORDS) -> tupl
     return real[runs[:, 0]], real[runs[:, 1] - 1] - real[runs[:, 0]] + 1, digest
 
 
-_SPANS = "doc_id bigint, row bigint, first int, n int, hash binary"
+_SPANS = "doc_id bigint, row bigint, first int, n int, high bigint, low bigint"
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """Spans of every row; row is a hash of its text, which tells rows of one doc_id apart."""
+    """Spans of every row; row is a hash of its text, which tells rows of one doc_id apart. A span's hash is in two halves: numbers are smaller in a shuffle than bytes, and are grouped by hashing."""
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -83,8 +83,9 @@ def all_spans(docs: DataFrame) -> DataFrame:
                 first.append(a)
                 n.append(k)
                 digest += h
-            columns = [pa.array(docs_of, pa.int64()), pa.array(rows_of_, pa.int64()), pa.array(np.concatenate(first).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "first", "n", "hash"])
+            halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            columns = [pa.array(docs_of, pa.int64()), pa.array(rows_of_, pa.int64()), pa.array(np.concatenate(first).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "first", "n", "high", "low"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(of, _SPANS)
 
@@ -92,11 +93,13 @@ def all_spans(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, row, cut): for each text with sentences to be removed their numbers."""
     found = store(all_spans(docs), "spans")
-    # Equal rows (one doc_id and text) are one document, whose spans count once.
+    # Most spans occur once. Counts alone find the others, so places of spans are compared only where there are several.
+    often = store(found.groupBy("high", "low").count().where("count > 1").select("high", "low"), "repeated")
+    found = store(found.join(often, ["high", "low"], "left_semi"), "occurrences")
+    # Equal rows (one doc_id and text) are one document: the place of its first span is the same in each.
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "first")
-    groups = found.groupBy("hash").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at <> last").select("hash", "at")
-    groups = store(groups, "repeated")
-    later = found.join(groups, "hash").where(place != F.col("at")).select("doc_id", "row", F.explode(F.expr("sequence(first, first + n - 1)")).alias("s")).distinct()
+    firsts = store(found.groupBy("high", "low").agg(F.min(place).alias("at")), "firsts")
+    later = found.join(firsts, ["high", "low"]).where(place != F.col("at")).select("doc_id", "row", F.explode(F.expr("sequence(first, first + n - 1)")).alias("s")).distinct()
     return later.groupBy("doc_id", "row").agg(F.collect_set("s").alias("cut"))
 
 
