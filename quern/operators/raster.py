@@ -243,7 +243,7 @@ def tiles(scenes: DataFrame, size: int = 256) -> DataFrame:
     return out
 
 
-def regions(px: DataFrame, cls: str, rounds: int = 1000) -> DataFrame:
+def regions(px: DataFrame, cls: str) -> DataFrame:
     """px with region: the smallest pixel number of its 4-connected region of one class within a scene; pixels without a class have none.
 
     Runs along a row are found by a window first; runs of neighbouring rows that touch are joined by minimum labels, each
@@ -254,13 +254,13 @@ def regions(px: DataFrame, cls: str, rounds: int = 1000) -> DataFrame:
     new = (F.lag("x").over(row).isNull()) | (F.lag("x").over(row) != F.col("x") - 1) | (F.lag("_c").over(row) != F.col("_c"))
     own = own.withColumn("_run", F.sum(new.cast("int")).over(row))
     runs = own.groupBy("scene_id", "y", "_run", "_c").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = runs.withColumn("id", F.col("y") * 1_000_000 + F.col("x0"))
+    runs = runs.withColumn("id", F.col("y").cast("long") * 2**31 + F.col("x0"))
     spread = runs.select("scene_id", "y", "_c", "id", F.explode(F.sequence("x0", "x1")).alias("x"))
     below = spread.select("scene_id", (F.col("y") - 1).alias("y"), "x", "_c", F.col("id").alias("other"))
     links = spread.join(below, ["scene_id", "y", "x", "_c"]).select("scene_id", "id", "other").distinct()
     links = checkpoint(links.union(links.select("scene_id", "other", "id")))
     label = runs.select("scene_id", "id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    while True:  # until no label changes
         near = links.join(label.withColumnRenamed("id", "other"), ["scene_id", "other"]).groupBy("scene_id", "id").agg(F.min("label").alias("near"))
         step = label.join(near, ["scene_id", "id"], "left").select("scene_id", "id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("before"))
         up = step.select("scene_id", F.col("id").alias("label"), F.col("label").alias("_up"))

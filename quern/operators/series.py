@@ -98,3 +98,11 @@ def nearest_sample(samples: DataFrame, key: list[str], time: str, target: Column
 def old_versions(versions: DataFrame, keys: list[str], order: list[Column], keep: int = 10) -> DataFrame:
     """Versions beyond the newest so many of each key, which may be removed."""
     return versions.withColumn("age_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("age_rank") > keep)
+
+
+def active_versions(saves: DataFrame, rollbacks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, version, rolled_back): the version in use for each key. Both tables have the keys, version and at; the last save or rollback counts, a rollback to a version not saved by then does not."""
+    saved = saves.groupBy(*keys, "version").agg(F.min("at").alias("saved_at"))
+    valid = rollbacks.join(saved, [*keys, "version"]).where("saved_at <= at").select(*keys, "version", "at", F.lit(True).alias("rolled_back"))
+    steps = saves.select(*keys, "version", "at", F.lit(False).alias("rolled_back")).unionByName(valid)
+    return steps.groupBy(*keys).agg(F.max(F.struct("at", "rolled_back", "version")).alias("s")).select(*keys, "s.version", "s.rolled_back")

@@ -61,24 +61,41 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_size(table(spark, sf_dir, "documents"), size=200, overlap=30)
 
 
-@query(
-    "chunk_header",
-    """WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), 1) AS line_no FROM documents),
+_SECTIONS = """WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), 1) AS line_no FROM documents),
     h AS (SELECT doc_id, line_no, line, trim(line) AS bare, regexp_matches(trim(line), '^#{1,6} ') OR (trim(line) = upper(trim(line)) AND trim(line) <> lower(trim(line)) AND len(trim(line)) > 2 AND len(trim(line)) < 120) AS h FROM l),
     r AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM h),
-    s AS (SELECT doc_id, run, arg_min(CASE WHEN h THEN trim(regexp_replace(bare, '^[# ]+', '')) ELSE 'document' END, line_no) AS title, arg_min(h, line_no) AS is_header, string_agg(CASE WHEN h THEN bare ELSE line END, chr(10) ORDER BY line_no) AS text FROM r GROUP BY doc_id, run)
+    s AS (SELECT doc_id, run, arg_min(CASE WHEN h THEN trim(regexp_replace(bare, '^[# ]+', '')) ELSE 'document' END, line_no) AS title, arg_min(h, line_no) AS is_header, string_agg(CASE WHEN h THEN bare ELSE line END, chr(10) ORDER BY line_no) AS text FROM r GROUP BY doc_id, run)"""
+
+
+@query(
+    "chunk_header",
+    f"""{_SECTIONS}
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS section, title, is_header, text, CAST(len(text) AS INTEGER) AS n_chars FROM s""",
 )
 def chunk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.header_sections(table(spark, sf_dir, "documents"))
 
 
-@query("chunk_header_tokens")
+@query(
+    "chunk_header_tokens",
+    f"""{_SECTIONS}, n AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS section, title, is_header, text, greatest(1, len(text) // 4) <= 1000 AS short FROM s),
+    w AS (SELECT doc_id, section, title, [x FOR x IN regexp_split_to_array(text, '\\s+') IF x <> ''] AS w FROM n WHERE NOT short),
+    c AS (SELECT doc_id, section, title, w, unnest([s FOR s IN range(0, len(w), 850) IF s = 0 OR s - 850 + 1000 < len(w)]) AS first FROM w)
+    SELECT doc_id, section, title, CASE WHEN is_header THEN 'heading' ELSE 'paragraph' END AS kind, CAST(NULL AS INTEGER) AS first, CAST(NULL AS INTEGER) AS last, text FROM n WHERE short
+    UNION ALL SELECT doc_id, section, title, 'paragraph', CAST(first AS INTEGER), CAST(least(first + 1000, len(w)) AS INTEGER), array_to_string(w[first + 1 : least(first + 1000, len(w))], ' ') FROM c""",
+)
 def chunk_header_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.header_then_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("chunk_greedy")
+@query(
+    "chunk_greedy",
+    """WITH RECURSIVE r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    l AS (SELECT doc_id, s, greatest(1, len(s) // 4) AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS s FROM r) WHERE s <> ''),
+    c AS (SELECT doc_id, k, 0 AS chunk, cost AS total FROM l WHERE k = 1 UNION ALL
+      SELECT l.doc_id, l.k, c.chunk + CASE WHEN c.total + l.cost > 1000 THEN 1 ELSE 0 END, CASE WHEN c.total + l.cost > 1000 THEN l.cost ELSE c.total + l.cost END FROM c JOIN l ON l.doc_id = c.doc_id AND l.k = c.k + 1)
+    SELECT doc_id, chunk, string_agg(s, chr(10) ORDER BY k) AS text, CAST(sum(cost) AS INTEGER) AS tokens FROM c JOIN l USING (doc_id, k) GROUP BY doc_id, chunk""",
+)
 def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.greedy_lines(table(spark, sf_dir, "documents"))
 

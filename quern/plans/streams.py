@@ -25,9 +25,23 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", F.round("error_rate", 9).alias("error_rate"), "drift")
 
 
-@query("stream_page_hinkley")
+#: Each user's events in order, for SQL that goes from one to the next.
+_ORDER = "e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+#: The last state of each user.
+_ENDS = "FROM p QUALIFY k = max(k) OVER (PARTITION BY user_id)"
+
+
+@query(
+    "stream_page_hinkley",
+    f"""WITH RECURSIVE {_ORDER}, p AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, 0 AS n, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS statistic, false AS drift FROM e GROUP BY user_id
+      UNION ALL SELECT user_id, k, event_id, CASE WHEN s > 50 THEN 0 ELSE n1 END, CASE WHEN s > 50 THEN 0 ELSE m1 END, CASE WHEN s > 50 THEN 0 ELSE t1 END, CASE WHEN s > 50 THEN 0 ELSE least(low, t1) END, s, s > 50
+      FROM (SELECT *, t1 - least(low, t1) AS s FROM (SELECT *, total + (value - m1 - 0.005) AS t1 FROM (SELECT *, mean + (value - mean) / n1 AS m1 FROM (
+        SELECT e.user_id, e.k, e.event_id, e.value, p.n + 1 AS n1, p.mean, p.total, p.low FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)))))
+    SELECT user_id, event_id, round(statistic, 6) AS statistic, drift FROM p WHERE k > 0""",
+)
 def stream_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drain(jobs.page_hinkley(_events(spark, sf_dir)))
+    return jobs.drain(jobs.page_hinkley(_events(spark, sf_dir))).select("user_id", "event_id", F.round("statistic", 6).alias("statistic"), "drift")
 
 
 @query("stream_batch_trigger", "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) SELECT user_id, r // 10 AS batch, count(*) AS n, arg_min(event_id, r) AS first_id, arg_max(event_id, r) AS last_id FROM e GROUP BY user_id, r // 10 HAVING count(*) = 10")
@@ -47,6 +61,47 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query("stream_online_model")
+_START = "SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS wrong, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b FROM e GROUP BY user_id"
+_STEP = "SELECT e.user_id, e.k, p.wrong, p.w, p.b, e.value / 50 - 1 AS x, e.event_id % 2 = 0 AS y FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1"
+_MODEL = f"SELECT user_id, k AS n, round(wrong / k, 6) AS error_rate, round(w, 6) AS w, round(b, 6) AS b {_ENDS}"
+
+
+def _models(spark: SparkSession, job: DataFrame) -> DataFrame:
+    last = _last(jobs.drain(job, "update"), ["user_id"])
+    return last.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("error_rate", "w", "b")])
+
+
+@query(
+    "stream_online_model",
+    f"""WITH RECURSIVE {_ORDER}, p AS ({_START} UNION ALL
+      SELECT user_id, k, wrong + CASE WHEN (q > 0.5) <> y THEN 1 ELSE 0 END, w + 0.05 * (CASE WHEN y THEN 1 ELSE 0 END - q) * x, b + 0.05 * (CASE WHEN y THEN 1 ELSE 0 END - q)
+      FROM (SELECT *, 1 / (1 + exp(-(w * x + b))) AS q FROM ({_STEP}))) {_MODEL}""",
+)
 def stream_online_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _last(jobs.drain(jobs.online_logistic(_events(spark, sf_dir)), "update"), ["user_id"])
+    return _models(spark, jobs.online_logistic(_events(spark, sf_dir)))
+
+
+@query(
+    "stream_passive_aggressive",
+    f"""WITH RECURSIVE {_ORDER}, p AS ({_START} UNION ALL
+      SELECT user_id, k, wrong + CASE WHEN m <= 0 THEN 1 ELSE 0 END, w + t * s * x, b + t * s
+      FROM (SELECT *, least(1, greatest(0, 1 - m) / (x * x + 1)) AS t FROM (SELECT *, s * (w * x + b) AS m FROM (SELECT *, CASE WHEN y THEN 1.0 ELSE -1.0 END AS s FROM ({_STEP}))))) {_MODEL}""",
+)
+def stream_passive_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _models(spark, jobs.passive_aggressive(_events(spark, sf_dir)))
+
+
+_NEAREST = "CASE WHEN k <= 3 THEN k - 1 WHEN abs(v - c0) <= abs(v - c1) AND abs(v - c0) <= abs(v - c2) THEN 0 WHEN abs(v - c1) <= abs(v - c2) THEN 1 ELSE 2 END"
+
+
+@query(
+    "stream_online_clusters",
+    f"""WITH RECURSIVE {_ORDER}, p AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS k, {", ".join(f"0 AS n{i}, CAST(NULL AS DOUBLE) AS c{i}" for i in range(3))} FROM e GROUP BY user_id UNION ALL
+      SELECT user_id, k, {", ".join(f"CASE WHEN j = {i} THEN n{i} + 1 ELSE n{i} END, CASE WHEN j = {i} THEN coalesce(c{i}, v) + (v - coalesce(c{i}, v)) / (n{i} + 1) ELSE c{i} END" for i in range(3))}
+      FROM (SELECT *, {_NEAREST} AS j FROM (SELECT e.user_id, e.k, e.value AS v, {", ".join(f"p.n{i}, p.c{i}" for i in range(3))} FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)))
+    SELECT user_id, k AS n, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 {_ENDS}""",
+)
+def stream_online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _last(jobs.drain(jobs.online_kmeans(_events(spark, sf_dir)), "update"), ["user_id"])
+    return last.select("user_id", "n", *[F.round(F.get("centres", F.lit(i)), 6).alias(f"c{i}") for i in range(3)])

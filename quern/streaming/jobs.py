@@ -132,3 +132,40 @@ def online_logistic(stream: DataFrame, rate: float = 0.05, classes_at: float = 5
         yield pd.DataFrame([(key[0], n, wrong / n, w, b)], columns=["user_id", "n", "error_rate", "w", "b"])
 
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, error_rate double, w double, b double", "n bigint, wrong bigint, w double, b double", "update", GroupStateTimeout.NoTimeout)
+
+
+def passive_aggressive(stream: DataFrame, most: float = 1.0, classes_at: float = 50.0) -> DataFrame:
+    """(user_id, n, error_rate, w, b): as online_logistic, but a step is just long enough to put an event at a margin of one, and no longer than most."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, wrong, w, b = state.get if state.exists else (0, 0, 0.0, 0.0)
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        for i, v in zip(rows["event_id"], rows["value"], strict=True):
+            x, y = v / classes_at - 1, 1.0 if i % 2 == 0 else -1.0
+            margin = y * (w * x + b)
+            length = min(most, max(0.0, 1 - margin) / (x * x + 1))
+            n, wrong, w, b = n + 1, wrong + int(margin <= 0), w + length * y * x, b + length * y
+        state.update((n, wrong, w, b))
+        yield pd.DataFrame([(key[0], n, wrong / n, w, b)], columns=["user_id", "n", "error_rate", "w", "b"])
+
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, error_rate double, w double, b double", "n bigint, wrong bigint, w double, b double", "update", GroupStateTimeout.NoTimeout)
+
+
+def online_kmeans(stream: DataFrame, k: int = 3) -> DataFrame:
+    """(user_id, n, centres): each user's first k values are centres; a later one moves its nearest centre (the first of equally near ones) to the mean of what that has met."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sizes, centres = map(list, state.get) if state.exists else ([], [])
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        for v in rows["value"]:
+            if len(centres) < k:
+                sizes.append(1)
+                centres.append(float(v))
+                continue
+            j = min(range(k), key=lambda i: abs(v - centres[i]))
+            sizes[j] += 1
+            centres[j] += (v - centres[j]) / sizes[j]
+        state.update((sizes, centres))
+        yield pd.DataFrame([(key[0], sum(sizes), centres)], columns=["user_id", "n", "centres"])
+
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, centres array<double>", "sizes array<bigint>, centres array<double>", "update", GroupStateTimeout.NoTimeout)

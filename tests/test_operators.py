@@ -225,3 +225,23 @@ def test_train_per_key_is_gradient_descent_without_python(spark):
             assert np.allclose(r.weights, w, atol=1e-8) and abs(r.accuracy - ((x @ w > 0) == (y > 0.5)).mean()) < 1e-6
     assert "applyInPandas" not in inspect.getsource(learning)
     assert learning.train_per_key(t.limit(0), "k", "id", "v", "y", epochs=1).count() == 0
+
+
+def test_active_versions(spark):
+    saves = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 10), ("b", 2, 20), ("c", 1, 10)], "k string, version int, at int")
+    back = spark.createDataFrame([("a", 1, 30), ("b", 7, 30), ("c", 1, 5)], "k string, version int, at int")
+    assert rows(series.active_versions(saves, back, ["k"]), "k") == [("a", 1, True), ("b", 2, False), ("c", 1, False)]
+    again = saves.union(spark.createDataFrame([("a", 3, 40)], saves.schema))
+    assert rows(series.active_versions(again, back, ["k"]), "k")[0] == ("a", 3, False)
+    assert rows(series.active_versions(saves.limit(0), back, ["k"])) == []
+
+
+def test_only_whole_boxes_are_registered(spark):
+    scenes = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0]), (2, [0.0, 1.0]), (3, []), (4, None)], "id int, bbox array<double>")
+    assert rows(spatial.registered(scenes)) == [(1, 0.0, 1.0, 2.0, 3.0)]
+
+
+def test_regions_of_far_columns_stay_apart(spark):
+    px = spark.createDataFrame([("s", 0, 1_000_000, 1), ("s", 1, 0, 1), ("s", 1, 1, 1), ("s", 2, 0, 1), ("s", 2, 5, None)], "scene_id string, y int, x int, class int")
+    got = rows(raster.regions(px, "class").groupBy("region").count(), "region")
+    assert [n for _, n in got] == [1, 3]
