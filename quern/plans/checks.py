@@ -6,16 +6,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import grids, raster, ranking, spatial, validation
+from quern.operators import graph, grids, raster, ranking, spatial, validation
 from quern.operators.workflow import Playbook
 from quern.registry import query
+from quern.session import checkpoint
 
 from .energy import _BALANCE, _half_up, balance, half_up
-from .memory import _BOXES, boxes
-from .retrieval import _BM25
+from .memory import _BOXES, _REL, boxes, relations
+from .retrieval import _BM25, _DENSE
 from .tables import PIXELS, QUESTIONS, pixels, questions, table
 
 _VARS = ["ndvi", "albedo", "lwir11", "rn", "g", "h", "le", "et_daily", "et_inst", "etrf"]
@@ -280,3 +281,41 @@ def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=10, seed=1, maxIter=10, predictionCol="cluster").fit(t)
     return model.transform(t).groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
+
+
+@query(
+    "search_chain",
+    f"""WITH {QUESTIONS}, {_BM25}, {_DENSE}, {_REL},
+    ls AS (SELECT query_id, 0 AS list_id, id, rank, 1.0 AS weight FROM br WHERE rank < 50 UNION ALL
+      SELECT query_id, 1, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1, 0.5 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 50 AND round(score, 9) > 0),
+    z AS (SELECT query_id, id, sum(CAST(weight AS DOUBLE) / (60 + rank + 1)) AS score, min(list_id * 1000 + rank) AS first FROM ls GROUP BY query_id, id),
+    fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, id) - 1 AS rank FROM z QUALIFY rank < 60),
+    au AS (SELECT query_id, id, score FROM fu JOIN documents ON doc_id = id WHERE id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank, id) <= 3),
+    al AS (SELECT query_id, id, score, 'authoritative' AS tier FROM au UNION ALL SELECT query_id, id, score * CASE id % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.4 ELSE 0.1 END, 'candidate' FROM fu JOIN documents ON doc_id = id WHERE id % 5 = 0 AND id % 4 <> 2),
+    ti AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9) DESC, id) AS r FROM al QUALIFY r <= 60),
+    hi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS rank FROM ti WHERE id % 360 - 180 <= 120 AND id % 360 - 179 >= -120 AND id % 180 - 90 <= 60 AND id % 180 - 89 >= -60 AND id % 12 BETWEEN 1 AND 10),
+    ex AS (SELECT DISTINCT query_id, far AS id FROM hi JOIN customer a ON a.c_custkey = id JOIN bo ON near = hi.id JOIN customer b ON b.c_custkey = far WHERE (query_id, far) NOT IN (SELECT (query_id, id) FROM hi)),
+    re AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 50)
+    SELECT query_id, id, tier, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM hi UNION ALL SELECT query_id, id, 'related', NULL, NULL FROM re""",
+)
+def search_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search: text and vector lists fused by rank (vectors at half weight), at most three authoritative hits of a source, candidates behind them, filters of place and time, and segments that relations lead to.
+
+    Documents whose id is divisible by 5 stand for candidates; place and month are made from the id, relations from orders.
+    """
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    seen = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    leg = lambda df, i, weight: df.select("query_id", "id", "rank", F.lit(i).alias("list_id"), F.lit(weight).alias("weight"))
+    lists = leg(ranking.bm25(docs, questions(spark, sf_dir), 50), 0, 1.0).unionByName(leg(ranking.dense(vectors, seen, 50), 1, 0.5))
+    fused = ranking.reciprocal_rank(lists, 60).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("revision_id")), "id")
+    fused = checkpoint(fused)
+    state = F.when(F.col("id") % 4 == 0, "verified").when(F.col("id") % 4 == 1, "supported").when(F.col("id") % 4 == 2, "rejected").otherwise("new")
+    merged = ranking.tiers(ranking.diverse(fused.where("id % 5 <> 0")), fused.where("id % 5 = 0").withColumn("state", state), 60)
+    lon, lat = (F.col("id") % 360 - 180).cast("double"), (F.col("id") % 180 - 90).cast("double")
+    month = F.format_string("2024-%02d-15", F.col("id") % 12 + 1)
+    placed = merged.withColumns({"min_lon": lon, "min_lat": lat, "max_lon": lon + 1, "max_lat": lat + 1, "acquired_at": month})
+    hits = spatial.between(spatial.intersects(placed, (-120.0, -60.0, 120.0, 60.0)), "acquired_at", "2024-02-01", "2024-11-30")
+    hits = checkpoint(hits.select("query_id", "id", "tier", "score", (F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).alias("rank")))
+    named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("evidence_id"))
+    more = graph.expand_hits(hits, named, relations(spark, sf_dir)).select("query_id", F.col("segment_id").alias("id"), F.lit("related").alias("tier"))
+    return hits.withColumn("score", F.round("score", 9)).unionByName(more, allowMissingColumns=True)
