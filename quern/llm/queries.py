@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, main_text, order_minhash, projection_forest, sentence_spans, token_counts, token_store, url_rules
+from . import byte_bpe, decontaminate, fill_middle, language_id, main_text, order_minhash, periodic_runs, projection_forest, sentence_spans, token_counts, token_store, url_rules, warc
 from .common import scratch, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), scratch(spark, "archives"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -74,6 +86,9 @@ QUERIES: dict[str, Query] = {
         op8_decontaminate,
         op9_main_text,
         op10_byte_bpe,
+        op11_warc_archives,
+        op12_fill_middle,
+        op13_periodic_runs,
     )
 }
-ORACLES: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op5_projection_forest": projection_forest.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op5_projection_forest": projection_forest.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op11_warc_archives": warc.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
