@@ -2,8 +2,8 @@
 
 A text is cut into chunks that overlap. Chunks are pre-tokenised apart from each other; a chunk that begins within a
 pre-token finds the true boundaries after a few steps, since a match depends only on where it begins and on what follows.
-Two neighbours are stitched at the first boundary that both have in their overlap, and each piece between two such places
-is encoded whole. Where an overlap has no common boundary (a run of letters longer than it), the left chunk goes on into
+Two neighbours are stitched at the first boundary that both have in their overlap and that does not follow white space, and
+each piece between two such places is encoded whole. Where an overlap has no common boundary (a run of letters longer than it), the left chunk goes on into
 the right one until they agree.
 """
 
@@ -72,8 +72,17 @@ def stitch(left: list[int], right: list[int]) -> int | None:
     return next((x for x in left if x in other), None)
 
 
+def chunks_of(length: int, chunk: int, overlap: int) -> list[tuple[int, bool]]:
+    """(where it begins, whether it reaches the end of the text) of each chunk of a text of so many characters."""
+    return [(x, x + chunk + overlap >= length) for x in range(0, max(1, length), chunk)]
+
+
 def pieces(chunks: list[tuple[int, str]], own: list[list[int]], coder: Codec) -> list[str]:
-    """The text of chunks (start, characters) cut where neighbours agree; own: the boundaries that each chunk found."""
+    """The text of chunks (start, characters) cut where neighbours agree; own: the boundaries that each chunk found.
+
+    No piece ends in white space: there the pattern asks what follows, so the piece alone would be cut otherwise than the
+    text. For the same reason a chunk that ends within white space may be wrong about boundaries in it, but not about others.
+    """
     out, start, held = [], chunks[0][0], ""
     for k, (at, text) in enumerate(chunks):
         held = held + text[start + len(held) - at :] if held else text[start - at :]
@@ -81,7 +90,7 @@ def pieces(chunks: list[tuple[int, str]], own: list[list[int]], coder: Codec) ->
             out.append(held)
             break
         begins = [x for x in own[k] if x >= start] if start >= at else [start + x for x in coder.boundaries(held, False)]
-        cut = stitch([x for x in begins if x > start and x >= chunks[k + 1][0]], own[k + 1])
+        cut = stitch([x for x in begins if x > start and x >= chunks[k + 1][0] and not held[x - 1 - start].isspace()], own[k + 1])
         if cut is not None:
             out.append(held[: cut - start])
             start, held = cut, ""
@@ -132,9 +141,10 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
     def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (r,) in rows_of(parts, 1):
             text = r["text"]
-            for lo in range(0, max(1, len(text)), 16 * chunk):  # a text goes on a few chunks at a time, each cut once
-                at = [*range(lo, min(max(1, len(text)), lo + 16 * chunk), chunk)]
-                yield pa.RecordBatch.from_pydict({"row": [r["row"]] * len(at), "at": at, "last": [x + chunk + overlap >= len(text) for x in at], "part": [text[x : x + chunk + overlap] for x in at]}, schema=_CHUNK)
+            all_of = chunks_of(len(text), chunk, overlap)
+            for lo in range(0, len(all_of), 16):  # a text goes on a few chunks at a time, each cut once
+                at, last = zip(*all_of[lo : lo + 16], strict=True)
+                yield pa.RecordBatch.from_pydict({"row": [r["row"]] * len(at), "at": at, "last": last, "part": [text[x : x + chunk + overlap] for x in at]}, schema=_CHUNK)
 
     cut = docs.select("row", "text").mapInArrow(chunks, "row string, at int, last boolean, part string")
 

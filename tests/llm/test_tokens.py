@@ -67,6 +67,31 @@ def test_bytes_round_trip_in_chunks(spark, chunk, overlap):
     assert byte_bpe.encode_documents(documents(spark, []), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (100, 40), (16, 4)])
+def test_pieces_of_random_texts_encode_as_the_whole(chunk, overlap):
+    """Words, paragraph breaks, tabs and runs of blanks of any length, in chunks that end anywhere."""
+    import random
+
+    coder, rnd = _tiktoken(), random.Random(chunk)
+    parts = ["word", "a", "Next", "it's", "'ll", "42", "…", "é日", "🙂", "...", "\n\n", "\n", "\t", " ", "  ", " \n ", "\r\n", "\x1c", "\x85", "\xa0", " " * 30, "\n" * 20, "\t\n" * 9]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 120)))
+        cut = byte_bpe.chunks_of(len(text), chunk, overlap)
+        chunks = [(at, text[at : at + chunk + overlap]) for at, _ in cut]
+        own = [[at + x for x in coder.boundaries(t, last) if x < overlap or x >= chunk] for (at, t), (_, last) in zip(chunks, cut, strict=True)]
+        out = byte_bpe.pieces(chunks, own, coder)
+        assert "".join(out) == text
+        assert [i for piece in out for i in coder.encode(piece)] == coder.encode(text), text
+
+
+def test_a_paragraph_that_begins_at_a_chunk(spark):
+    texts = [(k, "x y " * 16384 + "z" * k + "\n\nNext paragraph of the text, " + "and more of it. " * 3000) for k in range(-2, 3)] + [(9, "a" * 65534 + "\n\nNext paragraph " + "b c " * 9000)]
+    texts += [(10, ("x" * 65534) + "\n\n" + "Next paragraph of a text that goes on. " * 3000)]
+    coder = _tiktoken()
+    got = byte_bpe.encode_documents(documents(spark, texts), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in got} == {k: byte_bpe._digest(coder.encode(t), b"")[:2] for k, t in texts}
+
+
 def test_columns_encode_and_decode(spark):
     docs = documents(spark, TEXTS[:4])
     path = P.path("byte_bpe_50k.tiktoken")
