@@ -41,9 +41,12 @@ def words(text: Column) -> Column:
     return _whole(_cut(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)))
 
 
-def coarse_words(text: Column) -> Column:
-    """As words, but lower-cased throughout: as many, and equal wherever words are; cheaper over whole corpora."""
-    return _whole(_cut(F.lower(F.coalesce(text, F.lit("")))))
+def coarse(word: Column) -> Column:
+    """A key of a word, by which equal words are found: all of its letters in lower case, which costs less than A-Z alone.
+
+    It is made of each word by itself: what becomes of a letter may depend on what stands beside it in a text.
+    """
+    return F.lower(word)
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -52,15 +55,15 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     terms comes from a stored table, so Spark knows its size: below its limit it is broadcast, beyond it the lists are
     joined by term, where the skew join splits frequent ones.
     """
-    cut = docs.select("doc_id", F.xxhash64("text").alias("row"), _cut(F.lower("text")).alias("cut"))
+    cut = docs.select("doc_id", F.xxhash64("text").alias("row"), _cut(F.col("text")).alias("cut"))
     # outer: else Spark puts a filter on the array's size below, for which it cuts every text again
-    each = cut.select("doc_id", "row", F.when(F.col("cut")[0] == "", 1).otherwise(0).alias("lead"), F.posexplode_outer("cut").alias("pos", "term"))
-    return each.join(terms, "term").select("term", "doc_id", "row", (F.col("pos") - F.col("lead")).alias("pos"))
+    each = cut.select("doc_id", "row", F.when(F.col("cut")[0] == "", 1).otherwise(0).alias("lead"), F.posexplode_outer("cut").alias("pos", "word"))
+    return each.withColumn("term", coarse(F.col("word"))).join(terms, "term").select("term", "doc_id", "row", (F.col("pos") - F.col("lead")).alias("pos"))
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item, item_id, words, coarse, start, width) of every window; item numbers distinct rows by a hash of id and text."""
-    own = items.select("item_id", words(F.col("text")).alias("words"), coarse_words(F.col("text")).alias("coarse")).where(F.size("words") > 0).distinct()
+    own = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct().withColumn("coarse", F.transform("words", coarse))
     own = own.withColumn("item", F.xxhash64("item_id", F.concat_ws(" ", "words"))).withColumn("width", F.least(F.size("words"), F.lit(size)))
     return own.select("item", "item_id", "words", "coarse", "width", F.explode(F.expr("sequence(0, size(words) - width)")).alias("start"))
 
@@ -111,7 +114,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, terms:
     is looked at. Terms of equal rarity go by their text; a null text has no terms, neither has an item without words; null
     ids match as null, repeated rows give one match, empty tables none.
     """
-    own = items.select("item_id", F.array_distinct(coarse_words(F.col("text"))).alias("w")).distinct().withColumn("item", F.xxhash64("item_id", F.concat_ws(" ", "w")))
+    own = items.select("item_id", F.array_distinct(F.transform(words(F.col("text")), coarse)).alias("w")).distinct().withColumn("item", F.xxhash64("item_id", F.concat_ws(" ", "w")))
     places = store(own.select("item", "item_id", F.explode("w").alias("term")), "places")
     counts = store(postings(docs, places.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n")), "counts")
     ranked = places.join(counts, "term", "left").groupBy("item", "item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, terms).alias("r")).where("r[0].n > 0")

@@ -49,6 +49,15 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 7] and "cut" in clean.columns
 
 
+def test_letters_whose_lower_case_depends_on_what_follows(spark):
+    docs = [(1, "αρχη ΟΔΟΣ.ΑΒ ΓΔ ΕΖ ΗΘ ΙΚ ΛΜ ΝΞ ΟΠ ΡΣ τελος"), (2, "x ΟΔΟΣ ΑΒ ΓΔ ΕΖ ΗΘ ΙΚ ΛΜ ΝΞ ΟΠ ΡΣ"), (3, "οδος αβ γδ εζ ηθ ικ λμ νξ οπ ρς"), (4, "İI ﬁ"), (5, "İi ﬁ."), (6, "Δ'Σ one")]
+    items = [(1, "ΟΔΟΣ ΑΒ ΓΔ ΕΖ ΗΘ ΙΚ ΛΜ ΝΞ ΟΠ ΡΣ"), (2, "İI-ﬁ"), (3, "Σ ONE")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((tuple(r)[:6] for r in D.report(documents(spark, docs), table).collect()), key=str)
+    assert got == brute(docs, items, 10)
+    assert [g[2] for g in got] == [10, 10, 0, 2, 2, 2]
+
+
 def test_proximity(spark):
     docs = [(1, "alpha x x beta x gamma"), (2, "gamma " + "x " * 50 + "beta alpha"), (3, "alpha beta"), (4, None), (5, "beta gamma alpha")]
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
