@@ -194,15 +194,15 @@ def links(prints: DataFrame) -> DataFrame:
     components come out. So a large group of near copies costs a row a member, and no pair across components goes unseen.
     """
     some = prints.where("content is not null")
-    # Copies of one text are one member from the first step on.
-    each = some.groupBy("content").agg(F.min_by("sketches", "doc_id").alias("s"), F.max(F.octet_length("words")).alias("bytes")).select("content", "bytes", F.posexplode("s").alias("i", "h"))
+    # Copies of one text are one member from the first step on; they have equal sketches and words, with or without an id.
+    each = some.groupBy("content").agg(F.any_value("sketches").alias("s"), F.max(F.octet_length("words")).alias("bytes")).select("content", "bytes", F.posexplode("s").alias("i", "h"))
     members = store(each.select(F.xxhash64("i", "h").alias("bucket"), "content", "bytes"), "members")
     buckets = members.groupBy("bucket").agg(F.min("content").alias("pivot"), F.count("*").alias("n"), F.sum("bytes").alias("total")).where("n > 1")
     buckets = store(buckets, "buckets")
     pairs = members.join(buckets, "bucket").where("content <> pivot").select(F.col("pivot").alias("a"), F.col("content").alias("b")).distinct()
     pairs = store(pairs, "pairs")
     shared = members.join(buckets.select("bucket"), "bucket", "left_semi").select("content").distinct()
-    texts = some.groupBy("content").agg(F.min_by("words", "doc_id").alias("words")).join(shared, "content", "left_semi")
+    texts = some.groupBy("content").agg(F.any_value("words").alias("words")).join(shared, "content", "left_semi")
     texts = store(texts, "texts")
     with_b = pairs.join(texts.select(F.col("content").alias("b"), F.col("words").alias("words_b")), "b")
     first = store(_verify(with_b.join(texts.select(F.col("content").alias("a"), F.col("words").alias("words_a")), "a")), "links")

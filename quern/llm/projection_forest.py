@@ -36,8 +36,8 @@ SPILL = 0.5
 #: A split that would send more than this share of its members to both sides isn't made; directions that are tried.
 MOST_SPILLED, TRIES = 0.3, 4
 
-_MEMBERS = "vec_id bigint, label int, dim int, member binary, raw binary"
-_MEMBER = pa.schema([("vec_id", pa.int64()), ("label", pa.int32()), ("dim", pa.int32()), ("member", pa.binary()), ("raw", pa.binary())])
+_MEMBERS = "vec_id bigint, label bigint, dim int, member binary, raw binary"
+_MEMBER = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("member", pa.binary()), ("raw", pa.binary())])
 
 
 def unit(raws: pd.Series | list[bytes]) -> np.ndarray:
@@ -69,7 +69,7 @@ def members(vectors: DataFrame) -> DataFrame:
                     dims.append(0)
                     member.append(None)
                     raw.append(None)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int32()), pa.array(dims, pa.int32()), pa.array(member, pa.binary()), pa.array(raw, pa.binary())], schema=_MEMBER)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int64()), pa.array(dims, pa.int32()), pa.array(member, pa.binary()), pa.array(raw, pa.binary())], schema=_MEMBER)
 
     return vectors.select("vec_id", "label", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding")).mapInArrow(of, _MEMBERS)
 

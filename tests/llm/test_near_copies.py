@@ -107,6 +107,19 @@ def test_copies_edge_cases(spark):
     assert sorted((r.doc_id, len(r.text.split())) for r in O.keep_first(other).collect()) == [(1, 200), (2, 50)]
 
 
+def test_texts_without_an_id_are_compared(spark):
+    t = long_text(100)
+    got = sorted((str(r.doc_id), r.class_id, r.kept) for r in O.classes(documents(spark, [(1, t), (None, t + " tail"), (None, "x " + t), (None, "y " + t)])).collect())
+    assert got == [("1", 1, True), ("None", 1, False), ("None", 1, False), ("None", 1, False)]
+    got = sorted((r.class_id, r.kept) for r in O.classes(documents(spark, [(None, t), (None, t + " tail"), (7, long_text(90, "o"))])).collect() if r.class_id)
+    assert got == [(7, True)]
+
+
+def test_labels_beyond_32_bits(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0], 2**40), (2, [2.0, 0.0], 2**40), (3, [1.0, 0.0], 2**40 + 1), (4, [1.0, 0.0], 0)], "vec_id bigint, embedding array<float>, label bigint")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in R.links(table).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, member string"
 
 
