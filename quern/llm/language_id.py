@@ -42,6 +42,8 @@ _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.
 #: Hashed features, and labelled documents of each side of one machine at most (the bound of the training sample).
 FEATURES, PER_SIDE = 1 << 14, 200
 _SALTS = 8
+#: What names of families begin with, beside those of languages.
+FAMILY = "\0family:"
 
 
 def family_of(lang: str) -> str:
@@ -110,7 +112,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 25, seed
     return w
 
 
-_FIT = T.StructType([T.StructField("machine", T.StringType()), T.StructField("weights", T.BinaryType())])
+_FIT = T.StructType([T.StructField("machine", T.IntegerType()), T.StructField("weights", T.BinaryType())])
 
 
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +135,7 @@ class LanguageModel:
         families: dict[str, list[str]] = {}
         for lang in sorted(langs):
             families.setdefault(family_of(lang), []).append(lang)
-        out = [(f"family:{a}", f"family:{b}") for a, b in combinations(sorted(families), 2)]
+        out = [(f"{FAMILY}{a}", f"{FAMILY}{b}") for a, b in combinations(sorted(families), 2)]
         return out + [p for own in families.values() for p in combinations(own, 2)]
 
     def _vote(self, names: list[str], prefix: str, margins: dict[tuple[str, str], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +157,7 @@ class LanguageModel:
         names = sorted(self.families)
         if not names:
             return [("und", 0.0)] * len(texts)
-        first, score = self._vote(names, "family:", self._margins(grams, at, [p for p in self.machines if p[0].startswith("family:")]), len(texts))
+        first, score = self._vote(names, FAMILY, self._margins(grams, at, [p for p in self.machines if p[0].startswith(FAMILY)]), len(texts))
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         # Only now the machines within a family, and only for the texts that it has won.
         for k, f in enumerate(names):
@@ -197,14 +199,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_side:
     if not pairs:
         return LanguageModel(langs, {})
     sides = []
-    for a, b in pairs:
-        for side, who in ((1, a), (-1, b)):
-            own = [x for x in langs if family_of(x) == who[7:]] if who.startswith("family:") else [who]
-            sides += [(f"{a}|{b}", side, x, max(1, per_side // len(own))) for x in own]
-    plan = labelled.sparkSession.createDataFrame(sides, "machine string, side int, lang string, most int")
+    for k, pair in enumerate(pairs):
+        for side, who in zip((1, -1), pair, strict=True):
+            own = [x for x in langs if family_of(x) == who.removeprefix(FAMILY)] if who.startswith(FAMILY) else [who]
+            sides += [(k, side, x, max(1, per_side // len(own))) for x in own]
+    plan = labelled.sparkSession.createDataFrame(sides, "machine int, side int, lang string, most int")
     sample = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # per_side rows a language
     fitted = sample.join(F.broadcast(plan), "lang").where("k <= most").select("machine", "side", "h", "text").groupBy("machine").applyInPandas(_fit_group, _FIT)
-    return LanguageModel(langs, {tuple(r["machine"].split("|")): np.frombuffer(r["weights"], "<f4") for r in fitted.collect()})
+    return LanguageModel(langs, {pairs[r["machine"]]: np.frombuffer(r["weights"], "<f4") for r in fitted.collect()})
 
 
 def predict(model: LanguageModel, text: Column | str) -> Column:

@@ -53,7 +53,7 @@ def test_margins_are_means_over_the_whole_text():
 
 
 def test_families_come_first():
-    assert ("family:germanic", "family:romance") in L.LanguageModel.pairs(["en", "de", "fr"])
+    assert (f"{L.FAMILY}germanic", f"{L.FAMILY}romance") in L.LanguageModel.pairs(["en", "de", "fr"])
     assert ("de", "en") in L.LanguageModel.pairs(["en", "de", "fr"]) and ("en", "fr") not in L.LanguageModel.pairs(["en", "de", "fr"])
     assert L.family_of("xx") == "xx"
 
@@ -92,6 +92,6 @@ def test_votes_are_those_of_every_machine_on_every_text():
             assert (lang, score) == ("und", 0.0)
             continue
         f = L.features([text])[0].astype(float)
-        family, p = winner(sorted(model.families), "family:", f)
+        family, p = winner(sorted(model.families), L.FAMILY, f)
         own, q = winner(model.families[family], "", f)
         assert lang == own and abs(score - p * q) < 1e-4
