@@ -1,8 +1,11 @@
 """URL filters: a list of rules by host and path, and association rules mined from labelled URLs, in DataFrame functions only.
 
-Each URL is a set of terms (parts of its host, words of its path, keys of its query and words of their values). Spark's FP-growth mines
-the sets of terms that go with a bad label; rules of enough support and confidence are kept, of however many terms. A URL is matched through an inverted index from terms to
-rules: a rule fires where all of its terms are met.
+Each URL is a set of terms (parts of its host, words of its path, keys of its query and words of their values). Terms that the
+same labelled URLs show are one item, named by the least of them, and what all of them show tells nothing; so tracking
+parameters, which come many at a time, don't multiply. A single item that goes with a bad label is a rule. Of the other items
+Spark's FP-growth mines the sets that do, of however many items; of the rules of enough support and confidence those stay that
+have no other rule within them. A URL is matched through an inverted index from terms to rules: a rule fires where all of its
+terms are met.
 """
 
 from __future__ import annotations
@@ -61,28 +64,45 @@ def terms_of(host: Column, path: Column, query: Column) -> Column:
     return F.array_distinct(F.concat(labels, words, asked))
 
 
-def mine(urls: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE, most: int | None = None) -> DataFrame:
-    """(rule, terms): all sets of terms, or those of at most so many, that go with bad ones among urls (terms array<string>, bad boolean).
+def smallest(rules: DataFrame) -> DataFrame:
+    """The rules (terms) that hold no other one, found from the shortest on: a longer rule is met by an inverted index of those that stay."""
+    sizes = sorted(r[0] for r in rules.select(F.size("terms")).distinct().collect())  # at most terms of a URL
+    keyed = rules.select(F.xxhash64("terms").alias("rule"), "terms")
+    kept = keyed.limit(0)
+    for n in sizes:
+        some = keyed.where(F.size("terms") == n)
+        index = kept.select(F.col("rule").alias("within"), F.size("terms").alias("size"), F.explode("terms").alias("term"))
+        covered = some.select("rule", F.explode("terms").alias("term")).join(index, "term").groupBy("rule", "within", "size").agg(F.count("*").alias("met")).where("met = size")
+        kept = store(kept.unionByName(some.join(covered.select("rule").distinct(), "rule", "left_anti")), "rules")
+    return kept
 
-    Terms of fewer URLs than the support asks for are left out before mining.
+
+def mine(urls: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE) -> DataFrame:
+    """(rule, terms): the smallest sets of items that go with bad ones among urls (terms array<string>, bad boolean).
+
+    Items of fewer bad URLs than the support asks for are left out before mining. The number of sets that FP-growth goes
+    through is still exponential in the items that many URLs share in ever other combinations.
     """
-    rows = store(urls.select("terms", "bad"), "labelled")
+    rows = store(urls.select(F.monotonically_increasing_id().alias("n"), F.array_distinct("terms").alias("terms"), "bad"), "labelled")
     n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     empty = rows.select(F.lit(0).cast("bigint").alias("rule"), "terms").limit(0)
     need = max(least, math.ceil(support * n))
     if bad < need:
         return empty
-    # Only terms met in enough bad URLs can be in a rule: at most terms of a URL / support of them.
-    often = rows.where("bad").select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") >= need).select("t")
-    often = [r[0] for r in often.collect()]
-    if not often:
-        return empty
-    items = F.array_intersect("terms", F.array(*map(F.lit, often)))
-    baskets = rows.select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items"))
+    # Which URLs show a term is told by how many there are and by two sums over hashes of their numbers.
+    shown = rows.select(F.explode("terms").alias("t"), "bad", F.xxhash64("n").alias("h"), F.xxhash64("n", F.lit(1)).alias("g"))
+    shown = shown.groupBy("t").agg(F.count("*").alias("all"), F.count_if("bad").alias("bad"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).where(F.col("bad") >= need)
+    items = shown.groupBy("all", "bad", "h", "g").agg(F.min("t").alias("t"))
+    items = items.select("t", (F.col("bad") >= confidence * F.col("all")).alias("alone"), (F.col("all") < n).alias("tells")).collect()  # at most terms of a URL / support of them
+    single = store(rows.sparkSession.createDataFrame([([r["t"]],) for r in items if r["alone"]], "terms array<string>"), "single")
+    rest = [r["t"] for r in items if r["tells"] and not r["alone"]]
+    if len(rest) < 2:
+        return single.select(F.xxhash64("terms").alias("rule"), "terms")
+    baskets = rows.select("bad", F.array_intersect("terms", F.array(*map(F.lit, rest))).alias("items"))
+    baskets = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n, minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("terms"))
-    found = found if most is None else found.where(F.size("terms") <= most)
-    return found.select(F.xxhash64("terms").alias("rule"), "terms")
+    return smallest(store(found.unionByName(single), "found"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -123,14 +143,21 @@ marks AS (SELECT doc_id AS page_id, min(quality) = 0 AS bad FROM labels WHERE do
 seen AS (SELECT o.page_id, m.bad FROM own o JOIN marks m ON o.page_id = m.page_id),
 need AS (SELECT greatest(5, ceil(0.005 * count(*))) AS k FROM seen),
 lt AS (SELECT t.page_id, t.term, s.bad FROM t JOIN seen s ON s.page_id = t.page_id),
-c AS (
-  SELECT [term] AS terms, count(*) AS n, count(*) FILTER (WHERE bad) AS b FROM lt GROUP BY term
-  UNION ALL
-  SELECT [x.term, y.term], count(*), count(*) FILTER (WHERE x.bad) FROM lt x JOIN lt y ON x.page_id = y.page_id AND x.term < y.term GROUP BY x.term, y.term
-  UNION ALL
-  SELECT [x.term, y.term, z.term], count(*), count(*) FILTER (WHERE x.bad) FROM lt x JOIN lt y ON x.page_id = y.page_id AND x.term < y.term
-  JOIN lt z ON z.page_id = y.page_id AND y.term < z.term GROUP BY x.term, y.term, z.term),
-mined AS (SELECT terms, array_to_string(terms, '+') AS mined FROM c, need WHERE b >= k AND b >= 0.8 * n),
+item AS (
+  SELECT min(term) AS term, n, b FROM (SELECT term, count(*) AS n, count(*) FILTER (WHERE bad) AS b, list(page_id ORDER BY page_id) AS p FROM lt GROUP BY term), need
+  WHERE b >= k GROUP BY p, n, b),
+li AS (SELECT lt.* FROM lt JOIN item USING (term) WHERE NOT b >= 0.8 * n AND n < (SELECT count(*) FROM seen)),
+two AS (
+  SELECT x.term AS t1, y.term AS t2, count(*) AS n, count(*) FILTER (WHERE x.bad) AS b
+  FROM li x JOIN li y ON x.page_id = y.page_id AND x.term < y.term GROUP BY x.term, y.term HAVING b >= (SELECT k FROM need) AND b >= 0.8 * n),
+three AS (
+  SELECT x.term AS t1, y.term AS t2, z.term AS t3, count(*) AS n, count(*) FILTER (WHERE x.bad) AS b
+  FROM li x JOIN li y ON x.page_id = y.page_id AND x.term < y.term JOIN li z ON z.page_id = y.page_id AND y.term < z.term
+  GROUP BY x.term, y.term, z.term HAVING b >= (SELECT k FROM need) AND b >= 0.8 * n),
+mined AS (
+  SELECT terms, array_to_string(terms, '+') AS mined FROM (
+    SELECT [term] AS terms FROM item WHERE b >= 0.8 * n UNION ALL SELECT [t1, t2] FROM two UNION ALL
+    SELECT [t1, t2, t3] FROM three h WHERE NOT EXISTS (SELECT 1 FROM two p WHERE (p.t1 = h.t1 AND p.t2 = h.t2) OR (p.t1 = h.t1 AND p.t2 = h.t3) OR (p.t1 = h.t2 AND p.t2 = h.t3)))),
 fired AS (
   SELECT page_id, min(mined) AS mined FROM (
     SELECT t.page_id, m.mined, count(*) AS met, len(m.terms) AS size FROM (SELECT mined, terms, unnest(terms) AS term FROM mined) m JOIN t ON t.term = m.term
