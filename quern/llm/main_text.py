@@ -5,7 +5,8 @@ one linear scan finds the contiguous run of the largest sum. Labelled pages are
 one <article> or <main>: a tag costs the more, the more often it stands outside that element; words outside it score
 negative on a page that marks its content; and the class names, ids and roles of elements that only stand outside it are
 learnt as those of menus, adverts and the like. Such elements (noise) have no words to score and cost one fixed crossing,
-nothing within marked content. Last, the region grows to the element that holds it: what the scan would cut off there
+nothing within marked content. A list of such names is the prior: a name counts whole, or if it is made of such words and of
+words for parts of a page. What holds the content (the page's main, only article or heading, and half of its text) is never noise. Last, the region grows to the element that holds it: what the scan would cut off there
 (a table, a short last paragraph) belongs to the text.
 """
 
@@ -18,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import SparkContext
@@ -38,15 +40,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 KNOWN = INLINE | RAW | ASIDE | SECTION | VOID | frozenset("address section blockquote caption center colgroup dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
 # Elements that end where one of these begins.
 ENDS = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "td": "td th", "th": "td th", "tr": "td th tr", "tbody": "td th tr thead tbody", "tfoot": "td th tr tbody"}.items()}
-# Words in class, id or role that mark what isn't content, beside those that labelled pages teach.
+# Names in class, id or role that mark what isn't content, beside those that labelled pages teach; and words that stand beside them in longer names.
 NOISE = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related replies respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget".split()
 )
+FILLER = frozenset("area bar block blocks bottom box btn buttons cell center col column container fixed floating form global group icon icons inner item items left link links list main mobile module outer overlay page panel post posts primary right row secondary section site slot small sticky tab text title top unit view wrap wrapper zone".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|(?!["'])))*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
-_WITH = re.compile("(?:no|has|with|without)[-_]", re.I)  # such a name tells what is beside an element, not what it is
+#: Letters of scripts that put no blanks between words: two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _SPACE = re.compile(r"\s+")
 
 #: Costs in words: of any tag at least, at most if it stands outside content only, of a section's border and of crossing noise.
@@ -152,28 +156,55 @@ def parse(page: str) -> Page:
     return out
 
 
-def names_of(attrs: str) -> set[str]:
-    """Lower-case names in class, id and role, whole and in parts."""
+def names_of(attrs: str) -> list[str]:
+    """Names in class, id and role."""
     if "=" not in attrs:
-        return set()
-    whole = [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
-    return {x.lower() for x in whole} | {x.lower() for w in whole if not _WITH.match(w) for x in _PART.findall(w)}
+        return []
+    return [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
+
+
+@lru_cache(10_000)
+def compound(name: str) -> bool:
+    """Whether a name of several words is made of names of noise and of words for parts of a page only; content-sidebar, ad-free or social-history aren't."""
+    parts = [x.lower().rstrip("0123456789") for x in _PART.findall(name)]
+    return not NOISE.isdisjoint(parts) and all(x in NOISE or x in FILLER or not x for x in parts)
+
+
+def called_noise(attrs: str, names: frozenset[str]) -> bool:
+    return any(x.lower() in names or compound(x) for x in names_of(attrs))
+
+
+def n_words(text: str) -> int:
+    """Words of a text; two letters of scripts without blanks count as one."""
+    return len(text.split()) + (0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
 
 
 def noise_of(page: Page, names: frozenset[str], keep: tuple[int, int] | None = None) -> list[int]:
     """For each element the outermost noise element around it (itself included), 0 for none.
 
-    Noise is what a tag or a name says, if it is closed somewhere; never an element that has the kept tokens inside.
+    Noise is what a tag or a name says, if it is closed somewhere; never an element that has the kept tokens inside, nor one
+    that holds at least half of the page's words with its only article, its only main or its first heading; nor a form, or
+    an element of a compound name, with nine words in ten.
     """
     out = [0] * len(page.tag)
+    said = [e for e in range(1, len(page.tag)) if page.ended[e] and (page.tag[e] in ASIDE or page.attrs[e] and called_noise(page.attrs[e], names))]
+    if not said:
+        return out
+    size = [0]
+    for kind, value, _ in page.tokens:
+        size.append(size[-1] + (n_words(value) if kind == "text" and value != " " else 0))
+    articles, mains = ([e for e in range(1, len(page.tag)) if page.tag[e] == t] for t in ("article", "main"))
+    heads = [next((e for e in range(1, len(page.tag)) if page.tag[e] == "h1"), 0)]
+    centres = [x[0] for x in (articles, mains, heads) if len(x) == 1 and x[0]]
+    wanted = set(said)
     for e in range(1, len(page.tag)):
         if above := out[page.parent[e]]:
             out[e] = above
-            continue
-        if not (page.tag[e] in ASIDE or page.attrs[e] and not names.isdisjoint(names_of(page.attrs[e]))):
-            continue
-        if page.ended[e] and not (keep and page.begin[e] < keep[0] and keep[1] <= page.end[e]):
-            out[e] = e
+        elif e in wanted and not (keep and page.begin[e] < keep[0] and keep[1] <= page.end[e]):
+            held = size[page.end[e]] - size[page.begin[e]]
+            whole = page.tag[e] in ASIDE - {"form"} or any(x.lower() in names for x in names_of(page.attrs[e]))
+            around = page.tag[e] not in ASIDE - {"form"} and 2 * held >= size[-1] and any(page.begin[e] <= page.begin[c] and page.end[c] <= page.end[e] for c in centres)
+            out[e] = 0 if around or not whole and 10 * held >= 9 * size[-1] else e
     return out
 
 
@@ -202,7 +233,7 @@ def understood(page: Page, names: frozenset[str]) -> tuple[list[int], int]:
     if not mark and (hidden := [e for e in range(1, len(page.tag)) if page.tag[e] in CONTENT and noise[e] and noise[e] != e]):
         # All marks are inside something that looks like noise, such as a form around the whole page.
         e = hidden[0]
-        if sum(page.tag[x] == page.tag[e] for x in hidden) == 1 and not names_of(page.attrs[noise[e]]) & names and page.tag[noise[e]] == "form":
+        if sum(page.tag[x] == page.tag[e] for x in hidden) == 1 and not called_noise(page.attrs[noise[e]], names) and page.tag[noise[e]] == "form":
             noise = noise_of(page, names, (page.begin[e], page.end[e]))
             mark = marked(page, noise)
     return noise, mark
@@ -226,7 +257,7 @@ def label(page: str) -> tuple[Counter, Counter]:
     inside, outside = set(), set()
     for e in range(1, len(own.tag)):
         if own.attrs[e] and (found := names_of(own.attrs[e])):
-            (inside if own.begin[e] < hi and lo < own.end[e] else outside).update(x for x in found if len(x) <= 40)
+            (inside if own.begin[e] < hi and lo < own.end[e] else outside).update(x.lower() for x in found if len(x) <= 40)
     names.update({(x, True): 1 for x in inside} | {(x, False): 1 for x in outside - inside})
     return tags, names
 
@@ -250,7 +281,7 @@ def scores(page: Page, noise: list[int], mark: int, cost: dict[str, float]) -> l
             out.append(0.0 if inside or n == crossed else -CROSSING)
             crossed = n
         elif kind == "text":
-            out.append(0.0 if value == " " else float(len(value.split())) * (-1.0 if mark and not inside else 1.0))
+            out.append(0.0 if value == " " else float(n_words(value)) * (-1.0 if mark and not inside else 1.0))
         else:
             # Borders of noise elements are their own: the opening tag stands in the parent, so it pays with the crossing.
             out.append(-cost.get(value, MOST))
@@ -322,7 +353,7 @@ def learn(pages: DataFrame, html: str = "html", most: int = TRAINING_PAGES) -> W
     """
     texts = pages.select(F.col(html).alias("html")).where(F.col("html").rlike("(?i)</(article|main)"))
     chosen = texts.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(most)
-    sample = texts.withColumn("h", F.xxhash64("html")).join(F.broadcast(chosen), "h", "left_semi")  # most rows of 8 bytes
+    sample = texts.withColumn("h", F.xxhash64("html")).join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])  # most rows of 8 bytes
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

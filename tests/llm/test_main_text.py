@@ -43,6 +43,60 @@ def test_marked_content_is_taken_before_a_longer_teaser():
     assert M.extract(f"<main><article>{words(20, 'a')}</article><article><p>{words(90)}</p></article><article>{words(20, 'b')}</article></main>", PLAIN) == words(90)
 
 
+STORY = f"<h1>A heading</h1><p>{words(60)}</p><p>Last words.</p>"
+TOLD = f"A heading\n{words(60)}\nLast words."
+TOP = "<header>Site</header><nav><a href=x>Home</a> <a href=y>News of the day and more</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main><aside>By the way</aside></div>",
+        "<div class='page-with-sidebar'><article>{}</article><div class='sidebar'>Links of the week</div></div>",
+        "<div class='site header-fixed'><article>{}</article></div>",
+        "<div class='header'><div><article>{}</article></div></div>",
+        "<div class='story ad-free'>{}</div>",
+        "<article class='post comments-open'>{}</article>",
+        "<article class='post share-enabled'>{}</article>",
+        "<div id='comments-wrapper'><article class='social'>{}</article></div>",
+        "<form class='page-form' action='/'><div>{}</div></form>",
+        "<div class='noSidebar has-nav'><div class='entry'>{}</div></div>",
+        "<div class='widget-area'><main><div>{}</div></main></div>",
+    ],
+)
+def test_what_holds_the_content_is_no_noise(frame):
+    page = f"<body>{TOP}{frame.format(STORY)}<div class='site-footer'>Someone and others</div></body>"
+    assert M.extract(page, PLAIN) == TOLD
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div>{}</div>"])
+def test_names_of_several_words_within_an_article(frame):
+    inner = "<div class='social-history'><p>The social history of the town.</p></div><div class='adBox'>Buy</div><div class='share-buttons'>Tell others</div><div id='ad-slot-3'>Now</div><p class='advertising-law'>On the law.</p>"
+    page = f"<body>{TOP}{frame.format(STORY + inner)}</body>"
+    assert M.extract(page, PLAIN) == TOLD + "\nThe social history of the town.\nOn the law."
+
+
+def test_random_wrappers_keep_the_article():
+    rng = random.Random(5)
+    names = ["content-sidebar", "no-ads", "ad-free", "has-comments", "page-header-below", "social-feed", "story", "notice-board", "with-widget", "cookie-recipes", "main", "wrap"]
+    for _ in range(300):
+        body = f"<article>{STORY}</article>" if rng.random() < 0.5 else f"<div>{STORY}</div>"
+        for _ in range(rng.randrange(1, 5)):
+            body = f"<div class='{' '.join(rng.sample(names, rng.randrange(1, 3)))}'>{body}</div>"
+        assert M.extract(f"<body>{TOP}{body}{FOOT}</body>", PLAIN) == TOLD, body
+
+
+def test_scripts_without_blanks():
+    text = "春天来了城里的人们都走出家门去看花" * 6
+    for page in (f"<div><p>{text}。</p><p>{text}！</p></div><div><p>Copyright 2024 Example Company Limited All Rights Reserved</p></div>", f"<body>{TOP}<div><p>{text}。</p>\n<p>{text}！</p></div><footer>Copyright Example</footer></body>"):
+        assert M.extract(page, PLAIN) == f"{text}。\n{text}！" or M.extract(page, PLAIN).startswith(f"{text}。\n{text}！")
+
+
+def test_comments_longer_than_the_article_are_left_out():
+    page = f"<body>{TOP}<div class='story'><h1>A heading</h1><p>{words(40)}</p></div><div id='comments'><p>{words(200, 'c')}</p></div></body>"
+    assert M.extract(page, PLAIN) == f"A heading\n{words(40)}"
+
+
 def test_noise_that_crosses_the_articles_end_ends_it():
     long = words(300)
     assert M.extract(f"<article><p>{long}</p><aside>side</article></aside><p>Not of it.</p>", PLAIN) == long
