@@ -1,9 +1,13 @@
-"""Token counts under a unigram model, by dynamic programming that words share by prefix.
+"""Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
 A pre-token is a word between white space, with the mark that opens words in the vocabulary before it. Its tokens are the
 segmentation of the largest sum of piece scores; at equal sums the one of fewer tokens counts. The distinct pre-tokens of a
-block of texts are inserted in a trie (sorted, so that a trie node is a shared prefix of neighbours); scores and counts of
-the best segmentation of each prefix are computed once at its node, and the count at a word's terminal node is stored.
+block of texts are inserted in a trie: a node is a prefix that they share. Forward scores and counts are computed once at each
+node, from the nodes above it, and the count of a word is stored at its terminal node. Which pieces end at a node is read
+from a second trie, of the vocabulary's pieces spelt backwards.
+
+The vocabulary's file has no chances: it lists merges. Pieces score by their rank (Zipf's law), so counts are those of this
+model and of no other tokenizer.
 """
 
 from __future__ import annotations
@@ -23,6 +27,27 @@ MARK = "▁"
 MEMORY_WORDS = 1_000_000
 
 
+class Trie:
+    """Words as paths: for each node its character, its parent, its children and, for the end of a word, that word's tokens."""
+
+    def __init__(self) -> None:
+        self.letter, self.parent, self.children = [""], [-1], [{}]
+        self.tokens: dict[int, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The word's terminal node."""
+        node = 0
+        for c in word:
+            to = self.children[node].get(c)
+            if to is None:
+                to = self.children[node][c] = len(self.letter)
+                self.letter.append(c)
+                self.parent.append(node)
+                self.children.append({})
+            node = to
+        return node
+
+
 class Unigram:
     """Piece scores: the log of a piece's chance by its rank among n (Zipf's law); a character that no piece has costs a token for each of its bytes."""
 
@@ -31,8 +56,14 @@ class Unigram:
         self.scores: dict[str, float] = {}
         for rank, piece in enumerate(vocabulary):
             self.scores.setdefault(piece, -math.log(rank + 1) - norm)
-        self.longest = max(map(len, self.scores), default=1)
         self.byte_score = -math.log(len(vocabulary) + 1) - norm - 1
+        # Pieces backwards: for each node its children and the score of the piece that begins there.
+        self.backwards: list = [{}, None]
+        for piece, score in self.scores.items():
+            node = self.backwards
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = score
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Unigram:
@@ -43,26 +74,26 @@ class Unigram:
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Tokens of each word; each shared prefix is scored once."""
-        out, scores, longest = {}, self.scores, self.longest
-        best, count, last = [0.0], [0], ""
-        for word in sorted(words):
-            full = MARK + word
-            keep, most = 0, min(len(last), len(full))
-            while keep < most and last[keep] == full[keep]:
-                keep += 1
-            del best[keep + 1 :], count[keep + 1 :]
-            for end in range(keep + 1, len(full) + 1):
-                size = len(full[end - 1].encode())
-                top, n = best[end - 1] + self.byte_score * size, count[end - 1] + size
-                for start in range(max(0, end - longest), end):
-                    if (s := scores.get(full[start:end])) is not None:
-                        s += best[start]
-                        if s > top or s == top and count[start] + 1 < n:
-                            top, n = s, count[start] + 1
-                best.append(top)
-                count.append(n)
-            out[word], last = count[-1], full
-        return out
+        trie = Trie()
+        ends = {word: trie.insert(MARK + word) for word in words}
+        terminal = set(ends.values())
+        letter, parent = trie.letter, trie.parent
+        best, count = [0.0] * len(letter), [0] * len(letter)
+        for node in range(1, len(letter)):  # a node's parent comes before it
+            above = parent[node]
+            size = len(letter[node].encode())
+            top, n = best[above] + self.byte_score * size, count[above] + size
+            piece, at = self.backwards, node
+            while at and (piece := piece[0].get(letter[at])) is not None:
+                at = parent[at]
+                if piece[1] is not None:
+                    s = best[at] + piece[1]
+                    if s > top or s == top and count[at] + 1 < n:
+                        top, n = s, count[at] + 1
+            best[node], count[node] = top, n
+            if node in terminal:
+                trie.tokens[node] = n
+        return {word: trie.tokens[node] for word, node in ends.items()}
 
 
 _MODELS: dict[str, tuple[Unigram, dict[str, int]]] = {}
