@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,18 @@ from pyspark.sql import functions as F
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Letters of scripts that put no blanks between words, and what stands between those.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_BETWEEN = re.compile("[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8, A-Z lower-cased; none for null."""
-    return text.encode().translate(_FOLD).split() if text else []
+    """The words of a text as UTF-8, A-Z lower-cased; none for null. A letter of a script without blanks is a word."""
+    if not text:
+        return []
+    if not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(r" \g<0> ", _BETWEEN.sub(" ", text))
+    return text.encode().translate(_FOLD).split()
 
 
 def rows_of(parts: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[list[dict]]:

@@ -26,6 +26,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import UNSPACED
+
 #: Labelled pages that the weights are learnt from, at most.
 TRAINING_PAGES = 1000
 # Tags of HTML by their part in a page.
@@ -49,8 +51,6 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 _CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
-#: Letters of scripts that put no blanks between words: two count as a word.
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _SPACE = re.compile(r"\s+")
 
 #: Costs in words: of any tag at least, at most if it stands outside content only, of a section's border and of crossing noise.
@@ -176,7 +176,7 @@ def called_noise(attrs: str, names: frozenset[str]) -> bool:
 
 def n_words(text: str) -> int:
     """Words of a text; two letters of scripts without blanks count as one."""
-    return len(text.split()) + (0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
+    return len(text.split()) + (0 if text.isascii() else len(UNSPACED.findall(text)) // 2)
 
 
 def noise_of(page: Page, names: frozenset[str], keep: tuple[int, int] | None = None) -> list[int]:

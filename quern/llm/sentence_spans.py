@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: they end after . ! or ? before white space, or at a line's end. From every sentence a run of
+A text is cut into sentences: they end after . ! or ? before white space, after 。 ！ or ？, or at a line's end. From every sentence a run of
 consecutive sentences goes on until it has enough words, and another goes back from it; both are hashed. These short runs
 stand for all longer ones: sentences of a repeated passage of enough words, of whatever number and length, are each in a
 repeated run. Runs are joined globally by hash; all sentences covered by an occurrence of a repeated run, other than its
@@ -23,7 +23,7 @@ from .common import WordHashes, free_name, mix, rows_of, store, words_of
 
 #: Words of a span at least, so that a line of a licence or a greeting isn't one.
 LEAST_WORDS = 20
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=[。！？])\s*")
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:

@@ -115,6 +115,16 @@ def test_texts_without_an_id_are_compared(spark):
     assert got == [(7, True)]
 
 
+def test_copies_in_scripts_without_blanks(spark):
+    import random
+
+    rng = random.Random(2)
+    base = "".join(chr(rng.randrange(0x4E00, 0x9000)) + ("，" if i % 15 == 14 else "") for i in range(400))
+    near = base[:200] + "改" + base[201:]
+    texts = [(1, base), (2, near), (3, base[::-1]), (4, base.replace("，", "、"))]
+    assert {r.doc_id: r.class_id for r in O.classes(documents(spark, texts)).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
 def test_labels_beyond_32_bits(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0], 2**40), (2, [2.0, 0.0], 2**40), (3, [1.0, 0.0], 2**40 + 1), (4, [1.0, 0.0], 0)], "vec_id bigint, embedding array<float>, label bigint")
     assert {r.vec_id: (r.n_links, r.component_id) for r in R.links(table).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}

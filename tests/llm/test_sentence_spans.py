@@ -80,3 +80,15 @@ def test_sentences_cover_the_text():
     t = "  One. Two!  Three?\n\nfour\n five. "
     assert [t[a:b] for a, b in S.sentences(t)] == ["  One.", "Two!", "Three?", "four", "five."]
     assert S._without(t, {1, 3}) == "  One. Three?\n\nfive. "
+
+
+def test_scripts_without_blanks(spark):
+    import random
+
+    rng = random.Random(1)
+    line = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) + "。"
+    passage, own = line(40) + line(25) + line(60), [line(30) for _ in range(4)]
+    texts = [(1, own[0] + passage + own[1]), (2, own[2] + passage.replace("。", "！") + own[3]), (3, "短い。短い。"), (4, "短い。短い。"), (5, f"{own[0]}\nEnglish words here.")]
+    got = {r.doc_id: r.text for r in S.remove_repeats(documents(spark, texts)).collect()}
+    assert got == {1: texts[0][1], 2: own[2] + own[3], 3: texts[2][1], 4: texts[3][1], 5: "English words here."}
+    assert [t for a, b in S.sentences(own[0] + own[1] + " x") for t in [(own[0] + own[1] + " x")[a:b]]] == [own[0], own[1], "x"]
