@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("retrieval", "memory", "energy", "gis", "timeline", "streams", "checks", "loading")
+_MODULES: tuple[str, ...] = ("retrieval", "memory", "energy", "gis", "timeline", "streams", "checks", "loading", "stores")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,24 @@ def get_spark(cpus: int | str = "*", app: str = "quern", shuffle_partitions: int
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without one, a temporary folder if all executors are on this machine, else an error."""
+    if not (to := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        to = getattr(spark, "_quern_shared", None) or tempfile.mkdtemp(prefix="quern-")
+        spark._quern_shared = to
+    return to.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir, which cuts its lineage and outlives executors; without one, to a temporary folder if all executors are on this machine, else an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not to and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="quern-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
