@@ -1,4 +1,7 @@
-"""Preparing a corpus for training: documents in, token ids out, one operator a stage."""
+"""Preparing a corpus for training: documents in, token ids out, one operator a stage.
+
+Each stage sets its session up for long texts itself: whoever runs the stages one by one, as run() does, needs no other setting.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +14,19 @@ from quern.llm.common import scratch, small_batches
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return order_minhash.keep_first(docs)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat an earlier passage; those that have nothing else go."""
+    small_batches(spark)
     return sentence_spans.remove_repeats(docs).where("trim(text) <> ''")
 
 
@@ -31,6 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes that they decode to."""
+    small_batches(spark)
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -42,7 +49,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written as Parquet and read again as the input of the next."""
-    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
