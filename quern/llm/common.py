@@ -19,6 +19,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 #: Letters of scripts that put no blanks between words, and what stands between those.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: What leads such a letter in UTF-8; dashes and quotation marks of other scripts don't begin so.
+_LEADS = re.compile(rb"[\xe0\xe1\xe3-\xf4]")
 _BETWEEN = re.compile("[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
@@ -26,9 +28,10 @@ def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z lower-cased; none for null. A letter of a script without blanks is a word."""
     if not text:
         return []
-    if not text.isascii() and UNSPACED.search(text):
-        text = UNSPACED.sub(r" \g<0> ", _BETWEEN.sub(" ", text))
-    return text.encode().translate(_FOLD).split()
+    raw = text.encode()
+    if _LEADS.search(raw) and UNSPACED.search(text):
+        raw = UNSPACED.sub(r" \g<0> ", _BETWEEN.sub(" ", text)).encode()
+    return raw.translate(_FOLD).split()
 
 
 def rows_of(parts: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[list[dict]]:
