@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,26 +55,30 @@ def header_then_tokens(docs: DataFrame, key: str = "doc_id", size: int = SIZE, o
     return whole.unionByName(cut)
 
 
+#: Lines of a text that are put into chunks together; what is held of the last chunk goes on with the next ones.
+LINES = 512
+
+
 def greedy_lines(docs: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """(key, chunk, text, tokens): lines gathered until the next would pass the budget; sequential within a text, so a Pandas function per batch."""
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for k, text in zip(pdf[key], pdf["text"], strict=True):
-                held, total, n = [], 0, 0
-                for line in (x.strip() for x in (text or "").split("\n")):
-                    cost = max(1, len(line) // 4)
-                    if not line:
-                        continue
-                    if held and total + cost > size:
-                        rows.append((k, n, "\n".join(held), total))
-                        held, total, n = [], 0, n + 1
-                    held.append(line)
-                    total += cost
-                if held:
-                    rows.append((k, n, "\n".join(held), total))
-            yield pd.DataFrame(rows, columns=[key, "chunk", "text", "tokens"])
-
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInPandas(of, f"{key} {kind}, chunk int, text string, tokens int")
+    """(key, chunk, text, tokens): lines gathered until the next would pass the budget.
+
+    A line costs a quarter of its characters, one at least; blank lines are left out. Where chunks begin is found line by line
+    over an array of costs, in blocks of LINES whose starts are one list each, so no list grows with the text's square.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    own = docs.select(key, lines.alias("l")).where(F.size("l") > 0)
+    own = own.withColumn("c", F.transform("l", lambda x: F.greatest(F.lit(1), F.floor(F.length(x) / 4).cast("int"))))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), none.alias("own"), F.array().cast("array<array<int>>").alias("all"))
+
+    def step(a, cost):
+        full = (a["held"] > 0) & (a["held"] + cost > size)
+        mine = F.when(full | (a["i"] == 0), F.concat(a["own"], F.array(a["i"]))).otherwise(a["own"])
+        over = F.size(mine) >= LINES
+        return F.struct((a["i"] + 1).alias("i"), F.when(full, cost).otherwise(a["held"] + cost).alias("held"), F.when(over, none).otherwise(mine).alias("own"), F.when(over, F.concat(a["all"], F.array(mine))).otherwise(a["all"]).alias("all"))
+
+    own = own.withColumn("s", F.aggregate("c", start, step, lambda a: F.flatten(F.concat(a["all"], F.array(a["own"])))))
+    each = own.select(key, "l", "c", "s", F.posexplode("s").alias("chunk", "first"))
+    last = F.coalesce(F.get("s", F.col("chunk") + 1), F.size("l"))
+    part = lambda c: F.slice(c, F.col("first") + 1, last - F.col("first"))
+    return each.select(key, "chunk", F.array_join(part("l"), "\n").alias("text"), F.aggregate(part("c"), F.lit(0), lambda a, x: a + x).alias("tokens"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,11 +73,51 @@ def with_parent_weights(rows: DataFrame, weights: DataFrame, key: str) -> DataFr
     return both.withColumn("source", source).withColumn("weight", F.coalesce("weight", "parent_weight", F.lit(0.0))).drop("parent", "parent_weight")
 
 
-def isotonic(training: DataFrame, score: str, label: str, rows: DataFrame) -> DataFrame:
-    """rows with calibrated: an isotonic fit of label on score over the training rows."""
-    features = VectorAssembler(inputCols=[score], outputCol="_f")
-    model = IsotonicRegression(featuresCol="_f", labelCol=label, predictionCol="calibrated").fit(features.transform(training))
-    return model.transform(features.transform(rows)).drop("_f")
+def predicted(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, id, label, proba): what stored models (key, kind, weights, bias) say of rows (key, id, x): chances of all classes, and the first of the likeliest.
+
+    Logistic models give sigmoids scaled to sum 1; passive-aggressive ones exponentials of their margins, scaled; centres the
+    inverse distances, scaled. Models are few and small beside the rows, but they are broadcast by Spark's own count only.
+    """
+    both = rows.join(models.select("key", "kind", "weights", "bias"), "key")
+    z = F.zip_with("weights", "bias", lambda w, b: dot(F.col("x"), w) + b)
+    gap = F.transform("weights", lambda w: 1 / F.greatest(euclid(F.col("x"), w), F.lit(1e-10)))
+    top_z = F.array_max("z")
+    raw = F.when(F.col("kind") == "logistic", F.transform("z", lambda v: 1 / (1 + F.exp(-v)))).when(F.col("kind") == "passive_aggressive", F.transform("z", lambda v: F.exp(v - top_z))).otherwise(gap)
+    both = both.withColumn("z", z).withColumn("raw", raw).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda a, v: a + v))
+    proba = F.transform("raw", lambda v: v / F.col("sum"))
+    return both.select("key", "id", (F.array_position("raw", F.array_max("raw")) - 1).cast("int").alias("label"), proba.alias("proba"))
+
+
+def convex_minorant(x: np.ndarray, y: np.ndarray, at: float) -> float:
+    """The isotonic fit of y on x at one of its x: the slope there of the greatest convex minorant of the cumulative sums; equal x count once, by their mean."""
+    values, inverse, weight = np.unique(x, return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, y)
+    blocks: list[list[float]] = []  # sum, weight, places
+    for s, w in zip(total.tolist(), weight.tolist(), strict=True):
+        blocks.append([s, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    k, upto = int(np.searchsorted(values, at)), 0
+    for s, w, n in blocks:
+        upto += n
+        if k < upto:
+            return s / w
+    raise ValueError("not one of the values")
+
+
+def recalibrated(rows: DataFrame, key: str, order: list[str], score: str, label: str, window: int = 100, least: int = 10) -> DataFrame:
+    """rows with calibrated: for each row the isotonic fit, at its own score, to its key's last so many rows, itself included; the score as it is while there are fewer than the least. Rows without a score or a label are left out."""
+
+    @F.pandas_udf("double")
+    def fit(x: pd.Series, y: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, max(0.0, a if len(p) < least or a != a else convex_minorant(np.asarray(p, float), np.asarray(q, float), a))) for p, q, a in zip(x, y, at, strict=True)], dtype=float)
+
+    own = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - window, Window.currentRow)
+    pair = F.struct(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
+    held = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_p", F.collect_list(pair).over(own))
+    return held.withColumn("calibrated", fit("_p.x", "_p.y", F.col(score).cast("double"))).drop("_p")
 
 
 #: Weights of all keys that are sent to every executor, at most; sums of a key are spread over so many parts.

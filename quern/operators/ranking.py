@@ -55,14 +55,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> Da
 def trigram_cosine(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Cosine of trigram counts; the k best first, then those of score 0 dropped (a document without a common trigram is never better).
 
-    Texts are dealt out by id once, which moves far less than their trigrams would: counts, lengths and sums of a document
-    all stay in its task.
+    A document's length is a sum over its own trigrams in order, and its product with a query is a sum over their occurrences:
+    neither texts nor counts are shuffled, only one row for each query and document.
     """
-    own = docs.select(F.col(key).alias("id"), "text").repartition("id").select("id", F.explode_outer(trigrams(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g").agg(F.count("*").alias("tf"))
-    own = own.withColumn("size", F.sum((F.col("tf") * F.col("tf")).cast("double")).over(Window.partitionBy("id")))
+    own = docs.select(F.col(key).alias("id"), F.array_sort(trigrams(F.col("text"))).alias("t"))
+    # Of a run of equal trigrams the n-th adds 2n - 1 to the square of their number.
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("s"))
+
+    def next_(a: Column, g: Column) -> Column:
+        n = F.when(a["g"] == g, a["n"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(g.alias("g"), n.alias("n"), (a["s"] + 2 * n - 1).alias("s"))
+
+    # The length is a step of its own: beside the explode it would be made for each trigram.
+    own = own.withColumn("size", F.aggregate("t", start, next_, lambda a: F.sqrt(a["s"].cast("double")))).select("id", "size", F.explode_outer("t").alias("g"))
     asked = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("qf"))
     asked_size = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("qf") * F.col("qf")).cast("double"))).alias("q_size"))
-    scored = own.join(sized(asked)(asked), "g").groupBy("query_id", "id").agg(F.sum((F.col("tf") * F.col("qf")).cast("double")).alias("dot"), F.sqrt(F.first("size")).alias("size"))
+    scored = own.join(sized(asked)(asked), "g").groupBy("query_id", "id").agg(F.sum("qf").cast("double").alias("dot"), F.first("size").alias("size"))
     scored = scored.join(asked_size, "query_id").select("query_id", "id", (F.col("dot") / (F.col("size") * F.col("q_size"))).alias("score"))
     return top(scored, k)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import energy as E
 from quern.functions.expr import clip, sdiv
+from quern.operators.quantiles import quantiles
 from quern.session import checkpoint
 
 DIGITS = 9
@@ -16,12 +17,11 @@ DIGITS = 9
 
 def statistics(px: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     """(keys, band, n, lo, hi, mean, std, p05, p95) over values that aren't null; zeros for a band without any."""
-    long = px.unpivot(keys, bands, "band", "v")
-    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.95)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return long.groupBy(*keys, "band").agg(
-        F.count("v").alias("n"), zero(F.min("v")).alias("lo"), zero(F.max("v")).alias("hi"), zero(F.avg("v")).alias("mean"), zero(F.stddev_pop("v")).alias("std"), zero(p[0]).alias("p05"), zero(p[1]).alias("p95")
-    )
+    base = px.unpivot(keys, bands, "band", "v").groupBy(*keys, "band").agg(F.count("v").alias("n"), zero(F.min("v")).alias("lo"), zero(F.max("v")).alias("hi"), zero(F.avg("v")).alias("mean"), zero(F.stddev_pop("v")).alias("std"))
+    p = quantiles(px.select(*keys, *bands), keys, {b: [0.05, 0.95] for b in bands}).unpivot(keys, bands, "band", "_p")
+    out = base.join(p, [*keys, "band"], "left")
+    return out.withColumns({"p05": zero(F.col("_p")[0]), "p95": zero(F.col("_p")[1])}).drop("_p")
 
 
 def classify(value: Column, breaks: Sequence[float]) -> Column:
@@ -85,22 +85,23 @@ def closure(px: DataFrame, tolerance: float = 0.15) -> DataFrame:
 
 def global_checks(px: DataFrame) -> DataFrame:
     """(scene_id, ef_mean, ef_ok, h_ok, etrf_ok): EF 0.15 at least, p95 0.95 and mean 0.85 at most; negative H in 1 % at most and none below -20; ETrF p95 1.15 and mean 1.05 at most."""
-    p95 = lambda c: F.round(F.percentile(c, F.lit(0.95)), DIGITS)
-    return px.groupBy("scene_id").agg(
-        F.avg("ef").alias("ef_mean"),
-        ((F.min("ef") >= 0.15) & (p95("ef") <= 0.95) & (F.avg("ef") <= 0.85)).alias("ef_ok"),
-        ((F.avg((F.col("h") < 0).cast("double")) <= 0.01) & (F.count_if(F.col("h") < -20) == 0)).alias("h_ok"),
-        ((p95("etrf") <= 1.15) & (F.avg("etrf") <= 1.05)).alias("etrf_ok"),
-    )
+    p95 = lambda c: F.round(F.col(f"_{c}")[0], DIGITS)
+    high = quantiles(px.select("scene_id", "ef", "etrf"), ["scene_id"], {"ef": [0.95], "etrf": [0.95]}).select("scene_id", F.col("ef").alias("_ef"), F.col("etrf").alias("_etrf"))
+    own = px.groupBy("scene_id").agg(
+        F.avg("ef").alias("ef_mean"), F.min("ef").alias("_least"), ((F.avg((F.col("h") < 0).cast("double")) <= 0.01) & (F.count_if(F.col("h") < -20) == 0)).alias("h_ok"), F.avg("etrf").alias("_mean")
+    )
+    both = own.join(high, "scene_id", "left")
+    ef_ok = (F.col("_least") >= 0.15) & (p95("ef") <= 0.95) & (F.col("ef_mean") <= 0.85)
+    return both.select("scene_id", "ef_mean", ef_ok.alias("ef_ok"), "h_ok", ((p95("etrf") <= 1.15) & (F.col("_mean") <= 1.05)).alias("etrf_ok"))
 
 
 def edges(px: DataFrame, lo: float = 0.2, hi: float = 0.9, width: float = 0.02, wet: float = 0.05, dry: float = 0.95) -> DataFrame:
     """(scene_id, c, wet, dry): quantiles of lst in bins of ndvi, c being the bin's centre; bins without pixels are left out."""
     last = round((hi - lo) / width) - 1
     bin_ = F.least(F.floor((F.col("ndvi") - lo) / width + 1e-9).cast("int"), F.lit(last))
-    p = F.percentile("lst", F.array(F.lit(wet), F.lit(dry)))
-    own = px.where(F.col("ndvi").between(lo, hi) & F.col("lst").isNotNull()).groupBy("scene_id", bin_.alias("bin")).agg(p.alias("p"))
-    return own.select("scene_id", (F.lit(round(lo + width / 2, 9)) + F.col("bin") * width).alias("c"), F.col("p")[0].alias("wet"), F.col("p")[1].alias("dry"))
+    own = px.where(F.col("ndvi").between(lo, hi) & F.col("lst").isNotNull()).select("scene_id", bin_.alias("bin"), "lst")
+    own = quantiles(own, ["scene_id", "bin"], {"lst": [wet, dry]})
+    return own.select("scene_id", (F.lit(round(lo + width / 2, 9)) + F.col("bin") * width).alias("c"), F.col("lst")[0].alias("wet"), F.col("lst")[1].alias("dry"))
 
 
 def water_stress(px: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def water_stress(px: DataFrame) -> DataFrame:
 def dryness(px: DataFrame) -> DataFrame:
     """px with tvdi: lst between the scene's p05 and a line fitted to the dry edge; scenes of fewer than two bins are left out."""
     fit = edges(px).groupBy("scene_id").agg(F.regr_slope("dry", "c").alias("_b"), F.regr_intercept("dry", "c").alias("_a"), F.count("*").alias("_n")).where("_n >= 2")
-    low = px.groupBy("scene_id").agg(F.percentile("lst", F.lit(0.05)).alias("_lo"))
+    low = quantiles(px.select("scene_id", "lst"), ["scene_id"], {"lst": [0.05]}).select("scene_id", F.col("lst")[0].alias("_lo"))
     d = px.join(fit, "scene_id").join(low, "scene_id")
     top = F.round(F.col("_a") + F.col("_b") * F.col("ndvi") - F.col("_lo"), DIGITS)
     return d.withColumn("tvdi", clip(sdiv(F.col("lst") - F.col("_lo"), top), 0, 1)).drop("_a", "_b", "_n", "_lo")
@@ -135,35 +136,56 @@ def condition_indices(px: DataFrame, site: str, alpha: float = 0.5) -> DataFrame
     return d.withColumns({"tci": tci, "vci": vci}).withColumn("vhi", alpha * F.col("vci") + (1 - alpha) * F.col("tci")).drop("_n0", "_n1", "_t0", "_t1")
 
 
-def _around(px: DataFrame, columns: list[str], radius: int) -> DataFrame:
-    """A row for each pixel and place within the radius of it (cy, cx); pixels are sent to their neighbours, no pairs are searched."""
-    off = lambda n: F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias(n)
-    out = px.select("scene_id", "y", "x", *columns, off("_dy")).select("*", off("_dx"))
-    return out.select("scene_id", (F.col("y") + F.col("_dy")).alias("cy"), (F.col("x") + F.col("_dx")).alias("cx"), *columns)
+#: Pixels of a tile's side. A tile gets its neighbours' pixels within the radius, so all that follows stays within it.
+TILE = 64
+
+
+def haloed(px: DataFrame, radius: int) -> DataFrame:
+    """px (scene_id, y, x, ...) dealt out by tile (ty, tx): each pixel in its own tile, and in those whose border it lies within the radius of."""
+    near = lambda c: F.sequence(F.floor((F.col(c) - radius) / TILE).cast("bigint"), F.floor((F.col(c) + radius) / TILE).cast("bigint"))
+    out = px.withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+    return out.repartition("scene_id", "ty", "tx")
+
+
+def _places(tiled: DataFrame, keep: list[str], ys: Column, xs: Column) -> DataFrame:
+    """A row for each place (cy, cx) of its own tile that a pixel is sent to."""
+    out = tiled.select("scene_id", "ty", "tx", "y", "x", *keep, F.explode(ys).alias("cy"), xs.alias("_xs")).select("scene_id", "ty", "tx", "y", "x", *keep, "cy", F.explode("_xs").alias("cx"))
+    return out.where((F.floor(F.col("cy") / TILE) == F.col("ty")) & (F.floor(F.col("cx") / TILE) == F.col("tx")))
+
+
+def _own(px: DataFrame, columns: list[str]) -> list[Column]:
+    """What a place's own pixel says in some columns; null where there is no pixel."""
+    self = (F.col("cy") == F.col("y")) & (F.col("cx") == F.col("x"))
+    return [F.max(self).alias("_is"), *[F.max(F.when(self, F.col(c))).alias(c) for c in columns]]
 
 
 def neighbour_mean(px: DataFrame, value: str) -> DataFrame:
     """px with neighbour_mean of the 3 x 3 pixels around each (null counts as 0, and a missing neighbour is mirrored by the pixel across), and outlier: more than half the mean away.
 
-    Pixels beyond the edge repeat those at it.
+    Pixels beyond the edge repeat those at it. Pixels move once, with a halo of one around each tile.
     """
+    rest = [c for c in px.columns if c not in ("scene_id", "y", "x")]
     ranges = px.groupBy("scene_id").agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    own = px.join(ranges, "scene_id").select("scene_id", "y", "x", F.coalesce(value, F.lit(0.0)).alias("_v"), "_y0", "_y1", "_x0", "_x1")
+    own = px.join(ranges, "scene_id").withColumn("_v", F.coalesce(value, F.lit(0.0)))
     # A pixel at an edge stands for the one beyond it, too.
-    ys = F.array_compact(F.array(F.col("y"), F.when(F.col("y") == F.col("_y0"), F.col("y") - 1), F.when(F.col("y") == F.col("_y1"), F.col("y") + 1)))
-    xs = F.array_compact(F.array(F.col("x"), F.when(F.col("x") == F.col("_x0"), F.col("x") - 1), F.when(F.col("x") == F.col("_x1"), F.col("x") + 1)))
-    own = own.select("scene_id", "_v", F.explode(ys).alias("y"), xs.alias("_xs")).select("scene_id", "_v", "y", F.explode("_xs").alias("x"))
-    mean = _around(own, ["_v"], 1).groupBy("scene_id", F.col("cy").alias("y"), F.col("cx").alias("x")).agg((F.sum("_v") / 9).alias("neighbour_mean"))
-    out = px.join(mean, ["scene_id", "y", "x"])
+    beyond = lambda c: F.array_compact(F.array(F.col(c), F.when(F.col(c) == F.col(f"_{c}0"), F.col(c) - 1), F.when(F.col(c) == F.col(f"_{c}1"), F.col(c) + 1)))
+    around = lambda c: F.flatten(F.transform(beyond(c), lambda v: F.array(v - 1, v, v + 1)))
+    tiled = haloed(own.select("scene_id", "y", "x", *rest, "_v", around("y").alias("_ys"), around("x").alias("_xs")), 1)
+    places = _places(tiled, [*rest, "_v"], F.col("_ys"), F.col("_xs"))
+    out = places.groupBy("scene_id", "ty", "tx", "cy", "cx").agg((F.sum("_v") / 9).alias("neighbour_mean"), *_own(px, rest)).where("_is")
+    out = out.select("scene_id", F.col("cy").cast(px.schema["y"].dataType).alias("y"), F.col("cx").cast(px.schema["x"].dataType).alias("x"), *rest, "neighbour_mean").select(*px.columns, "neighbour_mean")
     off = F.coalesce(sdiv(F.abs(F.col(value) - F.col("neighbour_mean")), F.when(F.col("neighbour_mean") > 0, F.col("neighbour_mean"))), F.lit(0.0))
     return out.withColumn("outlier", F.round(off, DIGITS) > 0.5)
 
 
 def dilate(px: DataFrame, flag: str, radius: int) -> DataFrame:
-    """px with flag true wherever it is within a Chebyshev radius. Only flagged pixels are sent out."""
-    near = _around(px.where(flag), [], radius).distinct().withColumnsRenamed({"cy": "y", "cx": "x"}).withColumn("_near", F.lit(True))
-    out = px.join(near, ["scene_id", "y", "x"], "left").withColumn(flag, F.coalesce("_near", F.lit(False)))
-    return out.drop("_near")
+    """px with flag true wherever it is within a Chebyshev radius. Pixels move once, with a halo around each tile; only flagged ones are sent to their neighbours, within it."""
+    rest = [c for c in px.columns if c not in ("scene_id", "y", "x", flag)]
+    tiled = haloed(px.select("scene_id", "y", "x", *rest, F.coalesce(flag, F.lit(False)).alias("_on")), radius)
+    reach = lambda c: F.when(F.col("_on"), F.sequence(F.col(c) - radius, F.col(c) + radius)).otherwise(F.array(c))
+    places = _places(tiled, [*rest, "_on"], reach("y"), reach("x"))
+    out = places.groupBy("scene_id", "ty", "tx", "cy", "cx").agg(F.max("_on").alias(flag), *_own(px, rest)).where("_is")
+    return out.select("scene_id", F.col("cy").cast(px.schema["y"].dataType).alias("y"), F.col("cx").cast(px.schema["x"].dataType).alias("x"), *rest, flag).select(*px.columns)
 
 
 def block_mean(px: DataFrame, bands: list[str], size: int) -> DataFrame:
@@ -173,8 +195,8 @@ def block_mean(px: DataFrame, bands: list[str], size: int) -> DataFrame:
 
 def stretch(px: DataFrame, band: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """px with stretched: the band from its low to its high percentile in the scene as 0 to 255."""
-    p = px.groupBy("scene_id").agg(F.percentile(band, F.array(F.lit(lo), F.lit(hi))).alias("_p"))
-    d = px.join(p, "scene_id")
+    p = quantiles(px.select("scene_id", band), ["scene_id"], {band: [lo, hi]}).withColumnRenamed(band, "_p")
+    d = px.join(p, "scene_id", "left")
     x = sdiv(F.col(band) - F.col("_p")[0], F.col("_p")[1] - F.col("_p")[0])
     return d.withColumn("stretched", F.floor(F.round(clip(x, 0, 1) * 255, 6)).cast("int")).drop("_p")
 
@@ -193,8 +215,8 @@ def breaks(values: DataFrame, value: str, scheme: str = "quantiles", classes: in
             raise ValueError("the manual scheme needs two breaks at least")
         return values.sparkSession.range(1).select(F.array(*[F.lit(float(b)) for b in sorted(manual)]).alias("breaks"))
     if scheme == "quantiles":
-        inner = F.percentile(value, F.array(*[F.lit(i / classes) for i in range(1, classes)]))
-        return values.agg(F.concat(F.array(F.min(value)), inner, F.array(F.max(value))).alias("breaks"))
+        every = quantiles(values.select(F.lit(0).alias("_k"), value), ["_k"], {value: [i / classes for i in range(classes + 1)]})
+        return every.select(F.col(value).alias("breaks"))
     lo, hi = F.min(value), F.max(value)
     return values.agg(F.array(*[lo + (hi - lo) * i / classes for i in range(classes + 1)]).alias("breaks"))
 
@@ -219,8 +241,10 @@ def zonal(px: DataFrame, zones: DataFrame, value: str) -> DataFrame:
     met = own.join(cells, ["_cy", "_cx"]).where("_x BETWEEN x0 AND x1 AND _y BETWEEN y0 AND y1")
     crossing = """size(filter(zip_with(ring, concat(slice(ring, 2, size(ring) - 1), slice(ring, 1, 1)), (a, b) -> (a.py > _y) <> (b.py > _y) AND _x < (b.px - a.px) * (_y - a.py) / nullif(b.py - a.py, 0) + a.px), c -> c)) % 2 = 1"""
     met = met.where(F.expr(crossing))
-    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.95)))
-    return met.groupBy("zone_id").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), p[0].alias("p05"), p[1].alias("p95"), (F.count_if(F.col("v").isNull()) / F.count("*")).alias("nodata_share"))
+    met = checkpoint(met.select("zone_id", "v"))
+    base = met.groupBy("zone_id").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.count_if(F.col("v").isNull()) / F.count("*")).alias("nodata_share"))
+    p = quantiles(met, ["zone_id"], {"v": [0.05, 0.95]})
+    return base.join(p, "zone_id", "left").select("zone_id", "n", "lo", "hi", "mean", "std", F.col("v")[0].alias("p05"), F.col("v")[1].alias("p95"), "nodata_share")
 
 
 def area(ring: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import projection
 from quern.operators import graph, grids, raster, ranking, spatial, validation
 from quern.operators.workflow import Playbook
 from quern.registry import query
@@ -93,6 +94,56 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scene_id", "y", "x", half_up(F.col("red"), 6).alias("red"))
 
 
+def _kernel(d: str, kernel: str) -> str:
+    """SQL of a kernel's weight at a distance."""
+    if kernel == "bilinear":
+        return f"greatest(1 - abs({d}), 0.0)"
+    return f"CASE WHEN abs({d}) <= 1 THEN (1.5 * abs({d}) - 2.5) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((-0.5 * abs({d}) + 2.5) * abs({d}) - 4) * abs({d}) + 2 ELSE 0.0 END"
+
+
+def _interpolated(band: str, step: float, kernel: str, reach: int) -> str:
+    return f"""WITH {PIXELS}, gr AS (SELECT scene_id, y // 4 AS y, CAST(x AS BIGINT) AS x, {band} AS v FROM px), en AS (SELECT scene_id, max(y) AS h, max(x) AS w FROM gr GROUP BY scene_id),
+    cy AS (SELECT scene_id, y, x, v, h, w, unnest(range(CAST(greatest(0, ceil((y - {reach} + 0.5) / {step} - 0.5)) AS BIGINT), CAST(floor((y + {reach} + 0.5) / {step} - 0.5) AS BIGINT) + 1)) AS cy FROM gr JOIN en USING (scene_id)),
+    cx AS (SELECT *, unnest(range(CAST(greatest(0, ceil((x - {reach} + 0.5) / {step} - 0.5)) AS BIGINT), CAST(floor((x + {reach} + 0.5) / {step} - 0.5) AS BIGINT) + 1)) AS cx FROM cy),
+    u AS (SELECT *, (cy + 0.5) * {step} - 0.5 - y AS dy, (cx + 0.5) * {step} - 0.5 - x AS dx FROM cx WHERE (cy + 0.5) * {step} - 0.5 < h + 0.5 AND (cx + 0.5) * {step} - 0.5 < w + 0.5),
+    k AS (SELECT scene_id, cy, cx, v, ({_kernel("dy", kernel)}) * ({_kernel("dx", kernel)}) AS k FROM u)
+    SELECT scene_id, cy AS y, cx AS x, round(sum(k * v) / sum(k), 5) AS {band} FROM k GROUP BY scene_id, cy, cx HAVING abs(sum(k)) > 1e-6"""
+
+
+def _every_fourth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).select("scene_id", F.floor(F.col("y") / 4).alias("y"), F.col("x").cast("bigint").alias("x"), "nir08", "lwir11")
+
+
+@query("resample_bilinear", _interpolated("nir08", 0.8, "bilinear", 1))
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.interpolated(_every_fourth(spark, sf_dir), "nir08", 0.8, "bilinear").withColumn("nir08", F.round("nir08", 5))
+
+
+@query("resample_cubic", _interpolated("lwir11", 2.5, "cubic", 2))
+def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.interpolated(_every_fourth(spark, sf_dir), "lwir11", 2.5, "cubic").withColumn("lwir11", F.round("lwir11", 5))
+
+
+def _series(series: tuple[float, ...], f: str) -> str:
+    """SQL of a series; # stands for twice the term's number."""
+    return " + ".join(f"{a!r} * {f.replace('#', str(2 * j))}" for j, a in enumerate(series, 1))
+
+
+_UTM = f"""{_BOXES}, c AS (SELECT id, (min_lon + max_lon) / 2 AS lon, (min_lat + max_lat) / 2 AS lat FROM bx WHERE min_lon IS NOT NULL),
+    z AS (SELECT *, least(floor((lon + 180) / 6) + 1, 60) AS zone FROM c), o AS (SELECT *, radians(lon - (zone * 6 - 183)) AS d, radians(lat) AS p FROM z),
+    t AS (SELECT *, sinh(atanh(sin(p)) - {projection.ECC!r} * atanh({projection.ECC!r} * sin(p))) AS t FROM o), e AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t),
+    u AS (SELECT id, lon, lat, zone, 500000 + {projection.SCALE * projection.RADIUS!r} * (eta + {_series(projection.TO_PLANE, "cos(# * xi) * sinh(# * eta)")}) AS x, CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END + {projection.SCALE * projection.RADIUS!r} * (xi + {_series(projection.TO_PLANE, "sin(# * xi) * cosh(# * eta)")}) AS y FROM e)"""
+
+
+@query("utm_coordinates", f"WITH {_UTM} SELECT id, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS INTEGER) AS epsg, round(x, 3) AS x, round(y, 3) AS y, round(lon, 7) AS lon, round(lat, 7) AS lat FROM u")
+def utm_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middles of boxes in metres of their zone, and back in degrees: the SQL holds the way back against where it began."""
+    b = boxes(spark, sf_dir).where("min_lon is not null").select("id", ((F.col("min_lon") + F.col("max_lon")) / 2).alias("lon"), ((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat"))
+    b = b.withColumn("epsg", spatial.utm_epsg(F.col("lon"), F.col("lat"))).withColumn("p", projection.to_utm(F.col("lon"), F.col("lat"), F.col("epsg")))
+    b = b.withColumn("back", projection.from_utm(F.col("p.x"), F.col("p.y"), F.col("epsg")))
+    return b.select("id", "epsg", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), F.round("back.lon", 7).alias("lon"), F.round("back.lat", 7).alias("lat"))
+
+
 @query("crop_pad", f"WITH {PIXELS}, s AS (SELECT DISTINCT scene_id FROM px), p AS (SELECT scene_id, y, CAST(x AS INTEGER) AS x FROM s, (SELECT unnest(range(0, 40)) AS y), (SELECT unnest(range(0, 8)) AS x)) SELECT p.scene_id, p.y, p.x, {_half_up('px.red', 6)} AS red FROM p LEFT JOIN px ON px.scene_id = p.scene_id AND px.y = p.y AND px.x = p.x")
 def crop_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grids.crop_pad(pixels(spark, sf_dir).select("scene_id", "y", "x", "red"), 40, 8)
@@ -191,7 +242,10 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("doc_id").alias("id"), kind.alias("kind"), F.split_part("text", F.lit(" "), F.lit(1)).alias("subject"))
 
 
-@query("embedding_hash")
+_HEX = "hex(CAST(CAST(x AS BIT) AS BLOB))"
+
+
+@query("embedding_hash", f"WITH h AS (SELECT vec_id, [{_HEX} FOR x IN embedding] AS h FROM embeddings) SELECT vec_id, sha256(unhex(array_to_string([x[7:8] || x[5:6] || x[3:4] || x[1:2] FOR x IN h], ''))) AS digest FROM h")
 def embedding_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of each vector's bytes as 32-bit floats, for which Spark has no function."""
 

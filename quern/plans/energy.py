@@ -9,6 +9,7 @@ from quern.functions import energy as E
 from quern.functions import spectral as S
 from quern.functions import surface as G
 from quern.operators import raster
+from quern.operators.quantiles import quantiles
 from quern.registry import query
 
 from .tables import PIXELS, pixels
@@ -264,11 +265,12 @@ def energy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_BALANCE} SELECT scene_id, round(100.0 * count(*) FILTER (WHERE {_CLEAR}) / count(*), 6) AS clear_percent, round(quantile_cont(ndvi, 0.05), 6) AS ndvi_p05, round(quantile_cont(ndvi, 0.95), 6) AS ndvi_p95, round(avg(ef), 6) AS ef_mean, round(min(h), 6) AS h_min, round(avg(etrf), 6) AS etrf_mean FROM bal GROUP BY scene_id",
 )
 def scene_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("ndvi", F.array(F.lit(0.05), F.lit(0.95)))
-    return balance(pixels(spark, sf_dir)).groupBy("scene_id").agg(
-        F.round(100.0 * F.count_if(G.is_clear(F.col("qa_pixel"))) / F.count("*"), 6).alias("clear_percent"), F.round(p[0], 6).alias("ndvi_p05"), F.round(p[1], 6).alias("ndvi_p95"),
-        F.round(F.avg("ef"), 6).alias("ef_mean"), F.round(F.min("h"), 6).alias("h_min"), F.round(F.avg("etrf"), 6).alias("etrf_mean"),
+    d = balance(pixels(spark, sf_dir))
+    p = quantiles(d.select("scene_id", "ndvi"), ["scene_id"], {"ndvi": [0.05, 0.95]})
+    own = d.groupBy("scene_id").agg(
+        F.round(100.0 * F.count_if(G.is_clear(F.col("qa_pixel"))) / F.count("*"), 6).alias("clear_percent"), F.round(F.avg("ef"), 6).alias("ef_mean"), F.round(F.min("h"), 6).alias("h_min"), F.round(F.avg("etrf"), 6).alias("etrf_mean"),
     )
+    return own.join(p, "scene_id", "left").select("scene_id", "clear_percent", F.round(F.col("ndvi")[0], 6).alias("ndvi_p05"), F.round(F.col("ndvi")[1], 6).alias("ndvi_p95"), "ef_mean", "h_min", "etrf_mean")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import spectral as S
 from quern.functions import surface as G
-from quern.operators import calibration, raster
+from quern.operators import calibration, polygons, raster, triangles
 from quern.registry import query
 
 from .energy import _BALANCE, _CLEAR, _half_up, balance, half_up
@@ -124,13 +124,65 @@ def mask_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.dilate(d, "cloud", radius=4)
 
 
-@query("region_sizes")
-def region_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Every fourth line of a scene, as lines that lie beside each other, with their class.
+_GRID = f"{_NDVI}, gr AS (SELECT scene_id, y // 4 AS y, CAST(x AS BIGINT) AS x, {_CLASS} AS class FROM v WHERE {_CLASS} IS NOT NULL)"
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _with_ndvi(spark, sf_dir).withColumn("y", F.floor(F.col("y") / 4)).withColumn("class", raster.reclassify(F.col("ndvi"), RULES))
-    d = raster.regions(d.select("scene_id", "y", "x", "class"), "class")
+    return d.select("scene_id", "y", "x", "class")
+
+
+@query(
+    "region_sizes",
+    f"""WITH RECURSIVE {_GRID}, lb(scene_id, y, x, class, l) USING KEY (scene_id, y, x) AS (
+      SELECT scene_id, y, x, class, y * 2147483648 + x FROM gr
+      UNION SELECT r.scene_id, r.y, r.x, r.class, min(t.l) FROM (SELECT scene_id, y + dy AS y, x + dx AS x, class, l FROM lb, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS o(dy, dx)) t
+      JOIN recurring.lb r ON r.scene_id = t.scene_id AND r.y = t.y AND r.x = t.x AND r.class = t.class WHERE t.l < r.l GROUP BY r.scene_id, r.y, r.x, r.class)
+    SELECT scene_id, class, CAST(l AS BIGINT) AS region, count(*) AS n FROM lb GROUP BY scene_id, class, l""",
+)
+def region_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = raster.regions(_grid(spark, sf_dir), "class")
     return d.groupBy("scene_id", "class", "region").agg(F.count("*").alias("n"))
 
 
+@query(
+    "region_rings",
+    f"""WITH {_GRID}, pa AS (SELECT a.scene_id, a.class, count(*) AS pairs FROM gr a JOIN gr b ON b.scene_id = a.scene_id AND b.class = a.class AND ((b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1)) GROUP BY a.scene_id, a.class),
+    bl AS (SELECT scene_id, class, count(*) AS blocks FROM (SELECT scene_id, class, vy, vx FROM (SELECT scene_id, class, y + dy AS vy, x + dx AS vx FROM gr, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(dy, dx)) GROUP BY scene_id, class, vy, vx HAVING count(*) = 4) GROUP BY scene_id, class),
+    ar AS (SELECT scene_id, class, count(*) AS n FROM gr GROUP BY scene_id, class)
+    SELECT ar.scene_id, ar.class, CAST(n AS DOUBLE) AS area, 4 * n - 2 * coalesce(pairs, 0) AS length, n - coalesce(pairs, 0) + coalesce(blocks, 0) AS outer_less_holes FROM ar LEFT JOIN pa USING (scene_id, class) LEFT JOIN bl USING (scene_id, class)""",
+)
+def region_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rings of all regions of a class: their signed area, which is its pixels; their length, which is its pixels' free sides; and outer rings less holes, which is its Euler number."""
+    r = polygons.rings(_grid(spark, sf_dir), "class")
+    return r.groupBy("scene_id", "class").agg(F.sum("area").alias("area"), F.sum("length").alias("length"), F.sum(F.when(F.col("hole"), -1).otherwise(1)).alias("outer_less_holes"))
+
+
+_STATIONS = """st AS (SELECT s_suppkey AS k, s_suppkey % 2 AS g, CAST(s_suppkey * 13 % 120 - 60 AS DOUBLE) + CAST(s_suppkey * 37 % 101 AS DOUBLE) / 103 AS x, CAST(s_suppkey * 29 % 80 - 40 AS DOUBLE) + CAST(s_suppkey * 53 % 97 AS DOUBLE) / 99 AS y, CAST(s_suppkey * 17 % 50 AS DOUBLE) AS v FROM supplier),
+    pt AS (SELECT c_custkey AS id, c_custkey % 2 AS g, CAST(c_custkey % 120 - 60 AS DOUBLE) + 0.25 AS x, CAST(c_custkey * 7 % 80 - 40 AS DOUBLE) + 0.5 AS y FROM customer)"""
+_CIRCLE = "((x1 - d.x) * (x1 - d.x) + (y1 - d.y) * (y1 - d.y)) * ((x2 - d.x) * (y3 - d.y) - (x3 - d.x) * (y2 - d.y)) - ((x2 - d.x) * (x2 - d.x) + (y2 - d.y) * (y2 - d.y)) * ((x1 - d.x) * (y3 - d.y) - (x3 - d.x) * (y1 - d.y)) + ((x3 - d.x) * (x3 - d.x) + (y3 - d.y) * (y3 - d.y)) * ((x1 - d.x) * (y2 - d.y) - (x2 - d.x) * (y1 - d.y))"
+
+
+@query(
+    "weather_linear",
+    f"""WITH {_STATIONS}, tr AS (SELECT a.g, a.k AS ka, b.k AS kb, c.k AS kc, a.x AS x1, a.y AS y1, a.v AS v1, b.x AS x2, b.y AS y2, b.v AS v2, c.x AS x3, c.y AS y3, c.v AS v3, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS det
+      FROM st a JOIN st b ON b.g = a.g AND b.k > a.k JOIN st c ON c.g = a.g AND c.k > b.k),
+    full_ AS (SELECT DISTINCT tr.g, ka, kb, kc FROM tr JOIN st d ON d.g = tr.g AND d.k NOT IN (ka, kb, kc) WHERE ({_CIRCLE}) * sign(det) > 1e-6),
+    de AS (SELECT tr.* FROM tr ANTI JOIN full_ USING (g, ka, kb, kc) WHERE abs(det) > 1e-9),
+    w AS (SELECT id, ka, kb, kc, v1, v2, v3, ((x - x1) * (y3 - y1) - (y - y1) * (x3 - x1)) / det AS w1, ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / det AS w2 FROM pt JOIN de ON de.g = pt.g),
+    i AS (SELECT id, arg_min(v1 + w1 * (v2 - v1) + w2 * (v3 - v1), (ka, kb, kc)) AS v FROM w WHERE w1 >= -1e-9 AND w2 >= -1e-9 AND w1 + w2 <= 1 + 1e-9 GROUP BY id),
+    o AS (SELECT id, arg_min(st.v, (round((st.x - pt.x) * (st.x - pt.x) + (st.y - pt.y) * (st.y - pt.y), 9), st.x, st.y)) AS v FROM pt JOIN st ON st.g = pt.g WHERE id NOT IN (SELECT id FROM i) GROUP BY id)
+    SELECT id, round(v, 6) AS temperature FROM i UNION ALL SELECT id, round(v, 6) FROM o""",
+)
+def weather_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperatures of suppliers, as two sets of stations, at the places of customers."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    stations = table(spark, sf_dir, "supplier").select((k % 2).alias("g"), ((k * 13 % 120 - 60) + (k * 37 % 101) / 103).alias("lon"), ((k * 29 % 80 - 40) + (k * 53 % 97) / 99).alias("lat"), (k * 17 % 50).cast("double").alias("temperature"))
+    px = table(spark, sf_dir, "customer").select(c.alias("id"), (c % 2).alias("g"), ((c % 120 - 60) + 0.25).cast("double").alias("lon"), ((c * 7) % 80 - 40 + 0.5).cast("double").alias("lat"))
+    return triangles.linear(px, stations, "g", "temperature").select("id", F.round("temperature", 6).alias("temperature"))
+
+
 @query(
     "farm_report",
     f"""WITH {_NDVI}, s AS (SELECT y // 100 AS farm, scene_id, round(avg(ndvi), 6) AS mean FROM v GROUP BY 1, 2), c AS (SELECT *, CASE WHEN mean >= 0.4 AND mean < 0.6 THEN 1 WHEN mean >= -1 AND mean < 0.4 THEN 2 WHEN mean >= 0.6 AND mean < 1 THEN 0 ELSE 2 END AS cls FROM s)

@@ -23,35 +23,84 @@ def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.notebooks(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
 
 
-def _code(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    """(path, text): a piece of code for each customer, with the customer's key and segment in it."""
-    c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").cast("string").alias("path"), F.format_string(template, "c_custkey", "c_mktsegment").alias("text"))
+#: Turns of conversations as pieces of code: what is said, without signs, stands in comments, strings and docstrings; which kind of code it is goes by the numbers.
+_TURNS = "t AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS path, 'f' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS name, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 #]', ' ', 'g') AS said, (conv_id + turn) % 5 AS p, (conv_id + turn) % 4 AS j FROM conversations)"
 
 
-_PYTHON = 'def f(a, b=%1$d):  # one\n    """%2$s"""\n    return a\n\nclass C%1$d:\n    pass\n'
-_JS = "var v%1$d = '%2$s';\nfunction g() {}\n  const c = 1;\n"
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    k, n = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 #]", " ")
+    return c.select(F.concat(k, F.lit(":"), n).alias("path"), F.concat(F.lit("f"), k, F.lit("_"), n).alias("name"), said.alias("said"), ((F.col("conv_id") + F.col("turn")) % 5).alias("p"), ((F.col("conv_id") + F.col("turn")) % 4).alias("j"))
 
 
-@query("code_units", "SELECT CAST(c_custkey AS VARCHAR) AS path, 'function' AS kind, 'f' AS name, 'f(a, b)' AS signature, c_mktsegment AS docstring, 1 AS first, 3 AS last FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'class', 'C' || c_custkey, '', '', 5, 6 FROM customer")
-def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.python_units(_code(spark, sf_dir, _PYTHON))
+def _filled(turns: DataFrame, kinds: list[str], by: str) -> DataFrame:
+    """(path, text): the kind of code that by says; @ stands for the name, ~ for what is said."""
+    text = F.element_at(F.array(*map(F.lit, kinds)), F.col(by).cast("int") + 1)
+    return turns.select("path", F.replace(F.replace(text, F.lit("@"), F.col("name")), F.lit("~"), F.col("said")).alias("text"))
+
+
+#: A function with comment and docstring; a class by tabs, with a sign of comments in a string; what isn't Python; CRLF, blank lines and an async function; no definitions.
+_PYTHON = ['def @(a, b=1):  # ~\n    """~"""\n    return a\n', 'class @:\n\tdef m(self, *args, **kw):\n\t\t"""~"""\n\t\tx = "#~"  # ~\n\t\treturn x\n', "def @(:\n    pass  # ~\n", 'async def @(x, *, y=1):\r\n\r\n  return "~ # no"\r\n', "# ~\nx = '~'\n\n\n# end"]
+#: A variable, a function without an equals sign and an indented constant; a default value, CRLF and a comment; a name that only begins like a keyword; blank lines and wide spaces.
+_JS = ["var @ = '~';\nfunction g() {}\n  const c = 1;\n", "async function @(a = 1) {\r\n  let $x_y = a;\r\n}\r\n// const z = 1; ~", 'const @="~"\n  letter = 2\n', "\n\nlet  @  =  5; // ~"]
 
 
-@query("code_without_comments", "SELECT CAST(c_custkey AS VARCHAR) AS path, concat('def f(a, b=', c_custkey, '):       ', chr(10), '    \"\"\"', c_mktsegment, '\"\"\"', chr(10), '    return a', chr(10), chr(10), 'class C', c_custkey, ':', chr(10), '    pass', chr(10)) AS text FROM customer")
+def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(_turns(spark, sf_dir), _PYTHON, "p")
+
+
+@query(
+    "code_units",
+    f"""WITH {_TURNS} SELECT path, 'function' AS kind, name, name || '(a, b)' AS signature, ltrim(said) AS docstring, 1 AS first, 3 AS last FROM t WHERE p = 0
+    UNION ALL SELECT path, 'class', name, '', '', 1, 5 FROM t WHERE p = 1 UNION ALL SELECT path, 'function', 'm', 'm(self, *args, **kw)', ltrim(said), 2, 5 FROM t WHERE p = 1
+    UNION ALL SELECT path, 'function', name, name || '(x, *, y)', '', 1, 3 FROM t WHERE p = 3""",
+)
+def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.python_units(_python(spark, sf_dir))
+
+
+def _text_of(kinds: list[str], blank: bool) -> str:
+    """SQL of a turn's code; blank: its comments as blanks."""
+    gone = "' ' || ' ' || repeat(' ', length(said))"
+    out = []
+    for k, kind in enumerate(kinds):
+        parts = []
+        for i, piece in enumerate(kind.replace("# end", "     " if blank else "# end").split("~")):
+            if blank and k not in (2, 3) and piece.endswith("# "):
+                parts.append("'" + piece[:-2].replace("'", "''") + "'")
+                parts.append(gone)
+            else:
+                parts.append("'" + piece.replace("'", "''") + "'")
+                parts.append("said")
+        sql = " || ".join(parts[:-1]).replace("@", "' || name || '")
+        for sign, number in (("\n", 10), ("\r", 13), ("\t", 9)):
+            sql = sql.replace(sign, f"' || chr({number}) || '")
+        out.append(f"WHEN {k} THEN {sql}")
+    return f"CASE p {' '.join(out)} END"
+
+
+@query("code_without_comments", f"WITH {_TURNS} SELECT path, {_text_of(_PYTHON, True)} AS text FROM t")
 def code_without_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.without_comments(_code(spark, sf_dir, _PYTHON))
+    return readers.without_comments(_python(spark, sf_dir))
 
 
-@query("code_indentation", "SELECT CAST(c_custkey AS VARCHAR) AS path, 4 AS width FROM customer")
+@query(
+    "code_indentation",
+    f"""WITH {_TURNS}, l AS (SELECT path, unnest(string_split({_text_of(_PYTHON, False)}, chr(10))) AS line FROM t), w AS (SELECT path, length(regexp_extract(line, '^( +)[^ ]', 1)) AS w FROM l WHERE regexp_matches(line, '^ +[^ ]')),
+    n AS (SELECT path, w, count(*) AS n FROM w GROUP BY path, w) SELECT t.path, CAST(coalesce(arg_max(w, (n, -w)), 0) AS INTEGER) AS width FROM t LEFT JOIN n ON n.path = t.path GROUP BY t.path""",
+)
 def code_indentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.indentation(_code(spark, sf_dir, _PYTHON))
+    return readers.indentation(_python(spark, sf_dir))
 
 
-@query("js_declarations", "SELECT CAST(c_custkey AS VARCHAR) AS path, 'v' || c_custkey AS name, 1 AS line FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'c', 3 FROM customer")
+@query(
+    "js_declarations",
+    f"""WITH {_TURNS} SELECT path, name, 1 AS line FROM t WHERE j < 3 UNION ALL SELECT path, 'c', 3 FROM t WHERE j = 0 UNION ALL SELECT path, '$x_y', 2 FROM t WHERE j = 1 UNION ALL SELECT path, name, 3 FROM t WHERE j = 3""",
+)
 def js_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function without an equals sign in its line is no declaration."""
-    return readers.js_units(_code(spark, sf_dir, _JS))
+    return readers.js_units(_filled(_turns(spark, sf_dir), _JS, "j"))
 
 
 @query("version_rollback", "SELECT user_id, CASE WHEN user_id % 3 = 0 THEN min(event_id) ELSE first(event_id ORDER BY ts DESC, event_id DESC) END AS version, user_id % 3 = 0 AS rolled_back FROM events GROUP BY user_id")

@@ -332,10 +332,18 @@ def region_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.with_parent_weights(k, own, "key").select("c_custkey", F.round("weight", 6).alias("weight"), "source")
 
 
-@query("isotonic_calibration")
+@query(
+    "isotonic_calibration",
+    """WITH e AS (SELECT event_id, least(value / 100, 1) AS x, list({'x': least(value / 100, 1), 'y': CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS w FROM events),
+    s AS (SELECT event_id, x, len(w) AS n, list_sort(w) AS w FROM e),
+    f AS (SELECT event_id, x, n, [p.x FOR p IN w] AS xs, [coalesce(list_sum([p.y FOR p IN w[1:i]]), 0) FOR i IN range(0, n + 1)] AS c FROM s),
+    pl AS (SELECT event_id, x, n, c, xs, len([1 FOR v IN xs IF v < x]) + 1 AS k FROM f)
+    SELECT event_id, round(CASE WHEN n < 10 THEN x ELSE list_max([list_min([(c[b + 1] - c[a]) / (b - a + 1) FOR b IN range(k, n + 1) IF b = n OR xs[b + 1] <> xs[b]]) FOR a IN range(1, k + 1) IF a = 1 OR xs[a - 1] <> xs[a]]) END, 9) AS calibrated FROM pl""",
+)
 def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") / 100).alias("score"), (F.col("event_id") % 3 == 0).cast("double").alias("label"))
-    return learning.isotonic(series.fifo(t, "user_id", [F.desc("ts"), F.desc("event_id")]), "score", "label", t).select("event_id", "calibrated")
+    """Each event's value as a chance, by the isotonic fit of its user's last hundred events."""
+    t = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), (F.col("event_id") % 3 == 0).cast("double").alias("label"))
+    return learning.recalibrated(t, "user_id", ["ts", "event_id"], "score", "label").select("event_id", F.round("calibrated", 9).alias("calibrated"))
 
 
 @query("train_per_key")

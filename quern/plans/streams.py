@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import learning
 from quern.registry import query
+from quern.session import new_folder
+from quern.sources.model_store import ModelStore
 from quern.streaming import jobs
 
+from .tables import table
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.events(spark, f"{sf_dir}/events.parquet")
@@ -105,3 +110,104 @@ _NEAREST = "CASE WHEN k <= 3 THEN k - 1 WHEN abs(v - c0) <= abs(v - c1) AND abs(
 def stream_online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _last(jobs.drain(jobs.online_kmeans(_events(spark, sf_dir)), "update"), ["user_id"])
     return last.select("user_id", "n", *[F.round(F.get("centres", F.lit(i)), 6).alias(f"c{i}") for i in range(3)])
+
+
+_SIZE, _WAIT, _REST = 8, 172_800, 216_000
+
+
+@query(
+    "stream_scheduled_training",
+    f"""WITH RECURSIVE t AS (SELECT user_id, event_id, value, epoch_us(ts) AS us FROM events),
+    g AS (SELECT *, row_number() OVER u AS k, CASE WHEN us - lag(us) OVER u >= {_REST}000000 THEN 1 ELSE 0 END AS cut FROM t WINDOW u AS (PARTITION BY user_id ORDER BY us, event_id)),
+    s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY user_id ORDER BY k) AS BIGINT) AS life FROM g),
+    e AS (SELECT *, avg(CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id, life ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0.5 AS drift, min(us) OVER (PARTITION BY user_id, life) AS since FROM s),
+    p AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS life, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS first_id, CAST(0 AS BIGINT) AS last_id, CAST(0 AS BIGINT) AS last, false AS drift, false AS e1, false AS e2, CAST(0 AS BIGINT) AS n2 FROM t
+      UNION ALL SELECT user_id, k, life, since, CASE WHEN e2 THEN batch0 + 1 ELSE batch0 END, CASE WHEN e2 THEN 0 ELSE n2 END, first2, event_id, CASE WHEN e2 THEN us ELSE last0 END, drift, e1, e2, n2
+      FROM (SELECT *, NOT drift AND (n2 >= {_SIZE} OR us - last0 >= {_WAIT}000000) AS e2 FROM (SELECT *, n0 + 1 AS n2, CASE WHEN n0 = 0 THEN event_id ELSE first_id END AS first2 FROM (
+        SELECT *, CASE WHEN fresh OR e1 THEN 0 ELSE n END AS n0, CASE WHEN fresh THEN 0 WHEN e1 THEN batch + 1 ELSE batch END AS batch0, CASE WHEN fresh THEN us WHEN e1 THEN last + {_WAIT}000000 ELSE last END AS last0 FROM (
+          SELECT e.user_id, e.k, e.life, e.since, e.event_id, e.us, e.drift, p.batch, p.n, p.first_id, p.last, e.life <> p.life AS fresh, p.n > 0 AND NOT p.drift AND p.last + {_WAIT}000000 <= e.us AS e1
+          FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1))))),
+    l AS (SELECT *, lag(since) OVER u AS since_, lag(batch) OVER u AS batch_, lag(n) OVER u AS n_, lag(first_id) OVER u AS first_, lag(last_id) OVER u AS last_id_, lag(last) OVER u AS last_, k = max(k) OVER (PARTITION BY user_id) AS final FROM p WINDOW u AS (PARTITION BY user_id ORDER BY k))
+    SELECT user_id, since_ AS since, batch_ AS batch, n_ AS n, first_ AS first_id, last_id_ AS last_id, last_ + {_WAIT}000000 AS at, 'time' AS reason FROM l WHERE e1
+    UNION ALL SELECT user_id, since, batch - 1, n2, first_id, last_id, last, CASE WHEN n2 >= {_SIZE} THEN 'count' ELSE 'time' END FROM l WHERE e2
+    UNION ALL SELECT user_id, since, batch, n, first_id, last_id, last + {_WAIT}000000, 'time' FROM l WHERE final AND n > 0 AND NOT drift AND last + {_WAIT}000000 < (SELECT max(us) - 600000000 FROM t)""",
+)
+def stream_scheduled_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trainings by number and by time, with timers; none while a user's values drift."""
+    return jobs.drain(jobs.scheduled_training(_events(spark, sf_dir), 60.0, _SIZE, _WAIT, _REST, threshold=0.5))
+
+
+_HALF = 0.25
+
+
+@query(
+    "stream_decaying_pairs",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+    p AS (
+      SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS us, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS ends, false AS fell FROM e
+      UNION ALL SELECT user_id, event_type, k, event_id, us, score, us + CAST(ceil({_HALF * 86_400e6} * log2(score / 0.01)) AS BIGINT), fell
+      FROM (SELECT e.user_id, e.event_type, e.k, e.event_id, e.us, p.k > 0 AND p.ends <= e.us AS fell, CASE WHEN p.k = 0 OR p.ends <= e.us THEN 1.0 ELSE p.score * pow(2.0, (p.us - e.us) / {_HALF * 86_400e6}) + 1.0 END AS score
+        FROM p JOIN e ON e.user_id = p.user_id AND e.event_type = p.event_type AND e.k = p.k + 1)),
+    l AS (SELECT *, lag(ends) OVER u AS ended, k = max(k) OVER (PARTITION BY user_id, event_type) AS final FROM p WINDOW u AS (PARTITION BY user_id, event_type ORDER BY k))
+    SELECT user_id, event_type, event_id, us AS at, round(score, 6) AS score FROM l WHERE k > 0
+    UNION ALL SELECT user_id, event_type, NULL, ended, 0.0 FROM l WHERE fell
+    UNION ALL SELECT user_id, event_type, NULL, ends, 0.0 FROM l WHERE final AND ends < (SELECT max(us) - 600000000 FROM e)""",
+)
+def stream_decaying_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of pairs that halve in six hours, and when each falls below a hundredth and is forgotten."""
+    rows = jobs.drain(jobs.decaying_pairs(_events(spark, sf_dir), _HALF))
+    return rows.select("user_id", "event_type", "event_id", "at", F.round("score", 6).alias("score"))
+
+
+_CLASSES, _DIM = 3, 2
+
+
+def _samples(spark: SparkSession, sf_dir: str, dim: int | None = _DIM) -> DataFrame:
+    """(key, id, x, label): a stream of vectors, or of their first components; a stream takes a glob for a plain path."""
+    rows = spark.readStream.schema("vec_id bigint, embedding array<float>, label int").parquet(f"{sf_dir}/embeddings.parquet*")
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return rows.select((F.col("vec_id") % 4).alias("key"), F.col("vec_id").alias("id"), (x if dim is None else F.slice(x, 1, dim)).alias("x"), (F.col("label") % _CLASSES).alias("label"))
+
+
+def _z(c: int) -> str:
+    """SQL of a class's margin for a sample r; weights are one list, each class's bias last."""
+    at = c * (_DIM + 1)
+    return " + ".join([*(f"p.w[{at + d + 1}] * r.x{d}" for d in range(_DIM)), f"p.w[{at + _DIM + 1}]"])
+
+
+_GRADIENT = ", ".join(
+    f"p.w[{c * (_DIM + 1) + d + 1}] + 0.5 * list_sum([((CASE WHEN r.z = {c} THEN 1.0 ELSE 0.0 END) - 1 / (1 + exp(-({_z(c)})))) * {'r.x%d' % d if d < _DIM else '1.0'} FOR r IN b.s]) / 10" for c in range(_CLASSES) for d in range(_DIM + 1)
+)
+_LEARNT = f"""v AS (SELECT vec_id % 4 AS key, vec_id AS id, {", ".join(f"CAST(embedding[{d + 1}] AS DOUBLE) AS x{d}" for d in range(_DIM))}, label % {_CLASSES} AS z, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS rn FROM embeddings),
+    b AS (SELECT key, rn // 10 AS k, list({{'z': z, {", ".join(f"'x{d}': x{d}" for d in range(_DIM))}}} ORDER BY id) AS s FROM v GROUP BY key, rn // 10 HAVING count(*) = 10),
+    p AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, [CAST(0 AS DOUBLE) FOR i IN range(0, {_CLASSES * (_DIM + 1)})] AS w FROM v
+      UNION ALL SELECT p.key, p.k + 1, [{_GRADIENT}] FROM p JOIN b ON b.key = p.key AND b.k = p.k),
+    m AS (SELECT * FROM p QUALIFY k = max(k) OVER (PARTITION BY key))"""
+
+
+def _learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last(jobs.drain(jobs.online_classifier(_samples(spark, sf_dir), "logistic", _CLASSES), "update"), ["key"])
+
+
+@query("stream_classifier", f"WITH RECURSIVE {_LEARNT} SELECT key, k * 10 AS n, CAST(c AS INTEGER) AS class, {', '.join(f'round(w[c * {_DIM + 1} + {d + 1}], 6) AS w{d}' for d in range(_DIM))}, round(w[c * {_DIM + 1} + {_DIM + 1}], 6) AS b FROM m, (SELECT unnest(range(0, {_CLASSES})) AS c)")
+def stream_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of three classes over the first two components of vectors, a model a key, a row a class."""
+    own = _learnt(spark, sf_dir).select("key", "n", "bias", F.posexplode("weights").alias("class", "w"))
+    return own.select("key", "n", "class", *[F.round(F.col("w")[d], 6).alias(f"w{d}") for d in range(_DIM)], F.round(F.get("bias", F.col("class")), 6).alias("b"))
+
+
+_PROBA = ", ".join(f"1 / (1 + exp(-({_z(c)})))" for c in range(_CLASSES))
+
+
+@query(
+    "stored_model_predictions",
+    f"WITH RECURSIVE {_LEARNT}, q AS (SELECT r.id, r.key, [{_PROBA}] AS s FROM v r JOIN m p ON p.key = r.key) SELECT id, key, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS label, {', '.join(f'round(s[{c + 1}] / list_sum(s), 6) AS p{c}' for c in range(_CLASSES))} FROM q",
+)
+def stored_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same models saved, loaded again and asked about all vectors."""
+    store = ModelStore(spark, new_folder(spark, "models"))
+    store.save(_learnt(spark, sf_dir))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("key"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, _DIM), lambda v: v.cast("double")).alias("x"))
+    out = learning.predicted(store.load(), rows)
+    return out.select("id", "key", "label", *[F.round(F.col("proba")[c], 6).alias(f"p{c}") for c in range(_CLASSES)])

@@ -192,10 +192,30 @@ def test_votes_and_blends(spark):
     assert {(r.k, r.label): r.blended for r in learning.blend(proba, scores, "k").collect()} == {("a", 0): 0.75, ("a", 1): 0.25, ("b", 0): 1.0}
 
 
-def test_isotonic_is_monotone(spark):
-    t = spark.createDataFrame([(i, i / 20, float(i % 3 == 0 or i > 12)) for i in range(20)], "i int, score double, label double")
-    got = [r.calibrated for r in learning.isotonic(t, "score", "label", t).orderBy("score").collect()]
-    assert got == sorted(got)
+def pooled(pairs, at):
+    """The isotonic fit at one of the x, by pooling neighbours again and again."""
+    by = {}
+    for x, y in pairs:
+        by.setdefault(x, []).append(y)
+    blocks = [[sum(v), len(v), [x]] for x, v in sorted(by.items())]
+    while (k := next((i for i in range(len(blocks) - 1) if blocks[i][0] / blocks[i][1] > blocks[i + 1][0] / blocks[i + 1][1]), None)) is not None:
+        blocks[k : k + 2] = [[a + b for a, b in zip(blocks[k], blocks[k + 1], strict=True)]]
+    return next(s / n for s, n, xs in blocks if at in xs)
+
+
+def test_each_row_is_calibrated_by_the_last_rows_of_its_key(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(k, i, rnd.randrange(30) / 30, float(rnd.random() < 0.5)) for k in "ab" for i in range(60)] + [("a", 60, None, 1.0), ("a", 61, 0.5, None), ("c", 1, 0.7, 1.0)]
+    t = spark.createDataFrame(rows, "k string, i int, score double, label double")
+    got = {(r.k, r.i): r.calibrated for r in learning.recalibrated(t, "k", ["i"], "score", "label", window=25, least=10).collect()}
+    want = {}
+    for k, i, s, y in rows:
+        held = [(a, b) for q, j, a, b in rows if q == k and j <= i and a is not None and b is not None][-25:]
+        if s is not None and y is not None:
+            want[k, i] = s if len(held) < 10 else pooled(held, s)
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
 
 
 def test_train_per_key_is_gradient_descent_without_python(spark):
