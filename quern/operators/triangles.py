@@ -81,7 +81,7 @@ def triangulated(stations: DataFrame, key: str, value: str) -> DataFrame:
         lo = p.min(0)
         cells = lambda c, o: [list(range(int((a - o) // step), int((b - o) // step) + 1)) for a, b in zip(c.min(1), c.max(1), strict=True)]
         columns = {f"{n}{i}": c[:, i] for i in range(3) for n, c in (("x", x), ("y", y), ("v", v[t]))}
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "t": range(len(t)), **columns, "ox": lo[0], "oy": lo[1], "step": step, "cx": cells(x, lo[0]), "cy": cells(y, lo[1])})
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "t": range(len(t)), **columns, "ox": lo[0], "oy": lo[1], "step": step, "cx": pd.Series(cells(x, lo[0]), dtype=object), "cy": pd.Series(cells(y, lo[1]), dtype=object)})
 
     own = stations.select(F.col(key).cast("bigint").alias("k"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col(value).cast("double").alias("v")).dropna()
     own = own.groupBy("k", "lon", "lat").agg(F.avg("v").alias("v"))
