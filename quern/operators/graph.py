@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import checkpoint
+
 
 def traverse(relations: DataFrame, start: DataFrame, depth: int = 1, most: int = 50) -> DataFrame:
     """(start, relation_id, near, far, hop) reached from (start): hops 0 to depth (3 at most), each relation once, at its first hop, the first by hop and id up to most.
@@ -20,7 +22,8 @@ def traverse(relations: DataFrame, start: DataFrame, depth: int = 1, most: int =
         if found is not None:
             step = step.join(found.select("start", "relation_id"), ["start", "relation_id"], "left_anti")
         # More than most of one hop can't be among the first; where so many are found, no hop beyond is, either.
-        step = step.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+        # Stored: each hop is read by the next one, by the search for what was met before, and by the result.
+        step = checkpoint(step.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n"))
         found = step if found is None else found.unionByName(step)
         full = found.groupBy("start").agg(F.count("*").alias("_k")).where(F.col("_k") >= most).select("start")
         frontier = step.select("start", F.col("far").alias("near")).distinct().join(full, "start", "left_anti")

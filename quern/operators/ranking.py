@@ -152,6 +152,12 @@ def diverse(hits: DataFrame, group: str = "revision_id", most: int = 3) -> DataF
     return hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
+def containing(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): of rows (id, text, score) those whose text contains a query (query_id, query) whatever its case, the k best by score, ties by id. A blank query is in no text."""
+    asked = queries.where(F.trim("query") != "").select("query_id", F.lower("query").alias("query"))
+    return against_all(rows.withColumn("text", F.lower("text")), asked, lambda both: top(both.where(F.col("text").contains(F.col("query"))).select("query_id", "id", "score"), k))
+
+
 def tiers(hits: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     """Authoritative hits first, then candidates (query_id, id, state, score): verified x 0.8, supported x 0.4, others x 0.1, rejected left out."""
     weight = F.when(F.col("state") == "verified", 0.8).when(F.col("state") == "supported", 0.4).otherwise(0.1)

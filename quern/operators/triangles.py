@@ -79,7 +79,7 @@ def triangulated(stations: DataFrame, key: str, value: str) -> DataFrame:
         x, y = p[t][:, :, 0], p[t][:, :, 1]
         step = max(float(np.ptp(p, axis=0).max()), 1e-9) / max(1, round(len(p) ** 0.5))
         lo = p.min(0)
-        cells = lambda c, o: [list(range(int((a - o) // step), int((b - o) // step) + 1)) for a, b in zip(c.min(1), c.max(1), strict=True)]
+        cells = lambda c, o: [list(range(int(np.floor((a - o) / step)), int(np.floor((b - o) / step)) + 1)) for a, b in zip(c.min(1), c.max(1), strict=True)]
         columns = {f"{n}{i}": c[:, i] for i in range(3) for n, c in (("x", x), ("y", y), ("v", v[t]))}
         return pd.DataFrame({"k": pdf["k"].iloc[0], "t": range(len(t)), **columns, "ox": lo[0], "oy": lo[1], "step": step, "cx": pd.Series(cells(x, lo[0]), dtype=object), "cy": pd.Series(cells(y, lo[1]), dtype=object)})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import series, spatial
 from quern.registry import query
+from quern.session import new_folder
 from quern.sources import readers
 
 from .tables import table
@@ -118,3 +119,32 @@ def scene_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_nationkey").cast("double")
     box = F.when(F.col("c_custkey") % 3 == 0, F.array(n, n * 2, n + 1, n * 2 + 1)).when(F.col("c_custkey") % 3 == 1, F.array(n, n, n))
     return spatial.registered(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scene_id"), box.alias("bbox")))
+
+
+@query(
+    "benchmark_items",
+    "SELECT text AS query, CAST(item_id AS VARCHAR) AS gold, CASE WHEN item_id % 2 = 0 THEN text END AS reference_answer, item_id % 3 = 0 AS expected_abstain, CAST(length(text) AS VARCHAR) AS size FROM benchmark",
+)
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items written as JSON lines, with a blank one behind each, and read back."""
+    k = F.col("item_id")
+    item = F.struct(F.col("text").alias("query"), F.array(k.cast("string")).alias("gold_ids"), F.when(k % 2 == 0, F.col("text")).alias("reference_answer"), (k % 3 == 0).alias("expected_abstain"), F.create_map(F.lit("size"), F.length("text").cast("string")).alias("metadata"))
+    to = new_folder(spark, "benchmark")
+    table(spark, sf_dir, "benchmark").select(F.concat(F.to_json(item), F.lit("\n")).alias("value")).write.text(to)
+    return readers.benchmark(spark, to).select("query", F.array_join("gold_ids", ",").alias("gold"), "reference_answer", "expected_abstain", F.col("metadata")["size"].alias("size"))
+
+
+@query(
+    "weather_samples",
+    "SELECT CAST(user_id AS DOUBLE) AS relative_humidity_2m, date_trunc('second', ts) AS time, value AS temperature_2m, value * 2 AS wind_speed_10m, CASE WHEN event_id % 5 > 0 THEN CAST(event_id AS DOUBLE) END AS surface_pressure FROM events",
+)
+def weather_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as a weather table in CSV, some values missing, and read back."""
+    e = F.col("event_id").cast("double")
+    rows = table(spark, sf_dir, "events").select(
+        F.date_trunc("second", "ts").cast("timestamp").alias("time"), F.col("value").alias("temperature_2m"), F.col("user_id").cast("double").alias("relative_humidity_2m"), (F.col("value") * 2).alias("wind_speed_10m"),
+        F.when(F.col("event_id") % 5 > 0, e).alias("surface_pressure"), e.alias("shortwave_radiation"), e.alias("et0_fao_evapotranspiration"),
+    )
+    to = new_folder(spark, "weather")
+    rows.write.option("header", "true").csv(to)
+    return readers.weather(spark, to).select("relative_humidity_2m", F.col("time").cast("timestamp_ntz").alias("time"), "temperature_2m", "wind_speed_10m", "surface_pressure")

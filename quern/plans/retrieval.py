@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.expr import terms, trigrams
-from quern.operators import chunking, corpus, ranking
+from quern.operators import chunking, corpus, feedback, ranking
 from quern.registry import query
 
 from .tables import QUESTIONS, questions, table
@@ -247,6 +247,21 @@ def candidate_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "tier", "rank")
 
 
+@query(
+    "candidate_search",
+    """WITH c AS (SELECT d.doc_id AS id, lower(text) AS text, CASE WHEN quality = 1 AND toxic = 0 THEN 'verified' WHEN quality = 1 THEN 'supported' WHEN toxic = 1 THEN 'rejected' ELSE 'proposed' END AS state FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+    m AS (SELECT item_id AS query_id, id, state, CASE state WHEN 'verified' THEN 0.8 WHEN 'supported' THEN 0.4 ELSE 0.1 END AS score FROM benchmark b JOIN c ON contains(c.text, lower(b.text)) WHERE state <> 'rejected' AND trim(b.text) <> '')
+    SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""",
+)
+def candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates' own search: labelled documents that contain a benchmark item, by the weight of their state; rejected ones are left out."""
+    state = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "verified").when(F.col("quality") == 1, "supported").when(F.col("toxic") == 1, "rejected").otherwise("proposed")
+    marks = table(spark, sf_dir, "labels").select("doc_id", state.alias("state")).where("state <> 'rejected'")
+    rows = table(spark, sf_dir, "documents").join(marks, "doc_id").select(F.col("doc_id").alias("id"), "text", feedback.weight_of(F.col("state")).alias("score"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return ranking.containing(rows, asked, 20).select("query_id", "id", "score", "rank")
+
+
 @query("diversity_cap", f"WITH {QUESTIONS}, {_BM25}, dv AS (SELECT br.*, source AS revision_id, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, id) AS n FROM br JOIN documents ON doc_id = id WHERE rank < 50) SELECT query_id, id, revision_id, CAST(rank AS INTEGER) AS rank FROM dv WHERE n <= 3")
 def diversity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
