@@ -99,8 +99,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Equal rows (one doc_id and text) are one document: the place of its first span is the same in each.
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "first")
     firsts = store(found.groupBy("high", "low").agg(F.min(place).alias("at")), "firsts")
-    later = found.join(firsts, ["high", "low"]).where(place != F.col("at")).select("doc_id", "row", F.explode(F.expr("sequence(first, first + n - 1)")).alias("s")).distinct()
-    return later.groupBy("doc_id", "row").agg(F.collect_set("s").alias("cut"))
+    later = found.join(firsts, ["high", "low"]).where(place != F.col("at"))
+    # A document's spans come together as they are, two a sentence at most, and only then are sentences counted out.
+    own = later.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    return own.select("doc_id", "row", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))).alias("cut"))
 
 
 def _without(text: str, cut: set[int]) -> str:
