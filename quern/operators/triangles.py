@@ -103,8 +103,9 @@ def linear(px: DataFrame, stations: DataFrame, key: str, value: str, id_: str =
     cells = own.join(sized(grids)(grids), "k").select("k", id_, "lon", "lat", F.floor((F.col("lon") - F.col("ox")) / F.col("step")).cast("int").alias("cx"), F.floor((F.col("lat") - F.col("oy")) / F.col("step")).cast("int").alias("cy"))
     spread = tri.select("k", "t", *[f"{n}{i}" for i in range(3) for n in "xyv"], F.explode("cx").alias("cx"), "cy").withColumn("cy", F.explode("cy"))
     met = cells.join(sized(spread)(spread), ["k", "cx", "cy"])
+    # A triangle without area, which points on a line may make, holds no point.
     whole = "((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))"
-    met = met.withColumn("w1", F.expr(f"((lon - x0) * (y2 - y0) - (lat - y0) * (x2 - x0)) / {whole}")).withColumn("w2", F.expr(f"((x1 - x0) * (lat - y0) - (y1 - y0) * (lon - x0)) / {whole}"))
+    met = met.withColumn("w1", F.expr(f"try_divide((lon - x0) * (y2 - y0) - (lat - y0) * (x2 - x0), {whole})")).withColumn("w2", F.expr(f"try_divide((x1 - x0) * (lat - y0) - (y1 - y0) * (lon - x0), {whole})"))
     met = met.where((F.col("w1") >= -HAIR) & (F.col("w2") >= -HAIR) & (F.col("w1") + F.col("w2") <= 1 + HAIR))
     inside = met.groupBy("k", id_).agg(F.min_by(F.expr("v0 + w1 * (v1 - v0) + w2 * (v2 - v0)"), "t").alias("_in"))
     inside = checkpoint(inside)
