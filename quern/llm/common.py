@@ -101,7 +101,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: what follows neither repeats the work nor loses it with an executor."""
     to = scratch(df.sparkSession, name)
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    out = df.sparkSession.read.schema(df.schema).parquet(to)
+    out._quern_path = to
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete an intermediate table that store() has given, once all that was made of it is stored itself."""
+    spark, to = df.sparkSession, df._quern_path
+    _STORED[spark.sparkContext.applicationId].remove(to)
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _STORED: dict[str, list[str]] = {}

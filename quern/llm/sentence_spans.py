@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, free_name, mix, rows_of, store, words_of
+from .common import WordHashes, discard, free_name, mix, rows_of, store, words_of
 
 #: Words of a span at least, so that a line of a licence or a greeting isn't one.
 LEAST_WORDS = 20
@@ -92,10 +92,11 @@ def all_spans(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, row, cut): for each text with sentences to be removed their numbers."""
-    found = store(all_spans(docs), "spans")
+    spans_ = store(all_spans(docs), "spans")
     # Most spans occur once. Counts alone find the others, so places of spans are compared only where there are several.
-    often = store(found.groupBy("high", "low").count().where("count > 1").select("high", "low"), "repeated")
-    found = store(found.join(often, ["high", "low"], "left_semi"), "occurrences")
+    often = store(spans_.groupBy("high", "low").count().where("count > 1").select("high", "low"), "repeated")
+    found = store(spans_.join(often, ["high", "low"], "left_semi"), "occurrences")
+    discard(spans_)  # about as large as the texts; nothing reads it any more
     # Equal rows (one doc_id and text) are one document: the place of its first span is the same in each.
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "first")
     firsts = store(found.groupBy("high", "low").agg(F.min(place).alias("at")), "firsts")

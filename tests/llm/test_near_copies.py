@@ -1,3 +1,4 @@
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 
 from quern.llm import order_minhash as O
 from quern.llm import projection_forest as R
-from quern.llm.common import WordHashes, connected_components, release, store, words_of
+from quern.llm.common import WordHashes, connected_components, discard, release, store, words_of
 
 from ..compare import DATA, same
 from .helpers import documents, long_text
@@ -36,7 +37,10 @@ def test_components(spark):
 
 def test_stored_tables_can_be_released(spark):
     table = store(spark.range(5).toDF("n"), "some")
-    assert table.count() == 5 and release(spark) >= 1 and release(spark) == 0
+    other = store(spark.range(3).toDF("n"), "other")
+    discard(table)
+    assert other.count() == 3 and not os.path.exists(table._quern_path) and release(spark) >= 1 and release(spark) == 0
+    assert not os.path.exists(other._quern_path)
 
 
 @settings(max_examples=60, deadline=None)
