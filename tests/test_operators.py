@@ -265,3 +265,42 @@ def test_regions_of_far_columns_stay_apart(spark):
     px = spark.createDataFrame([("s", 0, 1_000_000, 1), ("s", 1, 0, 1), ("s", 1, 1, 1), ("s", 2, 0, 1), ("s", 2, 5, None)], "scene_id string, y int, x int, class int")
     got = rows(raster.regions(px, "class").groupBy("region").count(), "region")
     assert [n for _, n in got] == [1, 3]
+
+
+def test_neither_texts_nor_counts_are_shuffled_for_trigrams(spark, tmp_path):
+    spark.createDataFrame([(i, f"some text of number {i} and more") for i in range(50)], "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    asked = docs.where("doc_id % 10 = 0").selectExpr("doc_id AS query_id", "text AS query")
+    plan = ranking.trigram_cosine(docs, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("query_id" in line.split("hashpartitioning(")[1] for line in dealt)
+
+
+def test_texts_that_contain_a_query(spark):
+    docs = spark.createDataFrame([(1, "A Big House", 0.4), (2, "the big house.", 0.8), (3, "big  house", 0.8), (4, None, 0.8), (5, "my big house", 0.8)], "id bigint, text string, score double")
+    asked = spark.createDataFrame([(1, "big HOUSE"), (2, " "), (3, None), (4, "none")], "query_id bigint, query string")
+    assert [(r.query_id, r.id, r["rank"]) for r in ranking.containing(docs, asked, 2).orderBy("query_id", "rank").collect()] == [(1, 2, 0), (1, 5, 1)]
+
+
+def test_greedy_lines_of_long_texts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    monkeypatch.setattr(chunking, "LINES", 7)
+    texts = [(i, "\n".join("x" * rng.choice([0, 1, 3, 8, 40, 90]) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(0, 200)))) for i in range(20)] + [(50, None), (51, ""), (52, "x" * 500)]
+    want = []
+    for k, t in texts:
+        held, total, n = [], 0, 0
+        for line in ((t or "").split("\n")):
+            if not (line := line.strip()):
+                continue
+            cost = max(1, len(line) // 4)
+            if held and total + cost > 30:
+                want.append((k, n, "\n".join(held), total))
+                held, total, n = [], 0, n + 1
+            held.append(line)
+            total += cost
+        if held:
+            want.append((k, n, "\n".join(held), total))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert sorted(map(tuple, chunking.greedy_lines(docs, size=30).collect())) == sorted(want)
