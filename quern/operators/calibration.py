@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.energy import LATENT
 from quern.functions.expr import clip
 from quern.operators.quantiles import quantiles
+from quern.operators.raster import beside
 from quern.session import checkpoint
 
 #: Relaxation levels, in steps of a quarter; each moves a percentile by ten times its size.
@@ -33,7 +34,7 @@ def anchors(px: DataFrame, cluster: int = CLUSTER) -> DataFrame:
     r = lambda c: F.round(c, 6)  # noqa: E731  percentiles carry noise in their last digits
     cuts = cuts.select("scene_id", *[F.transform(c, r).alias(c) for c in cuts.columns[1:]])
     # Bounds widen with the level, so a pixel is a candidate from some level on: the first at which both of its values pass.
-    d = px.join(cuts, "scene_id").withColumns({"_t": r("lst"), "_v": r("ndvi")})
+    d = beside(px, cuts, "scene_id").withColumns({"_t": r("lst"), "_v": r("ndvi")})
     fails = lambda bounds, bad: F.size(F.filter(bounds, bad))
     cold = F.greatest(fails("_tc", lambda x: x < F.col("_t")), fails("_nc", lambda x: x > F.col("_v")))
     hot = F.greatest(fails("_th", lambda x: x > F.col("_t")), fails("_nh", lambda x: x < F.col("_v")))
@@ -47,7 +48,7 @@ def anchors(px: DataFrame, cluster: int = CLUSTER) -> DataFrame:
     first = F.array_position(F.transform("_n", lambda x: (x["c"] >= ENOUGH) & (x["h"] >= ENOUGH)), True).cast("int")
     level = F.when(first > 0, first - 1).otherwise(len(LEVELS) - 1)
     counts = counts.select("scene_id", level.alias("level"), F.get("_n", level).alias("_k"))
-    d = d.join(counts, "scene_id").where(F.col("from") <= F.col("level"))
+    d = beside(d, counts, "scene_id").where(F.col("from") <= F.col("level"))
     order = Window.partitionBy("scene_id", "kind").orderBy(F.when(F.col("kind") == "cold", F.col("_t")).otherwise(-F.col("_t")), "y", "x")
     # The constant bound cuts each task's rows before the shuffle.
     d = d.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cluster).where(F.col("_r") <= F.least("_k.c", "_k.h"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.raster import TILE, haloed
+from quern.operators.raster import TILE, beside, haloed
 
 
 def snap(x: Column, origin: float, step: float) -> Column:
@@ -48,7 +48,7 @@ def interpolated(px: DataFrame, band: str, step: float, kernel: str = "bilinear"
     """
     reach = _REACH[kernel]
     ends = px.groupBy("scene_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
-    tiled = haloed(px.where(F.col(band).isNotNull()).select("scene_id", "y", "x", F.col(band).cast("double").alias("_v")).join(ends, "scene_id"), reach)
+    tiled = haloed(beside(px.where(F.col(band).isNotNull()).select("scene_id", "y", "x", F.col(band).cast("double").alias("_v")), ends, "scene_id"), reach)
     first = lambda c: F.ceil((F.col(c) - reach + 0.5) / step - 0.5).cast("bigint")
     last = lambda c: F.floor((F.col(c) + reach + 0.5) / step - 0.5).cast("bigint")
     to = lambda c: F.explode(F.when(first(c) <= last(c), F.sequence(first(c), last(c))))

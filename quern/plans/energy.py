@@ -363,7 +363,7 @@ _MORE = ["white", "broadband", "greenhouse", "dt_lin", "dt_emp", "stress"]
 )
 def surface_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = balance(pixels(spark, sf_dir))
-    d = d.join(d.groupBy("scene_id").agg(F.max("lwir11").alias("top")), "scene_id")
+    d = raster.beside(d, d.groupBy("scene_id").agg(F.max("lwir11").alias("top")), "scene_id")
     cover = F.element_at(F.array(*map(F.lit, ("water", "forest", "crops", "unknown", "bare_soil"))), (F.col("y") % 5 + 1).cast("int"))
     d = d.withColumns({
         "white": G.hemispherical_albedo(F.col("albedo")), "broadband": G.broadband_emissivity(F.col("lwir11"), F.col("top")), "greenhouse": E.greenhouse(F.col("up"), F.col("emissivity")),
