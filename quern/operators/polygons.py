@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators import raster
+from quern.operators import lattice, raster
+from quern.operators.ranking import sized
 from quern.session import checkpoint
 
 _KEY = ["scene_id", "region"]
@@ -84,14 +89,37 @@ def numbered(chain: DataFrame) -> DataFrame:
     return rank.select(*_KEY, "id", "ring", "rank")
 
 
+#: Pixels of a region up to which its rings are found within a task.
+SMALL = 20_000
+
+
 def rings(px: DataFrame, cls: str) -> DataFrame:
     """(scene_id, class, region, ring, hole, area, length, points) of the borders of all 4-connected regions of a class.
 
     region: the smallest pixel number in it; area: in pixels, negative for holes; points: the corners in order, as
     struct<px, py>, with the region on the right hand as one goes, without the first one again at the end. Pixels without a
-    class belong to no region. A ring is one row, whatever its length; nothing else of a region comes together.
+    class belong to no region. Regions of up to SMALL pixels are dealt out whole, so their pixels move once; of a larger one
+    sides are joined by pointers, and only a ring comes together, as one row.
     """
     own = checkpoint(raster.regions(px, cls))
+    large = checkpoint(own.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*_KEY))
+    few = sized(large)
+    dealt = own.join(few(large), _KEY, "left_anti").select(*_KEY, "y", "x", F.col(cls).alias("class")).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    kind = f"scene_id {own.schema['scene_id'].dataType.simpleString()}, class {own.schema[cls].dataType.simpleString()}, region bigint, ring bigint, hole boolean, area double, length bigint, points array<struct<px:double,py:double>>"
+    small = dealt.mapInArrow(_rings_of_whole, kind)
+    return small if large.isEmpty() else small.unionByName(_rings_by_pointers(own.join(few(large), _KEY, "left_semi"), cls))
+
+
+def _rings_of_whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in lattice.whole(parts, _KEY):
+        r = lattice.rings(lattice.codes(t, *_KEY), t.column("y").to_numpy(), t.column("x").to_numpy())
+        own = t.take(pa.array(r["at"]))
+        points = pa.ListArray.from_arrays(np.append(0, np.cumsum(r["corners"])).astype(np.int32), pa.StructArray.from_arrays([r["px"], r["py"]], ["px", "py"]))
+        columns = [*(own.column(c).combine_chunks() for c in ("scene_id", "class", "region")), r["ring"], r["twice"] < 0, r["twice"] / 2, r["length"], points]
+        yield from pa.table(dict(zip(("scene_id", "class", "region", "ring", "hole", "area", "length", "points"), columns, strict=True))).to_batches()
+
+
+def _rings_by_pointers(own: DataFrame, cls: str) -> DataFrame:
     lines = checkpoint(sides(border_edges(own)))
     found = lines.join(numbered(chained(lines)), [*_KEY, "id"])
     twice = F.sum(F.col("x") * F.col("ey") - F.col("ex") * F.col("y"))

@@ -68,6 +68,24 @@ def test_polygons_hold_their_pixels_and_no_others(spark):
     assert named["ring", 1, 0] == (4, 1) and named["ring", 1, 2 * 2**31 + 2] == (4, 0)
 
 
+def test_rings_of_small_and_of_large_regions_are_the_same(spark, monkeypatch):
+    px = spark.createDataFrame([(s, y - 70, x - 66, (y * y + 3 * x * y + x // 3) % 5 // 3) for s in "ab" for y in range(75) for x in range(70) if (y * x) % 7], "scene_id string, y int, x int, c int").repartition(3)
+    every = lambda df: sorted((r.scene_id, r["class"], r.region, r.ring, r.hole, r.area, r.length, tuple(map(tuple, r.points))) for r in df.collect())
+    small = every(polygons.rings(px, "c"))
+    assert any(r[4] for r in small)
+    monkeypatch.setattr(polygons, "SMALL", 0)
+    assert every(polygons.rings(px, "c")) == small
+
+
+def test_pixels_within_tiles_need_no_links(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(raster, "checkpoint", lambda df, f=raster.checkpoint: seen.append(f(df)) or seen[-1])
+    px = spark.createDataFrame([("s", y, x, 1) for y in range(60, 68) for x in range(5)] + [("s", 0, 0, 1)], "scene_id string, y int, x int, c int")
+    assert {(r.y, r.region) for r in raster.regions(px, "c").collect()} == {(0, 0), *((y, 60 * 2**31) for y in range(60, 68))}
+    # The pixels, two links across the border, and two rounds of two labels.
+    assert [t.count() for t in seen] == [41, 2, 2, 2]
+
+
 def test_rings_of_nothing(spark):
     assert polygons.rings(spark.createDataFrame([], PX), "class").count() == 0
 
