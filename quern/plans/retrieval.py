@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.expr import trigrams
 from quern.operators import chunking, corpus, feedback, ranking
 from quern.registry import query
 
@@ -98,9 +97,7 @@ def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokenize_3gram", "SELECT g, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(" + _GRAMS.format("text") + ") AS g FROM documents) GROUP BY g")
 def tokenize_3gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(trigrams(F.col("text"))).alias("g")).where("g is not null")
-    # Counted within each document first: what is shuffled is a row for each trigram of a document.
-    return own.groupBy("g", "doc_id").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    return ranking.trigram_counts(table(spark, sf_dir, "documents"))
 
 
 @query("bm25_topk", f"WITH {QUESTIONS}, {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 10")
