@@ -8,11 +8,17 @@ radius together can't hold a better one: an exact search reads the other lists o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.expr import dot, norm
-from quern.operators.ranking import sized, top
+from quern.operators import products
+from quern.operators.ranking import top
 from quern.session import checkpoint
 from quern.sources.generations import Generations
 
@@ -34,6 +40,44 @@ def _gap(cos: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(2.0) - 2 * cos, F.lit(0.0)))
 
 
+def _one(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a task as one value."""
+    if held := [p for p in parts if p.num_rows]:
+        yield products.pack(pa.Table.from_batches(held)).rename_columns(["asked"])
+
+
+def _dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of unit vectors (id, v) with the list of their nearest centroid, of equally near ones the first, and the distance from it."""
+    centre, lists, own = None, None, None
+    for part in parts:
+        for i in range(part.num_rows):
+            if centre is None:
+                t = products.unpacked(part.column("asked")[i].as_buffer())
+                centre, lists = products.vectors(t.column("centroid")), t.column("list").to_numpy()
+                own = (centre * centre).sum(1)
+            t = products.unpacked(part.column("pack")[i].as_buffer())
+            v = products.vectors(t.column("v"))
+            n = max(v.shape[1], centre.shape[1])
+            # What a shorter vector lacks counts as no number, as in Spark: such a vector is nearest to the first list.
+            d = own - 2 * (np.pad(v, ((0, 0), (0, n - v.shape[1])), constant_values=np.nan) @ np.pad(centre, ((0, 0), (0, n - centre.shape[1])), constant_values=np.nan).T)
+            at = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1)
+            gap = np.sqrt(np.maximum(d[np.arange(len(at)), at] + 1, 0.0))
+            yield from t.append_column("list", pa.array(lists[at].astype(np.int32))).append_column("gap", pa.array(gap)).to_batches()
+
+
+def _probed(t: pa.Table, u: pa.Table) -> np.ndarray:
+    """Cosines of unit vectors with queries that read their list."""
+    a, b = products.vectors(t.column("v")), products.vectors(u.column("v"))
+    n = max(a.shape[1], b.shape[1])
+    out = np.pad(a, ((0, 0), (0, n - a.shape[1])), constant_values=np.nan) @ np.pad(b, ((0, 0), (0, n - b.shape[1])), constant_values=np.nan).T
+    lists = u.column("lists").combine_chunks()
+    row, read = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+    mine = t.column("list").to_numpy()
+    met = np.zeros((max(mine.max(initial=0), read.max(initial=0)) + 1, len(lists)), bool)
+    met[read, row] = True
+    return np.where(met[mine] & ~np.isnan(out), out, products.LAST)
+
+
 class VectorIndex:
     """Vectors (id, embedding) of one space in a folder."""
 
@@ -72,11 +116,9 @@ class VectorIndex:
         unit = one.select("id", _unit(F.col("embedding")).alias("v"))
         first = checkpoint(unit)
         centres = self.spark.read.parquet(f"{self.path}/centroids/gen={gen}") if gen == 0 or "lists" in facts else self.centroids()
-        # All centroids are one row: vectors meet it where they are.
-        table = centres.agg(F.array_sort(F.collect_list(F.struct("list", "centroid"))).alias("_c"))
-        near = F.array_min(F.transform("_c", lambda c: F.struct((dot(c["centroid"], c["centroid"]) - 2 * dot(c["centroid"], F.col("v"))).alias("d"), c["list"].alias("list"))))
-        dealt = first.where("v is not null").crossJoin(F.broadcast(table)).withColumn("near", near)
-        dealt = dealt.select("id", "v", F.col("near.list").alias("list"), F.sqrt(F.greatest(F.col("near.d") + 1, F.lit(0.0))).alias("gap"))
+        # All centroids are one value: packs of vectors meet it where they are.
+        table = F.broadcast(centres.orderBy("list").coalesce(1).mapInArrow(_one, "asked binary"))
+        dealt = first.where("v is not null").mapInArrow(products.packs, "pack binary").crossJoin(table).mapInArrow(_dealt, first.withColumns({"list": F.lit(0), "gap": F.lit(0.0)}).schema)
         dealt = checkpoint(dealt)
         parts = max(1, -(-dealt.count() // ROWS_A_TASK))
         written = dealt.repartition("list", F.pmod(F.xxhash64("id"), F.lit(parts)))
@@ -138,8 +180,10 @@ class VectorIndex:
     def _hits(self, probes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         """The k best of each query among the lists that it probes (query_id, list)."""
         lists = [r[0] for r in probes.select("list").distinct().collect()]  # lists at most
-        both = self.vectors(lists).join(sized(probes)(probes), "list").join(sized(asked)(asked), "query_id")
-        return top(both.select("query_id", "id", dot(F.col("v"), F.col("q")).alias("score")), k)
+        lists = [r[0] for r in probes.select("list").distinct().collect()]  # lists at most
+        both = asked.join(probes.groupBy("query_id").agg(F.collect_list("list").alias("lists")), "query_id")
+        both = both.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("q").alias("v"), "lists")
+        return top(products.best_vectors(self.vectors(lists).select(F.col("id").cast("bigint").alias("id"), "v", "list"), both, k, _probed, products.LAST), k)
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query_id, id, score, rank): the k vectors of the largest cosine with each query (query_id, query), those of 0 or less left out.
