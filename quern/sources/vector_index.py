@@ -118,7 +118,7 @@ class VectorIndex:
         centres = self.spark.read.parquet(f"{self.path}/centroids/gen={gen}") if gen == 0 or "lists" in facts else self.centroids()
         # All centroids are one value: packs of vectors meet it where they are.
         table = F.broadcast(centres.orderBy("list").coalesce(1).mapInArrow(_one, "asked binary"))
-        dealt = first.where("v is not null").mapInArrow(products.packs, "pack binary").crossJoin(table).mapInArrow(_dealt, first.withColumns({"list": F.lit(0), "gap": F.lit(0.0)}).schema)
+        dealt = first.where("v is not null").mapInArrow(products._packs, "pack binary").crossJoin(table).mapInArrow(_dealt, first.withColumns({"list": F.lit(0), "gap": F.lit(0.0)}).schema)
         dealt = checkpoint(dealt)
         parts = max(1, -(-dealt.count() // ROWS_A_TASK))
         written = dealt.repartition("list", F.pmod(F.xxhash64("id"), F.lit(parts)))
