@@ -141,6 +141,40 @@ def test_too_many_stations_are_an_error(spark, monkeypatch):
         triangles.triangulated(spark.createDataFrame([(1, float(i), float(i * i), 0.0) for i in range(4)], "g bigint, lon double, lat double, v double"), "g", "v").collect()
 
 
+def test_tiles_make_the_triangles_of_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(triangles, "LEAF", 10)
+    rng = np.random.default_rng(4)
+    near = np.concatenate([rng.random((60, 2)) + (50 * i, 20 * (i % 2)) for i in range(4)])  # dense places far apart
+    grid = np.array([(x / 7, y / 7) for x in range(15) for y in range(12)])  # many points on one circle
+    sets = {1: rng.random((150, 2)) * (100, 7), 2: near, 3: grid}
+    rows = [(k, float(x), float(y), 0.0) for k, p in sets.items() for x, y in p]
+    _, places, tri = triangles.tiled(spark.createDataFrame(rows, "g bigint, lon double, lat double, v double"), "g", "v")
+    assert places.count() == len(rows) and places.where("level > 2").count() > 0
+    got = {k: [] for k in sets}
+    for r in tri.collect():
+        got[r.k].append(((r.x0, r.y0), (r.x1, r.y1), (r.x2, r.y2)))
+    for k in (1, 2):
+        p = sets[k]
+        assert sorted(map(sorted, got[k])) == sorted(sorted(map(tuple, p[t].tolist())) for t in triangles.delaunay(p))
+    corners = np.array(got[3])
+    a, b = corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
+    areas = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) / 2
+    assert abs(areas.sum() - 14 * 11 / 49) < 1e-9 and areas.max() < 0.5 / 49 + 1e-9
+
+
+def test_more_stations_of_a_key_than_one_task_takes(spark):
+    rng = random.Random(5)
+    field = lambda x, y: 2 * x - 5 * y + 1
+    at = [(rng.uniform(-50, 50), rng.uniform(-30, 30)) for _ in range(triangles.STATIONS + 200)] + [(x, y) for x in (-60.0, 60.0) for y in (-40.0, 40.0)]
+    px = [(i, 0, rng.uniform(-59, 59), rng.uniform(-39, 39)) for i in range(200)] + [(i, 0, 70.0 + i % 7, i % 60 - 30.0) for i in range(200, 230)] + [(0, 0, 80.0, 1.5), (0, 0, 80.0, 1.5)]
+    stations = spark.createDataFrame([(0, x, y, field(x, y)) for x, y in at], "g bigint, lon double, lat double, v double")
+    got = triangles.linear(spark.createDataFrame(px, "id bigint, g bigint, lon double, lat double"), stations, "g", "v").collect()
+    assert len(got) == len(px)  # also where an id or a place comes again
+    for r in got:
+        x, y = (r.lon, r.lat) if r.lon < 60 else min(at, key=lambda s: (s[0] - r.lon) ** 2 + (s[1] - r.lat) ** 2)
+        assert abs(r.v - field(x, y)) < 1e-6
+
+
 def test_regions_are_those_of_flooding(spark):
     rows = [r for g in pictures(3) for r in g]
     got = {}
