@@ -17,6 +17,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a pixel: order number and line number as y and x, four scenes, seven bands and a QA mask."""
+    # Long chains of pixel columns make methods beyond what HotSpot compiles; with its limit Spark evaluates them column by column.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     t = table(spark, sf_dir, "lineitem")
     return t.groupBy(F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x")).agg(
         F.max(F.col("l_orderkey") % 4).cast("string").alias("scene_id"),
