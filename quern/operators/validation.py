@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.expr import sdiv
+from quern.operators.ranking import sized
+from quern.session import checkpoint
 
 #: Net radiation in W/m2 that counts as expected; tolerance of the sampled closure; least share of valid pixels of an area.
 RN = (-200.0, 1000.0)
@@ -28,11 +32,19 @@ def range_shares(px: DataFrame) -> DataFrame:
     return s.withColumn("ok", (F.col("ndvi") >= 0.8) & (F.col("emissivity") >= 0.9) & (F.col("rn") >= 0.9) & (F.col("rs") >= 0.9))
 
 
-def sampled_closure(px: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(scene_id, samples, mean_residual, mean_closure, ok) of the pixels at the centre, a quarter and three quarters of a scene's height and width."""
-    size = px.groupBy("scene_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    at = lambda n: (F.col("y") == F.floor(F.col("_h") * n / 4)) & (F.col("x") == F.floor(F.col("_w") * n / 4))
-    s = px.join(size, "scene_id").where(at(1) | at(2) | at(3))
+def sampled_closure(px: DataFrame, tolerance: float = TOLERANCE, terms: Callable[[DataFrame], DataFrame] = lambda px: px) -> DataFrame:
+    """(scene_id, samples, mean_residual, mean_closure, ok) of the pixels at the centre, a quarter and three quarters of a scene's height and width.
+
+    terms gives pixels their rn, g, h and le, if px lacks them; it gets the sampled ones only. These are found by their places, of
+    which there are three for each scene, so no scene's pixels come to one task.
+    """
+    size = checkpoint(px.groupBy("scene_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w")))
+    at = lambda c, n: F.floor(F.col(c) * n / 4)
+    places = size.select("scene_id", F.explode(F.array(*[F.struct(at("_h", n).cast(px.schema["y"].dataType).alias("y"), at("_w", n).cast(px.schema["x"].dataType).alias("x")) for n in (1, 2, 3)])).alias("p")).select("scene_id", "p.*")
+    hint = sized(size)
+    # First by place alone, which may be looked up before pixels are put together.
+    s = px.join(hint(places.select("y", "x").distinct()), ["y", "x"], "left_semi").join(hint(places), ["scene_id", "y", "x"], "left_semi")
+    s = terms(s)
     free = F.col("rn") - F.col("g")
     rest = free - F.col("h") - F.col("le")  # null where one of them is
     closure = F.when(free > 0, (F.col("h") + F.col("le")) / free)
