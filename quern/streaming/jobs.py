@@ -180,35 +180,44 @@ def decaying_pairs(stream: DataFrame, half_life_days: float = 90.0, least: float
     at: event time in microseconds, of the event or of the moment at which the score falls below the least.
     """
     half = half_life_days * 86_400e6
+    shortest = math.ceil(half * math.log2(1.0 / least))  # after an event a score is 1 at least
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         score, last = state.get if state.exists else (0.0, 0)
-        out = []
+        ids, times, scores = [], [], []
 
         def end() -> int:
             return last + math.ceil(half * math.log2(score / least))
 
+        def put(i: int | None, t: int, s: float) -> None:
+            ids.append(i)
+            times.append(t)
+            scores.append(s)
+
         if state.hasTimedOut:
-            out.append((*key, None, end(), 0.0))
+            put(None, end(), 0.0)
             score = 0.0
         else:
-            rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
-            for i, t in zip(rows["event_id"].tolist(), rows["us"].tolist(), strict=True):
-                if score and end() <= t:
-                    out.append((*key, None, end(), 0.0))
+            frames = list(parts)
+            us, events_ = (np.concatenate([p[c].to_numpy() for p in frames]) for c in ("us", "event_id"))
+            order = np.lexsort((events_, us))
+            for i, t in zip(events_[order].tolist(), us[order].tolist(), strict=True):
+                if score and t - last >= shortest and end() <= t:
+                    put(None, end(), 0.0)
                     score = 0.0
                 score, last = score * 2.0 ** ((last - t) / half) + 1.0, t
-                out.append((*key, i, t, score))
+                put(i if i == i else None, t, score)
         if score and not _after(state, end()):
-            out.append((*key, None, end(), 0.0))
+            put(None, end(), 0.0)
             score = 0.0
         if score:
             state.update((score, last))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({c.split()[0]: pd.Series([r[i] for r in out], dtype={"bigint": "Int64", "double": "float64"}.get(c.split()[1], object)) for i, c in enumerate(_PAIR.split(", "))})
+        n = len(ids)  # plain arrays: there is a frame for each of very many pairs
+        yield pd.DataFrame({"user_id": np.full(n, key[0], object), "event_type": np.full(n, key[1], object), "event_id": np.array(ids, object), "at": np.array(times, np.int64), "score": np.array(scores, float)}, copy=False)
 
-    timed = stream.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    timed = stream.select("user_id", "event_type", "event_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
     return timed.groupBy("user_id", "event_type").applyInPandasWithState(step, _PAIR, "score double, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -168,3 +168,9 @@ def test_models_are_stored_in_versions(spark, tmp_path):
     store.rollback(0)
     assert read() == [(1, 0.1), (2, 0.2), (3, 3.3)] and store.versions() == [0, 1, 2, 3]
     assert store.thin(2) == [0, 1] and store.versions() == [2, 3] and read() == [(1, 0.1), (2, 0.2), (3, 3.3)]
+
+
+def test_pairs_get_no_columns_that_they_do_not_need(spark):
+    stream = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").parquet("/root/testdata/sf0.001/events.parquet*")
+    plan = jobs.decaying_pairs(stream, 0.25)._jdf.queryExecution().analyzed().children().head()
+    assert sorted(a.name() for a in map(plan.output().apply, range(plan.output().size()))) == ["event_id", "event_type", "ts", "us", "user_id"]
